@@ -44,6 +44,11 @@ class RuleError(ValueError):
     """A rule is empty or cannot be expressed in the regex dialect Spark uses."""
 
 
+def sql_literal(value: str) -> str:
+    """A string literal for SQL text."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def is_word_char(ch: str) -> bool:
     return ch == "_" or ch.isalnum()
 

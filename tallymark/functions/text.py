@@ -76,25 +76,13 @@ def sections_text(sections) -> Column:
     )
 
 
-def excerpt(text, prefixed: str, context: int = EXCERPT_CONTEXT) -> Column:
-    """First match with ``context`` characters either side; ``...`` where cut.
-
-    ``prefixed`` is a pattern whose first group is the text before the first match, so
-    both lengths come out in characters.  They are put in a one-element array to be worked
-    out once however often the expression below uses them.
-    """
-    t = col(text)
-    before = F.length(F.regexp_extract(t, prefixed, 1))
-    upto = F.length(F.regexp_extract(t, prefixed, 0))
-    span = F.array(F.struct(before.alias("a"), upto.alias("b"), F.length(t).alias("n")))
-
-    def cut(s: Column) -> Column:
-        left = F.greatest(s["a"] - context, F.lit(0))
-        right = F.least(s["b"] + context, s["n"])
-        return F.concat(
-            F.when(left > 0, "...").otherwise(""),
-            normalise_space(F.substring(t, left + 1, right - left)),
-            F.when(right < s["n"], "...").otherwise(""),
-        )
-
-    return F.element_at(F.transform(span, cut), 1)
+def excerpt(text, start, end, context: int = EXCERPT_CONTEXT) -> Column:
+    """Characters ``start`` to ``end`` with ``context`` either side; ``...`` where cut."""
+    t, size = col(text), F.length(col(text))
+    left = F.greatest(col(start) - context, F.lit(0))
+    right = F.least(col(end) + context, size)
+    return F.concat(
+        F.when(left > 0, "...").otherwise(""),
+        normalise_space(F.substring(t, left + 1, right - left)),
+        F.when(right < size, "...").otherwise(""),
+    )

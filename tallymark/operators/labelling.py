@@ -7,12 +7,11 @@ labels, provenance rows and the exclusion ledger are all projections of it.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallymark.functions.labels import domain_of, set_size
+from tallymark.functions.patterns import sql_literal
 from tallymark.functions.text import excerpt, folded, match_text, tag_list
 from tallymark.sources.rules import Rule, RuleBook
 from tallymark.vocab import (
@@ -28,51 +27,43 @@ FALLBACK = -1
 NO_NAME = "no named modality matched"
 
 
-def fires(rule: Rule, text: str = "_text", low: str = "_low") -> Column:
+FIRED = "array<struct<ordinal:int,n_hits:int,a:int,b:int>>"
+
+
+def fires(rule: Rule, text: str = "_text", low: str = "_low") -> str:
     """Does one rule match?  The literal test goes first and settles most records."""
-    regex = F.col(text).rlike(rule.java)
+    regex = f"rlike({text}, {sql_literal(rule.java)})"
     if not rule.literals:
         return regex
-    present = reduce(lambda a, b: a | b, [F.col(low).contains(x) for x in rule.literals])
-    return present & regex
-
-
-FIRED = "array<struct<ordinal:int,n_hits:int,excerpt:string>>"
+    present = " OR ".join(f"contains({low}, {sql_literal(x)})" for x in rule.literals)
+    return f"(({present}) AND {regex})"
 
 
-def _entry(ordinal: int, n_hits: Column, words: Column) -> Column:
-    return F.struct(F.lit(ordinal).alias("ordinal"), n_hits.alias("n_hits"), words.alias("excerpt"))
-
-
-def _fired(rules: list[Rule], details: bool) -> Column:
-    """The rules that fire; with ``details`` also how often and the first excerpt.
+def _fired(rules: list[Rule], details: bool) -> str:
+    """The rules that fire; with ``details`` also how often, and where the first match lies.
 
     Every pattern is a literal, so it is compiled once per task, and counting is only
-    tried where the rule is known to match.
+    tried where the rule is known to match.  Rules are written as SQL text: hundreds of
+    them are one parse instead of thousands of calls into the JVM.
     """
     if not rules:
-        return F.array().cast(FIRED)
-    nothing = (F.lit(None).cast("int"), F.lit(None).cast("string"))
-    hits = F.array(
-        *[
-            F.when(
-                fires(r),
-                _entry(
-                    r.ordinal,
-                    *(
-                        (
-                            F.regexp_count("_text", F.lit(r.java)),
-                            excerpt("_text", r.java_after_prefix),
-                        )
-                        if details
-                        else nothing
-                    ),
-                ),
-            )
-            for r in rules
-        ]
-    )
-    return F.filter(hits, lambda x: x.isNotNull())
+        return f"CAST(array() AS {FIRED})"
+
+    def entry(r: Rule) -> str:
+        found = ["CAST(NULL AS INT)"] * 3
+        if details:
+            first = sql_literal(r.java_after_prefix)
+            found = [
+                f"regexp_count(_text, {sql_literal(r.java)})",
+                f"length(regexp_extract(_text, {first}, 1))",
+                f"length(regexp_extract(_text, {first}, 0))",
+            ]
+        return (
+            f"CASE WHEN {fires(r)} THEN named_struct('ordinal', {r.ordinal}, "
+            f"'n_hits', {found[0]}, 'a', {found[1]}, 'b', {found[2]}) END"
+        )
+
+    return f"filter(array({', '.join(entry(r) for r in rules)}), x -> x IS NOT NULL)"
 
 
 def exclusion_reason(year_range: tuple[int, int] | None = None) -> Column:
@@ -128,57 +119,55 @@ def annotate(
     categories = [("theme", k) for k in book.themes] + [
         ("modality", k) for k in (*book.modalities, *book.match_only)
     ]
-    included = base.select(
-        "*", *[_fired(book.of_category(d, k, "include"), details).alias(f"_inc_{d}_{k}") for d, k in categories]
+    excluding = [(d, k) for d, k in categories if book.of_category(d, k, "exclude")]
+    included = base.selectExpr(
+        "*",
+        *[f"{_fired(book.of_category(d, k, 'include'), details)} AS _inc_{d}_{k}" for d, k in categories],
     )
     # Exclude rules are only consulted where an include rule of the category fired.
-    both = included
-    with_excludes = {(d, k) for d, k in categories if book.of_category(d, k, "exclude")}
-    if with_excludes:
-        both = included.select(
-            "*",
-            *[
-                F.when(F.size(f"_inc_{d}_{k}") > 0, _fired(book.of_category(d, k, "exclude"), details))
-                .otherwise(F.array().cast(FIRED))
-                .alias(f"_exc_{d}_{k}")
-                for d, k in sorted(with_excludes)
-            ],
-        )
+    both = included.selectExpr(
+        "*",
+        *[
+            f"IF(size(_inc_{d}_{k}) > 0, {_fired(book.of_category(d, k, 'exclude'), details)}, "
+            f"CAST(array() AS {FIRED})) AS _exc_{d}_{k}"
+            for d, k in excluding
+        ],
+    )
 
-    def stands(d: str, k: str) -> Column:
-        hit = F.size(f"_inc_{d}_{k}") > 0
-        return hit & (F.size(f"_exc_{d}_{k}") == 0) if (d, k) in with_excludes else hit
+    def stands(d: str, k: str) -> str:
+        kept = f" AND size(_exc_{d}_{k}) = 0" if (d, k) in excluding else ""
+        return f"(size(_inc_{d}_{k}) > 0{kept})"
 
     named = [k for k in book.modalities if k != CATCH_ALL]
-    any_named = reduce(lambda a, b: a | b, [stands("modality", k) for k in named], F.lit(False))
+    any_named = " OR ".join(stands("modality", k) for k in named) or "FALSE"
     by_pattern = stands("modality", CATCH_ALL)
-    fallback = ~any_named & ~by_pattern
-    outside = F.filter(
-        F.array(
-            F.lit(None).cast("string"),
-            *[F.when(stands("modality", k), F.lit(k)) for k in book.match_only],
-        ),
-        lambda x: x.isNotNull(),
+    outside = ", ".join(f"IF({stands('modality', k)}, '{k}', NULL)" for k in book.match_only)
+    fired = ", ".join(
+        [f"_inc_{d}_{k}" for d, k in categories] + [f"_exc_{d}_{k}" for d, k in excluding]
     )
-    fired = F.flatten(
-        F.array(
-            *[F.col(f"_inc_{d}_{k}") for d, k in categories],
-            *[F.col(f"_exc_{d}_{k}") for d, k in sorted(with_excludes)],
-            F.when(fallback, F.array(_entry(FALLBACK, F.lit(0), F.lit(NO_NAME)))).otherwise(F.array().cast(FIRED)),
-        )
+    no_name = (
+        f"IF(NOT ({any_named}) AND NOT {by_pattern}, "
+        f"array(named_struct('ordinal', {FALLBACK}, 'n_hits', 0, 'a', -1, 'b', -1)), CAST(array() AS {FIRED}))"
     )
-    row = both.select(
+    row = both.selectExpr(
         "pmid",
         "year",
         "year_source",
         "is_primary_research",
         "reason",
-        *[stands("theme", k).cast("int").alias(f"theme_{k}") for k in book.themes],
-        *[stands("modality", k).cast("int").alias(f"mod_{k}") for k in named],
-        (by_pattern | ~any_named).cast("int").alias(f"mod_{CATCH_ALL}"),
-        outside.alias("_outside"),
-        fired.alias("fired"),
+        "_text",
+        *[f"CAST({stands('theme', k)} AS INT) AS theme_{k}" for k in book.themes],
+        *[f"CAST({stands('modality', k)} AS INT) AS mod_{k}" for k in named],
+        f"CAST({by_pattern} OR NOT ({any_named}) AS INT) AS mod_{CATCH_ALL}",
+        f"filter(array(CAST(NULL AS STRING), {outside or 'NULL'}), x -> x IS NOT NULL) AS _outside",
+        f"flatten(array({fired}, {no_name})) AS fired",
     )
+    found = F.col("fired")
+    if details:
+        found = F.transform(found, _with_excerpt)
+    else:
+        found = F.transform(found, lambda f: F.struct(f["ordinal"].alias("ordinal")))
+    row = row.withColumn("fired", found).drop("_text")
     # One generated row per record: a boundary no filter is pushed through, so a later
     # condition on a label cannot make Spark evaluate the rules a second time.
     row = row.select(F.explode(F.array(F.struct(*row.columns))).alias("r")).select("r.*")
@@ -199,6 +188,11 @@ def annotate(
     )
 
 
+def _with_excerpt(f: Column) -> Column:
+    words = F.when(f["ordinal"] == FALLBACK, NO_NAME).otherwise(excerpt("_text", f["a"], f["b"]))
+    return F.struct(f["ordinal"].alias("ordinal"), f["n_hits"].alias("n_hits"), words.alias("excerpt"))
+
+
 def labels(annotated: DataFrame) -> DataFrame:
     """Wide 0/1 label table of the retained records."""
     return annotated.where(F.col("reason").isNull()).drop("reason", "_outside", "fired")
@@ -209,18 +203,20 @@ def keys_of(table: DataFrame, prefix: str) -> list[str]:
 
 
 def pattern_hits(annotated: DataFrame, book: RuleBook) -> DataFrame:
-    """One row per retained record and rule that fired; ``annotated`` needs its details.
+    """One row per retained record and rule that fired.
 
-    Only ids, flags and short excerpts are exploded, never the text; the rule table is
+    Counts and excerpts are there if ``annotated`` was made with details.  Only ids, flags and short excerpts are exploded, never the text; the rule table is
     broadcast (at most ``MAX_RULES`` rows).  A record that carries the catch-all only for
     want of a name has one ``fallback`` row.
     """
     kept = annotated.where(F.col("reason").isNull())
     flags = [c for c in kept.columns if c.startswith(("theme_", "mod_"))]
     standing = F.array(*[F.when(F.col(c) == 1, F.lit(c)) for c in flags])
-    rows = kept.select(
-        "pmid", "_outside", standing.alias("_standing"), F.inline("fired")
-    )
+    # every retained record has at least one entry; the outer form only keeps Spark from
+    # reasoning about the size of an array that is an expression over all the rules
+    rows = kept.select("pmid", "_outside", standing.alias("_standing"), F.inline_outer("fired"))
+    counted = ["n_hits"] if "n_hits" in rows.columns else []
+    quoted = ["excerpt"] if counted else []
     rules = F.broadcast(book.table(annotated.sparkSession, fallback=FALLBACK))
     flag = F.concat(F.when(F.col("dictionary") == "theme", "theme_").otherwise("mod_"), "category")
     stood = F.array_contains("_standing", flag) | F.array_contains("_outside", F.col("category"))
@@ -233,9 +229,9 @@ def pattern_hits(annotated: DataFrame, book: RuleBook) -> DataFrame:
         "kind",
         "case_sensitive",
         "pattern",
-        "n_hits",
+        *counted,
         F.coalesce(stood, F.lit(False)).cast("int").alias("category_matched"),
-        "excerpt",
+        *quoted,
     )
 
 
@@ -258,7 +254,11 @@ def ledger(annotated: DataFrame, book: RuleBook, minimum: dict[str, int] | None
             short = (F.col(f"theme_{theme}") == 1) & (size < least) & (F.col("is_primary_research") == 1)
             entries.append(entry(kept & short, "below_minimum_modalities", f"panel_a:{theme}"))
     rows = F.filter(F.array(*entries), lambda x: x.isNotNull())
-    return annotated.select("pmid", F.explode(rows).alias("e")).select("pmid", "e.*")
+    return (
+        annotated.select("pmid", F.explode_outer(rows).alias("e"))
+        .select("pmid", "e.*")
+        .where("reason is not null")
+    )
 
 
 def secondary_tally(records: DataFrame, year_range: tuple[int, int] | None = None) -> DataFrame:
