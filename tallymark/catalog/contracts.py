@@ -267,7 +267,7 @@ def key_sets(spark, sf_dir):
 @query(
     "version_ledger",
     "Q14",
-    """WITH l AS (SELECT DISTINCT source AS file, lang AS version, md5(CAST(doc_id % 2 AS VARCHAR)) AS sha FROM documents),
+    """WITH l AS (SELECT DISTINCT source AS file, lang AS version, md5(CAST(n_chars > 1000 AS VARCHAR)) AS sha FROM documents),
 c AS (SELECT source AS file, max(lang) AS version, 'none' AS sha FROM documents GROUP BY 1)
 SELECT 'version_reused' AS "check", file || ' v' || version AS key, CAST(count(*) AS VARCHAR) AS detail FROM l GROUP BY file, version HAVING count(*) > 1
 UNION ALL SELECT 'ledger_mismatch', c.file || ' v' || c.version, 'changed' FROM c JOIN l USING (file, version)""",
@@ -276,7 +276,7 @@ def version_ledger(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     ledger = docs.select(
         F.col("source").alias("file"), F.col("lang").alias("version"),
-        F.md5((F.col("doc_id") % 2).cast("string")).alias("sha256"),
+        F.md5((F.col("n_chars") > 1000).cast("string")).alias("sha256"),
     )
     current = docs.groupBy(F.col("source").alias("file")).agg(F.max("lang").alias("version")).withColumn(
         "sha256", F.lit("none")
@@ -303,16 +303,45 @@ def rule_freshness(spark, sf_dir):
     return contracts.freshness(state(docs), state(read))
 
 
-@query("term_rules", "Q13 S9 J13")
+@query(
+    "term_rules",
+    "Q13 S9",
+    """WITH r AS (SELECT p_type, p_name, min(p_partkey) AS idx, min(p_size) AS least FROM part GROUP BY ALL),
+w AS (SELECT *, p_type || '.' || CASE WHEN p_type = 'PROMO' THEN 'exclude' ELSE 'include' END || '[' || idx || ']' AS key FROM r)
+SELECT 'empty_pattern' AS "check", key, '' AS detail FROM w WHERE least = 1
+UNION ALL SELECT 'unknown_kind', key, 'glob' FROM w WHERE least > 2
+UNION ALL SELECT DISTINCT 'no_include', p_type, 'theme' FROM w WHERE p_type = 'PROMO'
+UNION ALL SELECT 'category_missing', 'BULK', 'theme'
+UNION ALL SELECT DISTINCT 'category_unknown', p_type, 'theme' FROM w WHERE p_type = 'ECONOMY'""",
+)
 def term_rules(spark, sf_dir):
-    """Rules of the corpus with their problems and fingerprint, weighed by the records they label."""
-    rows = [(*r, 0) for r in corpus.RULE_ROWS] + [("theme", "broken", "include", 0, "regex", None, "([a-z", 0)]
-    rules = spark.createDataFrame(
-        rows,
-        "dictionary string, category string, role string, idx int, kind string, "
-        "case_sensitive boolean, pattern string, version int",
+    """Part names as phrase rules of their type, some of them blank or of an unknown kind."""
+    least = F.col("least")
+    rules = (
+        table(spark, sf_dir, "part")
+        .groupBy("p_type", "p_name")
+        .agg(F.min("p_partkey").cast("int").alias("idx"), F.min("p_size").alias("least"))
+        .select(
+            F.lit("theme").alias("dictionary"),
+            F.col("p_type").alias("category"),
+            F.when(F.col("p_type") == "PROMO", "exclude").otherwise("include").alias("role"),
+            "idx",
+            F.when(least > 2, "glob").otherwise("phrase").alias("kind"),
+            F.lit(None).cast("boolean").alias("case_sensitive"),
+            F.when(least == 1, " ").otherwise(F.col("p_name")).alias("pattern"),
+        )
     )
-    n = corpus.records(spark, sf_dir).agg(F.count("*").alias("n_records")).withColumn("_one", F.lit(1))
-    found = contracts.term_rules(rules.drop("version"), {"theme": THEMES}).withColumn("_one", F.lit(1))
-    files = rule_fingerprints(spark).agg(F.count("*").alias("n_files")).withColumn("_one", F.lit(1))
-    return found.join(F.broadcast(n), "_one").join(F.broadcast(files), "_one").drop("_one")
+    return contracts.term_rules(rules, {"theme": ("LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD", "BULK")})
+
+
+@query(
+    "labels_by_fingerprinted_rules",
+    "J13 P28",
+    f"""WITH {corpus.labels_sql()} SELECT 'current' AS state, count(*) AS n_records FROM labels_""",
+)
+def labels_by_fingerprinted_rules(spark, sf_dir):
+    """Labels are only counted as current when the rules they came from have not moved."""
+    now = rule_fingerprints(spark)
+    state = contracts.freshness(now, now).select("state").distinct().withColumn("_one", F.lit(1))
+    n = corpus.run(spark, sf_dir).labels.agg(F.count("*").alias("n_records")).withColumn("_one", F.lit(1))
+    return n.join(F.broadcast(state), "_one").select("state", "n_records")

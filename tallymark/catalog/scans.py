@@ -1 +1,355 @@
-"""Queries."""
+"""Scans, sinks and incremental runs.
+
+Formats the test tables do not come in are written from them by Spark, into a fresh path
+below the shared folder, and read back.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tallymark.catalog import corpus
+from tallymark.catalog.common import query, sql_norm, sql_text, table
+from tallymark.operators import counts, dedup, labelling
+from tallymark.session import scratch_path, spread
+from tallymark.sources import lookup, markup, tables
+from tallymark.streaming import incremental
+
+# --- literature XML -----------------------------------------------------------------
+
+
+def _escaped(c):
+    c = F.replace(c, F.lit("&"), F.lit("&amp;"))
+    return F.replace(F.replace(c, F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+
+
+def write_record_xml(spark, sf_dir, copies: bool = True) -> str:
+    """Documents as literature records; the French ones are captured twice."""
+    c = F.col
+    orders = table(spark, sf_dir, "orders").select(
+        c("o_orderkey").alias("doc_id"), F.year("o_orderdate").alias("y"), "o_orderstatus", "o_orderpriority"
+    )
+    docs = table(spark, sf_dir, "documents").join(orders, "doc_id")
+    lines = F.transform(F.split("text", "\n"), _escaped)
+    body = F.transform(
+        F.slice(lines, 2, F.size(lines)),
+        lambda x, i: F.concat(
+            F.when(i == 0, '<AbstractText Label="PART">').otherwise("<AbstractText>"), x, F.lit("</AbstractText>")
+        ),
+    )
+    year = c("y").cast("string")
+    pub_date = (
+        F.when(c("o_orderstatus") == "F", F.concat(F.lit("<Year>"), year, F.lit("</Year>")))
+        .when(c("o_orderstatus") == "O", F.concat(F.lit("<MedlineDate>"), year, F.lit(" Spring</MedlineDate>")))
+        .otherwise("")
+    )
+    dated = lambda y: F.concat(F.lit("<ArticleDate><Year>"), y.cast("string"), F.lit("</Year></ArticleDate>"))
+    article_dates = (
+        F.when(c("o_orderpriority") == "1-URGENT", F.concat(dated(c("y") + 1), dated(c("y"))))
+        .when(c("o_orderpriority") == "2-HIGH", dated(c("y") - 1))
+        .otherwise("")
+    )
+    lit = F.lit
+    head = F.concat(lit('<PMID Version="1">'), c("doc_id").cast("string"), lit("</PMID>"))
+    abstract = F.concat(lit("<Abstract>"), F.array_join(body, "\n"), lit("</Abstract>"))
+    title = F.concat(
+        lit("<ArticleTitle>\n <i>"), F.get(lines, 0), lit("</i> &amp; <sup>x</sup> </ArticleTitle>")
+    )
+    doi = F.concat(lit("10.1/"), c("doc_id").cast("string"))
+    article = F.concat(
+        lit("<PubmedArticle><MedlineCitation>"), head, lit("<Article><Journal><JournalIssue><PubDate>"), pub_date,
+        lit("</PubDate></JournalIssue><Title>Journal  of "), c("source"),
+        lit("</Title><ISOAbbreviation>J "), c("source"), lit("</ISOAbbreviation></Journal>"), title,
+        F.when(c("o_orderpriority") == "3-MEDIUM", F.concat(lit('<ELocationID EIdType="doi">'), doi, lit("</ELocationID>"))).otherwise(""),
+        abstract, lit("<Language>"), c("lang"), lit("</Language><Language>mul</Language><PublicationTypeList>"),
+        lit('<PublicationType UI="D1">Journal Article</PublicationType><PublicationType UI="D2">'), c("source"),
+        lit("</PublicationType></PublicationTypeList>"), article_dates, lit("</Article><MeshHeadingList>"),
+        lit('<MeshHeading><DescriptorName MajorTopicYN="N">Humans</DescriptorName></MeshHeading>'),
+        lit('<MeshHeading><DescriptorName MajorTopicYN="Y">'), c("lang"), lit("</DescriptorName></MeshHeading>"),
+        lit("</MeshHeadingList></MedlineCitation><PubmedData><History>"),
+        lit('<PubMedPubDate PubStatus="pubmed"><Year>'), (c("y") + 2).cast("string"), lit("</Year></PubMedPubDate></History>"),
+        F.when(c("o_orderpriority") == "1-URGENT", F.concat(lit('<ArticleIdList><ArticleId IdType="pii">p</ArticleId><ArticleId IdType="doi">'), doi, lit("</ArticleId></ArticleIdList>"))).otherwise(""),
+        lit("</PubmedData></PubmedArticle>"),
+    )
+    book = F.concat(
+        lit("<PubmedBookArticle><BookDocument>"), head, lit("<Book><BookTitle>Book of "), c("source"),
+        lit("</BookTitle><PubDate><Year>"), year, lit("</Year></PubDate></Book>"), title,
+        lit("<Language>"), c("lang"), lit("</Language>"), abstract,
+        lit("</BookDocument></PubmedBookArticle>"),
+    )
+    rows = docs.select("lang", F.when(c("o_orderpriority") == "5-LOW", book).otherwise(article).alias("value"))
+    out = scratch_path(spark, "xml")
+    rows.select("value").write.text(out)
+    if copies:
+        rows.where("lang = 'fr'").select("value").write.mode("append").text(out)
+    return out
+
+
+_PART = f"[{sql_norm('x')} for x in string_split(text, chr(10))[2:]]"
+XML_SQL = f"""src AS (SELECT d.*, CAST(year(o_orderdate) AS INTEGER) AS y, o_orderstatus AS st, o_orderpriority AS pr
+  FROM documents d JOIN orders ON o_orderkey = doc_id),
+parts AS (SELECT *, {_PART} AS raw FROM src),
+body AS (SELECT *, [CASE WHEN i = 1 THEN 'PART: ' || x ELSE x END for x, i in raw if x <> ''] AS lines FROM parts),
+dates AS (SELECT *, pr = '5-LOW' AS book, CASE WHEN pr = '5-LOW' OR st IN ('F', 'O') THEN y END AS issue,
+    CASE pr WHEN '1-URGENT' THEN y WHEN '2-HIGH' THEN y - 1 END AS article FROM body),
+xml AS (SELECT CAST(doc_id AS VARCHAR) AS pmid,
+  CASE WHEN pr IN ('1-URGENT', '3-MEDIUM') THEN '10.1/' || doc_id ELSE '' END AS doi,
+  {sql_norm("split_part(text, chr(10), 1) || ' & x '")} AS title,
+  coalesce(array_to_string(lines, chr(10) || chr(10)), '') AS abstract, len(lines) > 0 AS has_abstract,
+  len(lines) > 0 AS abstract_structured, CAST(len(lines) AS INTEGER) AS abstract_sections,
+  CASE WHEN book THEN 'Book of ' || source ELSE 'Journal of ' || source END AS journal,
+  CASE WHEN book THEN '' ELSE 'J ' || source END AS journal_iso,
+  CASE WHEN book THEN y WHEN article < issue THEN article ELSE coalesce(issue, article, y + 2) END AS year,
+  CASE WHEN book THEN 'Book/PubDate' WHEN article < issue THEN 'ArticleDate' WHEN issue IS NOT NULL THEN
+    CASE WHEN st = 'O' THEN 'PubDate[MedlineDate]' ELSE 'PubDate' END WHEN article IS NOT NULL THEN 'ArticleDate'
+    ELSE 'PubMedPubDate[pubmed]' END AS year_source,
+  CASE WHEN NOT book THEN article END AS article_date_year, issue AS pub_date_year,
+  CASE WHEN book THEN '' ELSE 'Journal Article; ' || source END AS publication_types,
+  CASE WHEN book THEN '' ELSE 'Humans; ' || lang END AS mesh_descriptors,
+  CASE WHEN book THEN '' ELSE lang END AS mesh_major_descriptors, lang AS language,
+  CASE WHEN book THEN lang ELSE lang || '; mul' END AS languages,
+  CASE WHEN book THEN 'PubmedBookArticle' ELSE 'PubmedArticle' END AS record_type FROM dates)"""
+
+
+def xml_records(spark, sf_dir):
+    return markup.parse_records(markup.read_record_xml(spark, write_record_xml(spark, sf_dir)))
+
+
+@query("xml_record_scan", "S1 P4 P5 P6 P7 P8 P9 W8 R2", f"WITH {XML_SQL} SELECT * FROM xml")
+def xml_record_scan(spark, sf_dir):
+    first = dedup.keep_first(xml_records(spark, sf_dir), "pmid", markup.RECORD_ORDER)
+    return tables.flat(first).drop("source_file", "kind", "block", "place", "nth")
+
+
+@query(
+    "xml_capture_counts",
+    "A25 A29",
+    f"""WITH {XML_SQL} SELECT record_type, count(*) + count(*) FILTER (language = 'fr') AS n_records, count(*) AS n_unique FROM xml GROUP BY 1""",
+)
+def xml_capture_counts(spark, sf_dir):
+    """Per-file counts added up by record type, against distinct ids."""
+    raw = xml_records(spark, sf_dir).select("pmid", "record_type", "source_file")
+    per_file = markup.records_per_file(raw)
+    books = per_file.agg(F.sum("n_books").alias("b"), F.sum("n_records").alias("n")).select(
+        F.explode(
+            F.create_map(F.lit("PubmedBookArticle"), F.col("b"), F.lit("PubmedArticle"), F.col("n") - F.col("b"))
+        ).alias("record_type", "n_records")
+    )
+    unique = raw.groupBy("record_type").agg(F.countDistinct("pmid").alias("n_unique"))
+    return books.join(unique, "record_type")
+
+
+@query("xml_parse_summary", "A20", f"""WITH {XML_SQL}
+SELECT 'records' AS metric, '' AS key, count(*) AS value FROM xml
+UNION ALL SELECT 'records_by_type', record_type, count(*) FROM xml GROUP BY ALL
+UNION ALL SELECT 'without_abstract', '', count(*) FROM xml WHERE NOT has_abstract HAVING count(*) > 0
+UNION ALL SELECT 'structured_abstract', '', count(*) FROM xml WHERE abstract_structured HAVING count(*) > 0
+UNION ALL SELECT 'unstructured_abstract', '', count(*) FROM xml WHERE has_abstract AND NOT abstract_structured HAVING count(*) > 0
+UNION ALL SELECT 'without_year', '', count(*) FROM xml WHERE year IS NULL HAVING count(*) > 0
+UNION ALL SELECT 'year_source', year_source, count(*) FROM xml GROUP BY ALL
+UNION ALL SELECT 'language', language, count(*) FROM xml GROUP BY ALL
+UNION ALL SELECT 'year', CAST(year AS VARCHAR), count(*) FROM xml GROUP BY ALL""")
+def xml_parse_summary(spark, sf_dir):
+    return counts.parse_summary(dedup.keep_first(xml_records(spark, sf_dir), "pmid", markup.RECORD_ORDER))
+
+
+# --- HTML pages ----------------------------------------------------------------------
+
+def _sql_tag_text(expr: str) -> str:
+    out = f"regexp_replace({expr}, '(?s)<[^>]*>', '', 'g')"
+    for entity, char in markup.ENTITIES.items():
+        out = f"replace({out}, {sql_text(entity)}, {sql_text(char)})"
+    return sql_norm(out)
+
+
+@query(
+    "page_scan",
+    "S2 P2 P6 P7 P8",
+    f"""WITH b AS (SELECT page_id, url, regexp_replace(html, '(?s)<!--.*?-->|<script\\b.*?</script>|<style\\b.*?</style>', '', 'g') AS body FROM pages),
+a AS (SELECT *, regexp_extract(body, '(?s)<article[^>]*>(.*?)</article>', 1) AS art FROM b),
+p AS (SELECT *, [x for x in [{_sql_tag_text("split_part(x, '</p>', 1)")} for x in string_split_regex(art, '<p(?:\\s[^>]*)?>')[2:]] if x <> ''] AS paras FROM a)
+SELECT page_id, url, {_sql_tag_text("regexp_extract(body, '(?s)<title[^>]*>(.*?)</title>', 1)")} AS title,
+  regexp_extract(body, '<html[^>]*\\blang="([^"]*)"', 1) AS lang,
+  regexp_extract_all(body, '<a\\s[^>]*href="([^"]*)"', 1) AS links,
+  {_sql_tag_text("regexp_extract(body, '(?s)<h1[^>]*>(.*?)</h1>', 1)")} AS heading,
+  coalesce(array_to_string(paras, chr(10) || chr(10)), '') AS text, CAST(len(paras) AS INTEGER) AS n_paragraphs FROM p""",
+)
+def page_scan(spark, sf_dir):
+    return markup.parse_pages(spread(table(spark, sf_dir, "pages")))
+
+
+# --- tables --------------------------------------------------------------------------
+
+RECORD_SELECT = "pmid, title, abstract, year, year_source, record_type, publication_types, language, source_file"
+
+
+@query("record_scan", "S3 S10", f"WITH {corpus.RECORDS_SQL} SELECT {RECORD_SELECT} FROM records")
+def record_scan(spark, sf_dir):
+    """Parquet keeps what was written."""
+    out = scratch_path(spark, "records")
+    corpus.records(spark, sf_dir).write.parquet(out)
+    return tables.read_records(spark, out)
+
+
+@query("record_csv_twin", "S3 S6 S10", f"WITH {corpus.RECORDS_SQL} SELECT {RECORD_SELECT} FROM records")
+def record_csv_twin(spark, sf_dir):
+    """Lists joined for the CSV twin, cells with line breaks and quotes read back whole."""
+    from tallymark.functions.text import tag_list
+
+    out = scratch_path(spark, "records")
+    records = corpus.records(spark, sf_dir).withColumn("publication_types", tag_list("publication_types"))
+    tables.flat(records).write.option("header", True).option("escape", '"').option("quoteAll", True).csv(f"{out}/x.csv")
+    return tables.read_records(spark, f"{out}/x.csv")
+
+
+@query(
+    "title_scan",
+    "S4",
+    f"""WITH {corpus.RECORDS_SQL}, k AS (SELECT language || '-' || source_file AS pmid, title, abstract, CAST(pmid AS BIGINT) AS pos FROM records)
+SELECT pmid, title, abstract FROM k QUALIFY row_number() OVER (PARTITION BY pmid ORDER BY pos) = 1""",
+)
+def title_scan(spark, sf_dir):
+    """First record per language and source."""
+    records = corpus.records(spark, sf_dir).select(
+        F.concat_ws("-", "language", "source_file").alias("pmid"), "title", "abstract",
+        F.col("pmid").cast("bigint").alias("pos"),
+    )
+    return tables.read_titles(records, ["pos"])
+
+
+@query(
+    "commented_csv_scan",
+    "S5 S11",
+    """SELECT o_orderpriority AS theme, CAST(year(o_orderdate) AS INTEGER) AS year, CAST(count(*) AS INTEGER) AS n_papers FROM orders GROUP BY ALL""",
+)
+def commented_csv_scan(spark, sf_dir):
+    """A count table with comment lines above its header."""
+    counted = table(spark, sf_dir, "orders").groupBy("o_orderpriority", F.year("o_orderdate").alias("y")).agg(
+        F.count("*").alias("n")
+    )
+    # the header lines come first in every file because sorting puts them there
+    lines = counted.select(
+        F.lit(1).alias("k"), F.concat_ws(",", "o_orderpriority", F.col("y").cast("string"), F.col("n").cast("string")).alias("value")
+    )
+    top = spark.createDataFrame(
+        [(0, "# file: theme_year_counts.csv\n# source: orders\ntheme,year,n_papers")], "k int, value string"
+    )
+    out = scratch_path(spark, "commented")
+    lines.unionByName(top).coalesce(1).sortWithinPartitions("k").select("value").write.text(out)
+    return tables.read_commented_csv(spark, out, "theme string, year int, n_papers int")
+
+
+@query(
+    "device_csv_scan",
+    "S6 Q1 P21",
+    """SELECT 'K' || lpad(CAST(o_orderkey AS VARCHAR), 7, '0') AS submission_number, strftime(o_orderdate, '%Y-%m-%d') AS decision_date,
+CAST(year(o_orderdate) AS INTEGER) AS year, '892.20' AS regulation_number, o_orderstatus = 'F' AS counted FROM orders""",
+)
+def device_csv_scan(spark, sf_dir):
+    """Leading zeros and trailing zeros survive: every column is read as text, then cast."""
+    c = F.col
+    out = scratch_path(spark, "devices")
+    table(spark, sf_dir, "orders").select(
+        F.concat(F.lit("K"), F.lpad(c("o_orderkey").cast("string"), 7, "0")).alias("submission_number"),
+        F.date_format("o_orderdate", "yyyy-MM-dd").alias("decision_date"),
+        F.year("o_orderdate").alias("year"),
+        F.lit("892.20").alias("regulation_number"),
+        F.when(c("o_orderstatus") == "F", "True").otherwise("False").alias("counted"),
+        F.lit("x").alias("submission"),
+    ).write.option("header", True).csv(out)
+    read = tables.read_text_csv(spark, out)
+    wanted = ["submission_number", "decision_date", "year", "regulation_number", "counted"]
+    return tables.typed_labeled(tables.require(read, wanted, exact=True, tolerated=["submission"]))
+
+
+@query(
+    "json_lookup_scan",
+    "S7",
+    """SELECT 'S' || s_suppkey AS product_code, CASE WHEN s_acctbal > 5000 THEN upper(s_name) ELSE s_name END AS device_name,
+CASE WHEN s_nationkey >= 10 THEN CAST(s_nationkey AS VARCHAR) END AS regulation_number FROM supplier""",
+)
+def json_lookup_scan(spark, sf_dir):
+    """Two files of lookup records; the later one restates some of them."""
+    c = F.col
+    out = scratch_path(spark, "lookup")
+    code = F.concat(F.lit(" S"), c("s_suppkey").cast("string"))
+    number = F.when(c("s_nationkey") >= 10, c("s_nationkey").cast("string")).otherwise(" ")
+
+    def docs(df, name):
+        item = F.struct(code.alias("product_code"), name.alias("device_name"), number.alias("regulation_number"))
+        blank = F.struct(F.lit(" ").alias("product_code"), F.lit("x").alias("device_name"), F.lit("").alias("regulation_number"))
+        return df.select(F.array(item, blank).alias("results"))
+
+    supplier = table(spark, sf_dir, "supplier")
+    docs(supplier, c("s_name")).write.json(f"{out}/batch_001")
+    docs(supplier.where("s_acctbal > 5000"), F.upper("s_name")).write.json(f"{out}/batch_002")
+    return lookup.read_lookup(
+        spark, f"{out}/*", fields=["device_name", "regulation_number"], multi_line=False
+    )
+
+
+@query(
+    "nested_json_fields",
+    "S7",
+    "SELECT event_id, event_type, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events",
+)
+def nested_json_fields(spark, sf_dir):
+    return lookup.nested_fields(table(spark, sf_dir, "events").select("event_id", "event_type", "props"), "props", {"k": "int"})
+
+
+@query(
+    "latest_snapshot",
+    "S8 R3",
+    """SELECT o_orderkey, o_totalprice, CAST(year(o_orderdate) AS VARCHAR) AS taken FROM orders WHERE year(o_orderdate) = 2000""",
+)
+def latest_snapshot(spark, sf_dir):
+    """Three dated captures, the newest of them not finished."""
+    root = scratch_path(spark, "captures")
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", F.year("o_orderdate").alias("y"))
+    for year in (1999, 2000, 2001):
+        tables.write_snapshot(orders.where(F.col("y") == year).drop("y"), root, f"{year}-12-31")
+    manifest = spark.createDataFrame([("1999-12-31",), ("2000-12-31",)], "snapshot string")
+    captures = spark.read.option("basePath", root).parquet(root).withColumn("snapshot", F.col("snapshot").cast("string"))
+    newest = lookup.latest_finished(captures, manifest)
+    return newest.select("o_orderkey", "o_totalprice", F.substring("snapshot", 1, 4).alias("taken"))
+
+
+# --- incremental ---------------------------------------------------------------------
+
+LABEL_SELECT = f"SELECT pmid, year, {corpus.THEME_COLS}, {corpus.MOD_COLS}, domain FROM labels_"
+
+
+def _land(df, path):
+    df.write.mode("append").parquet(path)
+
+
+@query("incremental_labels", "R1", f"WITH {corpus.labels_sql()} {LABEL_SELECT}")
+def incremental_labels(spark, sf_dir):
+    """Records land in two goes; each run labels only what is new."""
+    root = scratch_path(spark, "incremental")
+    records = corpus.records(spark, sf_dir)
+    _land(records.where("language = 'en'"), f"{root}/in")
+    book = corpus.rule_book()
+    job = lambda df: labelling.labels(labelling.annotate(df, book, corpus.YEARS)).drop(
+        "year_source", "is_primary_research"
+    )
+    for more in (records.where("language <> 'en'"), None):
+        stream = incremental.landed(spark, f"{root}/in", records.schema)
+        incremental.run_available(stream, job, f"{root}/out", f"{root}/state")
+        if more is not None:
+            _land(more, f"{root}/in")
+    return spark.read.parquet(f"{root}/out")
+
+
+@query("incremental_first_seen", "R2", "SELECT DISTINCT md5(text) AS text_md5 FROM documents")
+def incremental_first_seen(spark, sf_dir):
+    """The same text in several slices is passed on once."""
+    root = scratch_path(spark, "first-seen")
+    docs = table(spark, sf_dir, "documents").select("lang", F.md5("text").alias("text_md5"))
+    for where in ("lang IN ('en', 'de')", "lang IN ('de', 'fr', 'es')"):
+        _land(docs.where(where).select("text_md5"), f"{root}/in")
+    stream = incremental.landed(spark, f"{root}/in", "text_md5 string")
+    incremental.run_available(
+        stream, lambda df: incremental.first_seen(df, "text_md5"), f"{root}/out", f"{root}/state"
+    )
+    return spark.read.parquet(f"{root}/out")

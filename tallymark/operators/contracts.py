@@ -226,8 +226,11 @@ def term_rules(rules: DataFrame, expected: dict[str, tuple[str, ...]] | None = N
     rows = rules.select(
         "dictionary", "category", "role", "idx", "kind", "case_sensitive", "pattern"
     ).limit(MAX_RULES + 1).collect()
+    if len(rows) > MAX_RULES:
+        raise patterns.RuleError(f"more than {MAX_RULES} rules")
     problems: list[tuple[str, str, str]] = []
     includes: dict[tuple[str, str], int] = {}
+    compiled: list[tuple[str, str, str]] = []
     for r in rows:
         key = (r["dictionary"], r["category"])
         includes.setdefault(key, 0)
@@ -242,7 +245,13 @@ def term_rules(rules: DataFrame, expected: dict[str, tuple[str, ...]] | None = N
         elif r["kind"] == "regex" and r["case_sensitive"] and "i" in patterns.inline_flags(r["pattern"]):
             problems.append(("contradictory_case", where, r["pattern"]))
         else:
-            problems += _compile_problem(spark, where, r)
+            try:
+                compiled.append((where, r["pattern"], _java(r)))
+            except re.error:
+                problems.append(("will_not_compile", where, r["pattern"]))
+            except patterns.RuleError as problem:
+                problems.append(("not_expressible", where, str(problem)))
+    problems += _refused(spark, compiled)
     for (dictionary, category), n in includes.items():
         if n == 0 and category != CATCH_ALL:
             problems.append(("no_include", category, dictionary))
@@ -253,23 +262,28 @@ def term_rules(rules: DataFrame, expected: dict[str, tuple[str, ...]] | None = N
     return spark.createDataFrame(problems, PROBLEM)
 
 
-def _compile_problem(spark: SparkSession, where: str, r) -> list[tuple[str, str, str]]:
+def _java(r) -> str:
+    if r["kind"] == "phrase":
+        return patterns.phrase_to_java(r["pattern"], bool(r["case_sensitive"]))
+    re.compile(r["pattern"])
+    return patterns.regex_to_java(r["pattern"], r["case_sensitive"])
+
+
+def _refused(spark: SparkSession, compiled: list[tuple[str, str, str]]) -> list[tuple[str, str, str]]:
+    """Rules Spark's regex engine does not accept: all are tried at once, then halves."""
+    if not compiled:
+        return []
+    tests = [f"rlike('', {patterns.sql_literal(java)}) AS c{i}" for i, (_, _, java) in enumerate(compiled)]
     try:
-        if r["kind"] == "phrase":
-            java = patterns.phrase_to_java(r["pattern"], bool(r["case_sensitive"]))
-        else:
-            re.compile(r["pattern"])
-            java = patterns.regex_to_java(r["pattern"], r["case_sensitive"])
-        spark.range(1).select(F.lit("").rlike(java)).collect()
-    except re.error:
-        return [("will_not_compile", where, r["pattern"])]
-    except patterns.RuleError as problem:
-        return [("not_expressible", where, str(problem))]
-    except Exception as problem:  # the engine's own message names the position
+        spark.range(1).selectExpr(*tests).collect()
+        return []
+    except Exception as problem:
         if "REGEX" not in str(problem).upper() and "PATTERN" not in str(problem).upper():
             raise
-        return [("not_expressible", where, r["pattern"])]
-    return []
+    if len(compiled) == 1:
+        return [("not_expressible", compiled[0][0], compiled[0][1])]
+    half = len(compiled) // 2
+    return _refused(spark, compiled[:half]) + _refused(spark, compiled[half:])
 
 
 def version_ledger(ledger: DataFrame, current: DataFrame) -> DataFrame:

@@ -167,25 +167,20 @@ def annotate(
         found = F.transform(found, _with_excerpt)
     else:
         found = F.transform(found, lambda f: F.struct(f["ordinal"].alias("ordinal")))
-    row = row.withColumn("fired", found).drop("_text")
-    # One generated row per record: a boundary no filter is pushed through, so a later
-    # condition on a label cannot make Spark evaluate the rules a second time.
-    row = row.select(F.explode(F.array(F.struct(*row.columns))).alias("r")).select("r.*")
-    order = [f"theme_{k}" for k in book.themes] + [f"mod_{k}" for k in book.modalities]
-    return row.select(
-        "pmid",
-        "year",
-        "year_source",
-        *order,
-        domain_of(book.modalities).alias("domain"),
-        "is_primary_research",
-        "reason",
-        "_outside",
-        "fired",
-    ).withColumn(
+    row = row.withColumns({"fired": found, "domain": domain_of(book.modalities)}).withColumn(
         "reason",
-        F.coalesce("reason", F.when((F.col("domain") == "none") & (F.size("_outside") > 0), "non_specialty_only")),
+        F.coalesce(
+            "reason",
+            F.when((F.col("domain") == "none") & (F.size("_outside") > 0), "non_specialty_only"),
+        ),
     )
+    order = [f"theme_{k}" for k in book.themes] + [f"mod_{k}" for k in book.modalities]
+    columns = [
+        "pmid", "year", "year_source", *order, "domain", "is_primary_research", "reason", "_outside", "fired",
+    ]
+    # One generated row per record: a boundary no filter is pushed through, so a later
+    # condition on a label cannot make Spark evaluate the rules a second time.
+    return row.select(F.inline(F.array(F.struct(*columns))))
 
 
 def _with_excerpt(f: Column) -> Column:

@@ -25,12 +25,19 @@ def last_wins(rows: DataFrame, key: str, order: list[str], fields) -> DataFrame:
 
 
 def read_lookup(
-    spark: SparkSession, path: str, key: str = "product_code", fields=LOOKUP_FIELDS
+    spark: SparkSession,
+    path: str,
+    key: str = "product_code",
+    fields=LOOKUP_FIELDS,
+    multi_line: bool = True,
 ) -> DataFrame:
-    """``results[]`` of every JSON file under ``path``; later files win."""
+    """``results[]`` of every JSON file under ``path``; later files win.
+
+    Set ``multi_line`` to false for files with one document per line, which can be split.
+    """
     names = list(dict.fromkeys([key, *fields]))
     item = ", ".join(f"{n}: string" for n in names)
-    docs = spark.read.schema(f"results array<struct<{item}>>").option("multiLine", True).json(path)
+    docs = spark.read.schema(f"results array<struct<{item}>>").option("multiLine", multi_line).json(path)
     rows = docs.select(
         F.col("_metadata.file_path").alias("_file"), F.posexplode("results").alias("_pos", "r")
     ).select("_file", "_pos", "r.*")
