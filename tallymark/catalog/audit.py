@@ -12,6 +12,7 @@ from tallymark.catalog import corpus
 from tallymark.catalog.common import query, table
 from tallymark.operators import sampling, scoring
 from tallymark.plans.measure_rules import measure
+from tallymark.session import written
 from tallymark.vocab import MODALITIES, RARE_MODALITIES, SAMPLE_SIZES, STRATA, TARGETED_STRATA, THEMES
 
 SEED = 20260903
@@ -36,7 +37,8 @@ _LABEL_COLS = f"pmid, year, year_source, {corpus.THEME_COLS}, {corpus.MOD_COLS},
 
 
 def labels(spark, sf_dir):
-    return corpus.run(spark, sf_dir).labels
+    """The label table, written once: a draw counts its strata and then picks from them."""
+    return written(corpus.run(spark, sf_dir).labels, "labels")
 
 
 @query(
@@ -126,6 +128,10 @@ def agent(spark, sf_dir):
 
 
 def design(spark, sf_dir):
+    return written(_design(spark, sf_dir), "design")
+
+
+def _design(spark, sf_dir):
     strata = sampling.assign_strata(labels(spark, sf_dir))
     slim = strata.select("pmid", "stratum", *[F.col(c).alias(n) for n, c in FLAGS.items()])
     pop = slim.groupBy("stratum").agg(F.count("*").alias("n_population"))
@@ -202,16 +208,12 @@ _ROUNDED = {
 )
 def agreement_table(spark, sf_dir):
     """Sums of weights depend on the order of addition, so rates are rounded."""
-    scores = measure(design(spark, sf_dir), agent_of_design(spark, sf_dir)).agreement
+    sample = design(spark, sf_dir)
+    sheet = agent(spark, sf_dir).join(sample.select("pmid"), "pmid", "left_semi")
+    scores = measure(sample, sheet).agreement
     return scores.withColumns({c: F.round(c, n) for c, n in _ROUNDED.items()})
 
 
-def agent_of_design(spark, sf_dir):
-    """Labels of the records that are in the corpus; the others were never retained."""
-    kept = labels(spark, sf_dir).select("pmid")
-    return agent(spark, sf_dir).join(kept, "pmid", "left_semi")
-
-
 @query(
     "thin_evidence",
     "P31",

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tallymark.catalog import corpus
 from tallymark.catalog.common import query, sql_norm, sql_text, table
 from tallymark.operators import counts, dedup, labelling
-from tallymark.session import scratch_path, spread
+from tallymark.session import scratch_path, spread, written
 from tallymark.sources import lookup, markup, tables
 from tallymark.streaming import incremental
 
@@ -29,7 +29,7 @@ def write_record_xml(spark, sf_dir, copies: bool = True) -> str:
     orders = table(spark, sf_dir, "orders").select(
         c("o_orderkey").alias("doc_id"), F.year("o_orderdate").alias("y"), "o_orderstatus", "o_orderpriority"
     )
-    docs = table(spark, sf_dir, "documents").join(orders, "doc_id")
+    docs = spread(table(spark, sf_dir, "documents")).join(orders, "doc_id")
     lines = F.transform(F.split("text", "\n"), _escaped)
     body = F.transform(
         F.slice(lines, 2, F.size(lines)),
@@ -112,7 +112,9 @@ xml AS (SELECT CAST(doc_id AS VARCHAR) AS pmid,
 
 
 def xml_records(spark, sf_dir):
-    return markup.parse_records(markup.read_record_xml(spark, write_record_xml(spark, sf_dir)))
+    """Parsed once and written, as a capture is: what follows reads columns, not markup."""
+    raw = markup.read_record_xml(spark, write_record_xml(spark, sf_dir))
+    return written(markup.parse_records(raw), "records")
 
 
 @query("xml_record_scan", "S1 P4 P5 P6 P7 P8 P9 W8 R2", f"WITH {XML_SQL} SELECT * FROM xml")

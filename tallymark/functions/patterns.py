@@ -25,6 +25,7 @@ SPACE = (
 )
 
 _INLINE_FLAGS = re.compile(r"\A\(\?([a-zA-Z]+)\)")
+_BEFORE_WORD = f"(?<![{WORD}])"
 _AFTER_WORD = f"(?![{WORD}])"
 _ESCAPES = {
     "w": f"[{WORD}]",
@@ -104,8 +105,90 @@ def after_prefix(java: str) -> str:
     return rf"{flags})\A([\s\S]*?)(?:{body})"
 
 
+#: Rule text that can only end, or only begin, in a word character.
+_CLASS = r"\[(?:[A-Za-z0-9]-?)+\]"
+_ENDS_IN_WORD = re.compile(
+    rf"(?<!\\)[A-Za-z0-9](?:[A-Za-z0-9]\?|\+)?$|\\[wd]\+?$|(?<!\\){_CLASS}(?:\+|\{{[1-9]\d*\}})?$"
+)
+_BEGINS_WITH_WORD = re.compile(rf"(?:[A-Za-z0-9]|\\[wd]|{_CLASS})(?![?*]|\{{[0,])")
+
+
+def _alternatives(group: str) -> list[str]:
+    """Top-level alternatives of a group's inside."""
+    out, depth, in_class, start, i = [], 0, False, 0, 0
+    while i < len(group):
+        ch = group[i]
+        if ch == "\\":
+            i += 1
+        elif in_class:
+            in_class = ch != "]"
+        elif ch == "[":
+            in_class = True
+        elif ch in "()":
+            depth += 1 if ch == "(" else -1
+        elif ch == "|" and depth == 0:
+            out.append(group[start:i])
+            start = i + 1
+        i += 1
+    return [*out, group[start:]]
+
+
+def _group_spans(body: str) -> dict[int, int]:
+    """Opening to closing position of every plain group."""
+    spans, opened, in_class, i = {}, [], False, 0
+    while i < len(body):
+        ch = body[i]
+        if ch == "\\":
+            i += 1
+        elif in_class:
+            in_class = ch != "]"
+        elif ch == "[":
+            in_class = True
+            i += body[i + 1 : i + 3].startswith(("]", "^]")) * (1 + (body[i + 1] == "^"))
+        elif ch == "(":
+            opened.append(i)
+        elif ch == ")" and opened:
+            spans[opened.pop()] = i
+        i += 1
+    return spans
+
+
+def _inside(body: str, start: int, end: int) -> str | None:
+    """What a capturing or plain non-capturing group holds; other groups are not read."""
+    inner = body[start + 1 : end]
+    if inner.startswith("?:"):
+        return inner[2:]
+    return None if inner.startswith("?") else inner
+
+
+def _word_edge(body: str, i: int, spans: dict[int, int]) -> str:
+    """The word-edge test at ``i``; only the half that its neighbours leave open.
+
+    Beside something that must be a word character one look in the other direction says
+    it all, which is several times cheaper than the general test.
+    """
+    before, after = body[:i], body[i + 2 :]
+    closed = {end: start for start, end in spans.items()}
+    ends = [before]
+    if before.endswith(")") and not before.endswith("\\)") and i - 1 in closed:
+        inner = _inside(body, closed[i - 1], i - 1)
+        ends = _alternatives(inner) if inner else [""]
+    if all(_ENDS_IN_WORD.search(x) for x in ends):
+        return _AFTER_WORD
+    starts = [after]
+    if after.startswith("(") and i + 2 in spans:
+        end = spans[i + 2]
+        inner = _inside(body, i + 2, end)
+        optional = body[end + 1 : end + 2] in ("?", "*", "{")
+        starts = _alternatives(inner) if inner and not optional else [""]
+    if all(_BEGINS_WITH_WORD.match(x) for x in starts):
+        return _BEFORE_WORD
+    return _ESCAPES["b"]
+
+
 def _translate(body: str, groups_before: int = 0) -> str:
     out: list[str] = []
+    spans = _group_spans(body)
     in_class = negated = False
     class_start = -1
     i = 0
@@ -114,15 +197,18 @@ def _translate(body: str, groups_before: int = 0) -> str:
         if ch == "\\":
             if i + 1 >= len(body):
                 raise RuleError("pattern ends in a bare backslash")
-            following, after = body[i + 2 : i + 3], body[i + 3 : i + 4]
-            if not in_class and body[i + 1] == "b" and following.isalnum() and after not in "?*{+":
-                out.append(_starting_word(following))
-                i += 3
-                continue
-            if not in_class and body[i + 1].isdigit() and body[i + 1] != "0":
-                out.append(f"\\{int(body[i + 1]) + groups_before}")
+            letter, following, after = body[i + 1], body[i + 2 : i + 3], body[i + 3 : i + 4]
+            if letter == "b" and not in_class:
+                edge = _word_edge(body, i, spans)
+                if edge == _BEFORE_WORD and following.isalnum() and after != "+":
+                    out.append(_starting_word(following))
+                    i += 3
+                    continue
+                out.append(edge)
+            elif letter.isdigit() and letter != "0" and not in_class:
+                out.append(f"\\{int(letter) + groups_before}")
             else:
-                out.append(_escape(body[i + 1], in_class, negated))
+                out.append(_escape(letter, in_class, negated))
             i += 2
             continue
         if in_class:
@@ -160,6 +246,11 @@ def _escape(letter: str, in_class: bool, negated: bool) -> str:
     return _ESCAPES.get(letter, "\\" + letter)
 
 
+def required_words(source: str) -> tuple[str, ...]:
+    """The folded words of an ASCII phrase: each must stand in the text as a whole word."""
+    return tuple(re.findall(r"[a-z0-9_]+", source.lower())) if source.isascii() else ()
+
+
 def required_literals(source: str, kind: str) -> tuple[str, ...]:
     """ASCII literals of which every match contains at least one; empty if unknown.
 
@@ -177,7 +268,8 @@ def required_literals(source: str, kind: str) -> tuple[str, ...]:
     except re.error:
         return ()
     found = found or set()
-    usable = found and all(len(x) >= 2 and x.isascii() and x.isprintable() for x in found)
+    telling = lambda x: len(x) >= 2 or not (x.isalnum() or x.isspace())
+    usable = found and all(telling(x) and x.isascii() and x.isprintable() for x in found)
     return tuple(sorted(x.lower() for x in found)) if usable else ()
 
 

@@ -31,7 +31,15 @@ def folded(text) -> Column:
     Three letters fold to ASCII only by way of their upper case, so they are replaced by
     hand: dotted capital I, dotless i and long s.
     """
-    return F.lower(F.translate(col(text), "\u0130\u0131\u017f", "iis"))
+    plain = col(text)
+    for letter, base in (("\u0130", "i"), ("\u0131", "i"), ("\u017f", "s")):
+        plain = F.replace(plain, F.lit(letter), F.lit(base))
+    return F.lower(plain)
+
+
+def words(low) -> Column:
+    """Distinct words of a folded text."""
+    return F.array_distinct(F.split(col(low), f"[^{WORD}]+"))
 
 
 def normalise_space(text) -> Column:

@@ -19,6 +19,7 @@ from tallymark.functions.rates import rate
 from tallymark.operators.grids import each, position_in, year_axis, zero_filled
 from tallymark.operators.joins import or_zero
 from tallymark.operators.labelling import keys_of
+from tallymark.session import written
 from tallymark.vocab import (
     CATCH_ALL,
     DOMAIN_SERIES,
@@ -41,7 +42,9 @@ def label_profile(labels: DataFrame) -> DataFrame:
 
 
 def _profile(table: DataFrame) -> DataFrame:
-    return table if "n" in table.columns else label_profile(table)
+    """A profile as it is; a label table is profiled once and the result written, so that
+    the rules behind it are not run again by every report that reads the profile twice."""
+    return table if "n" in table.columns else written(label_profile(table), "label-profile")
 
 
 def _themes(table: DataFrame) -> list[str]:
@@ -69,7 +72,7 @@ def combination_counts(
 ) -> DataFrame:
     """Records per theme and exact label set, ranked within the theme."""
     minimum = MINIMUM_LABELS if minimum is None else minimum
-    profile = _profile(table)
+    profile = table if "n" in table.columns else label_profile(table)
     mods = _modalities(profile)
     size = set_size(mods)
     allowed = {}

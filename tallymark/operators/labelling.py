@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tallymark.functions.labels import domain_of, set_size
 from tallymark.functions.patterns import sql_literal
-from tallymark.functions.text import excerpt, folded, match_text, tag_list
+from tallymark.functions.text import excerpt, folded, match_text, tag_list, words
 from tallymark.sources.rules import Rule, RuleBook
 from tallymark.vocab import (
     BOOK_RECORD_TYPES,
@@ -30,13 +30,20 @@ NO_NAME = "no named modality matched"
 FIRED = "array<struct<ordinal:int,n_hits:int,a:int,b:int>>"
 
 
-def fires(rule: Rule, text: str = "_text", low: str = "_low") -> str:
-    """Does one rule match?  The literal test goes first and settles most records."""
-    regex = f"rlike({text}, {sql_literal(rule.java)})"
-    if not rule.literals:
-        return regex
-    present = " OR ".join(f"contains({low}, {sql_literal(x)})" for x in rule.literals)
-    return f"(({present}) AND {regex})"
+def fires(rule: Rule) -> str:
+    """Does one rule match?  A cheap necessary test goes first and settles most records.
+
+    A phrase needs its words among the words of the text, and a phrase that is one word
+    needs nothing more.  Other rules need a literal their pattern cannot match without.
+    """
+    regex = f"rlike(_text, {sql_literal(rule.java)})"
+    if rule.words:
+        present = " AND ".join(f"array_contains(_words, {sql_literal(w)})" for w in rule.words)
+        return present if rule.words == (rule.pattern.strip().lower(),) else f"({present} AND {regex})"
+    if rule.literals:
+        present = " OR ".join(f"contains(_low, {sql_literal(x)})" for x in rule.literals)
+        return f"(({present}) AND {regex})"
+    return regex
 
 
 def _fired(rules: list[Rule], details: bool) -> str:
@@ -114,7 +121,7 @@ def annotate(
         primary_flag(records).alias("is_primary_research"),
         exclusion_reason(year_range).alias("reason"),
         F.when(exclusion_reason(year_range).isNull(), match_text()).alias("_text"),
-    ).withColumn("_low", folded("_text"))
+    ).withColumn("_low", folded("_text")).withColumn("_words", words("_low"))
 
     categories = [("theme", k) for k in book.themes] + [
         ("modality", k) for k in (*book.modalities, *book.match_only)

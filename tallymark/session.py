@@ -64,3 +64,14 @@ def spread(scan: DataFrame, tasks_per_core: int = 3) -> DataFrame:
     """
     wanted = scan.sparkSession.sparkContext.defaultParallelism * tasks_per_core
     return scan if scan.rdd.getNumPartitions() >= wanted else scan.repartition(wanted)
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` to a fresh path in the shared folder and read it back.
+
+    For a table several steps read: its lineage is evaluated once, survives the loss of
+    executors, and is read back with column pruning and known sizes.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -69,6 +69,13 @@ class Rule:
             return patterns.after_prefix(self.java)
         return patterns.after_prefix(patterns.regex_to_java(self.pattern, self.case_flag, 1))
 
+    @property
+    def words(self) -> tuple[str, ...]:
+        """Whole words a case-insensitive phrase needs, or none if that cannot be said."""
+        if self.kind != "phrase" or self.case_flag:
+            return ()
+        return patterns.required_words(self.pattern)
+
     @property
     def literals(self) -> tuple[str, ...]:
         return patterns.required_literals(self.pattern, self.kind)

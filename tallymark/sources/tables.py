@@ -9,8 +9,8 @@ from pyspark.sql import types as T
 from tallymark.operators.dedup import keep_first
 from tallymark.operators.registry import DATE_COLUMN, DEVICE_COLUMNS
 
-#: The flat record table (one row per paper).
-RECORD_SCHEMA = T.StructType.fromDDL(
+#: The flat record table (one row per paper), as a schema any reader takes.
+RECORD_SCHEMA = (
     "pmid string, doi string, title string, abstract string, has_abstract boolean, "
     "abstract_structured boolean, abstract_sections int, journal string, journal_iso string, "
     "year int, year_source string, article_date_year int, pub_date_year int, "
