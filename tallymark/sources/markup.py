@@ -2,8 +2,8 @@
 
 XML is read record by record: the file reader cuts at the closing tag of an article, so
 one large file is shared between tasks and no file has to fit in memory.  Plain fields are
-parsed once per record into a struct; titles and abstract sections carry inline markup
-and go through XPath, whose string value keeps mixed content in order.
+parsed once per record into a struct, which would tear mixed content apart; titles and
+abstract sections carry inline markup, so they are cut out and flattened as text.
 """
 
 from __future__ import annotations
@@ -66,7 +66,17 @@ def read_record_xml(spark: SparkSession, path: str) -> DataFrame:
     ).select("source_file", "block", "place", "nth", "r.*")
 
 
-def _sections(xml: Column, within: str) -> Column:
+def flat_text(fragment: Column) -> Column:
+    """Text of a markup fragment, inline tags dropped.
+
+    Plain string work serves nearly every fragment; one with numbered characters, CDATA
+    or comments goes through an XML parser.
+    """
+    parsed = F.xpath_string(F.concat(F.lit("<r>"), fragment, F.lit("</r>")), F.lit("/r"))
+    return F.when(fragment.rlike("&#|<!"), normalise_space(parsed)).otherwise(tag_text(fragment))
+
+
+def _sections(xml: Column) -> Column:
     """``array<struct<label, text>>`` of the abstract parts of a record."""
     abstract = F.regexp_extract(xml, r"(?s)<Abstract(?:\s[^>]*)?>(.*?)</Abstract>", 1)
     parts = F.regexp_extract_all(
@@ -75,14 +85,15 @@ def _sections(xml: Column, within: str) -> Column:
     return F.transform(
         parts,
         lambda p: F.struct(
-            F.xpath_string(p, F.lit("/AbstractText/@Label")).alias("label"),
-            normalise_space(F.xpath_string(p, F.lit("/AbstractText"))).alias("text"),
+            flat_text(F.regexp_extract(p, r"""\A<AbstractText\s[^>]*?\bLabel=["']([^"']*)""", 1)).alias("label"),
+            flat_text(p).alias("text"),
         ),
     )
 
 
-def _flat_xpath(xml: Column, path: str) -> Column:
-    return normalise_space(F.xpath_string(xml, F.lit(path)))
+def _element(xml: Column, name: str) -> Column:
+    """Flat text of the first element of that name."""
+    return flat_text(F.regexp_extract(xml, rf"(?s)<{name}(?:\s[^>]*)?(?<!/)>(.*?)</{name}>", 1))
 
 
 def _first_id(ids: Column, kind: str) -> Column:
@@ -99,95 +110,78 @@ def _texts(items: Column, field: str | None = "_VALUE") -> Column:
 
 
 def parse_records(raw: DataFrame) -> DataFrame:
-    """The flat record table from ``read_record_xml``, with the ordering columns kept."""
-    order = ["block", "place", "nth"]
-    art = raw.where(F.col("record_type") == ARTICLE)
-    art = art.withColumn("x", F.from_xml("xml", _ARTICLE)).withColumn(
-        "a", F.struct(sections_text(_sections(F.col("xml"), ARTICLE)).alias("t"))
+    """The flat record table from ``read_record_xml``, with the ordering columns kept.
+
+    Both record types go through one projection, so a capture is read once.  An expression
+    several columns need is a named column first, worked out once.
+    """
+    xml, is_book = F.col("xml"), F.col("record_type") == BOOK
+    parsed = raw.withColumns(
+        {
+            "x": F.when(~is_book, F.from_xml("xml", _ARTICLE)),
+            "b": F.when(is_book, F.from_xml("xml", _BOOK)["BookDocument"]),
+            "_s": _sections(xml),
+            "_title": _element(xml, "ArticleTitle"),
+            "_book": F.when(is_book, _element(xml, "BookTitle")),
+        }
     )
-    c, a = F.col("x.MedlineCitation"), F.col("x.MedlineCitation.Article")
+    c, a, b = F.col("x.MedlineCitation"), F.col("x.MedlineCitation.Article"), F.col("b")
     issue = a["Journal"]["JournalIssue"]["PubDate"]
-    numbered = issue["Year"].isNotNull()
-    issue_year = F.when(numbered, first_year(issue["Year"])).otherwise(first_year(issue["MedlineDate"]))
-    article_year = F.array_min(F.transform(a["ArticleDate"], lambda d: first_year(d["Year"])))
     entered = F.filter(
         F.col("x.PubmedData.History.PubMedPubDate"), lambda d: d["_PubStatus"] == "pubmed"
     )
-    history = first_year(F.get(entered, 0)["Year"])
+    dated = parsed.withColumns(
+        {
+            "_ay": F.array_min(F.transform(a["ArticleDate"], lambda d: first_year(d["Year"]))),
+            "_iy": F.when(is_book, first_year(b["Book"]["PubDate"]["Year"]))
+            .when(issue["Year"].isNotNull(), first_year(issue["Year"]))
+            .otherwise(first_year(issue["MedlineDate"])),
+            "_hy": first_year(F.get(entered, 0)["Year"]),
+            "_free": issue["Year"].isNull(),
+            "_l": _texts(F.coalesce(a["Language"], b["Language"]), None),
+            "_t": sections_text("_s"),
+        }
+    ).withColumn("_y", choose_year("_ay", "_iy", "_hy", "_free"))
+    book_source = F.when(F.col("_iy").isNotNull(), "Book/PubDate").otherwise("none")
     mesh = c["MeshHeadingList"]["MeshHeading"]
     terms = lambda m: F.filter(
         _texts(F.transform(m, lambda h: h["DescriptorName"])), lambda t: F.length(t) > 0
     )
-    major = F.filter(mesh, lambda h: h["DescriptorName"]["_MajorTopicYN"] == "Y")
-    languages = _texts(a["Language"], None)
-    articles = art.withColumns(
-        {
-            "_y": choose_year(article_year, issue_year, history, ~numbered),
-            "_t": F.col("a.t"),
-            "_l": languages,
-        }
-    ).select(
-        normalise_space(c["PMID"]["_VALUE"]).alias("pmid"),
+    return dated.select(
+        normalise_space(F.coalesce(c["PMID"]["_VALUE"], b["PMID"]["_VALUE"])).alias("pmid"),
         F.coalesce(
             _first_id(F.col("x.PubmedData.ArticleIdList.ArticleId"), "_IdType"),
             _first_id(a["ELocationID"], "_EIdType"),
+            _first_id(b["ArticleIdList"]["ArticleId"], "_IdType"),
             F.lit(""),
         ).alias("doi"),
-        _flat_xpath(F.col("xml"), f"/{ARTICLE}/MedlineCitation/Article/ArticleTitle").alias("title"),
+        F.coalesce(F.nullif("_title", F.lit("")), "_book", F.lit("")).alias("title"),
         F.col("_t.text").alias("abstract"),
         (F.col("_t.text") != "").alias("has_abstract"),
         F.col("_t.structured").alias("abstract_structured"),
         F.col("_t.sections").alias("abstract_sections"),
-        normalise_space(a["Journal"]["Title"]).alias("journal"),
+        F.when(is_book, F.col("_book")).otherwise(normalise_space(a["Journal"]["Title"])).alias("journal"),
         normalise_space(a["Journal"]["ISOAbbreviation"]).alias("journal_iso"),
-        F.col("_y.year").alias("year"),
-        F.col("_y.year_source").alias("year_source"),
-        article_year.alias("article_date_year"),
-        issue_year.alias("pub_date_year"),
-        _texts(a["PublicationTypeList"]["PublicationType"]).alias("publication_types"),
+        F.when(is_book, F.col("_iy")).otherwise(F.col("_y.year")).alias("year"),
+        F.when(is_book, book_source).otherwise(F.col("_y.year_source")).alias("year_source"),
+        F.col("_ay").alias("article_date_year"),
+        F.col("_iy").alias("pub_date_year"),
+        _texts(F.coalesce(a["PublicationTypeList"]["PublicationType"], b["PublicationType"])).alias(
+            "publication_types"
+        ),
         terms(mesh).alias("mesh_descriptors"),
-        terms(major).alias("mesh_major_descriptors"),
-        F.coalesce(F.get("_l", 0), F.lit("")).alias("language"),
-        F.col("_l").alias("languages"),
-        "record_type",
-        "source_file",
-        F.lit(0).alias("kind"),
-        *order,
-    )
-    book = raw.where(F.col("record_type") == BOOK)
-    book = book.withColumn("x", F.from_xml("xml", _BOOK)).withColumn(
-        "a", F.struct(sections_text(_sections(F.col("xml"), BOOK)).alias("t"))
-    )
-    d = F.col("x.BookDocument")
-    book_year = first_year(d["Book"]["PubDate"]["Year"])
-    none = F.array().cast("array<string>")
-    book_title = _flat_xpath(F.col("xml"), f"/{BOOK}/BookDocument/Book/BookTitle")
-    own_title = _flat_xpath(F.col("xml"), f"/{BOOK}/BookDocument/ArticleTitle")
-    books = book.withColumns({"_t": F.col("a.t"), "_l": _texts(d["Language"], None)}).select(
-        normalise_space(d["PMID"]["_VALUE"]).alias("pmid"),
-        F.coalesce(_first_id(d["ArticleIdList"]["ArticleId"], "_IdType"), F.lit("")).alias("doi"),
-        F.coalesce(F.nullif(own_title, F.lit("")), book_title).alias("title"),
-        F.col("_t.text").alias("abstract"),
-        (F.col("_t.text") != "").alias("has_abstract"),
-        F.col("_t.structured").alias("abstract_structured"),
-        F.col("_t.sections").alias("abstract_sections"),
-        book_title.alias("journal"),
-        F.lit("").alias("journal_iso"),
-        book_year.alias("year"),
-        F.when(book_year.isNotNull(), "Book/PubDate").otherwise("none").alias("year_source"),
-        F.lit(None).cast("int").alias("article_date_year"),
-        book_year.alias("pub_date_year"),
-        _texts(d["PublicationType"]).alias("publication_types"),
-        none.alias("mesh_descriptors"),
-        none.alias("mesh_major_descriptors"),
+        terms(F.filter(mesh, lambda h: h["DescriptorName"]["_MajorTopicYN"] == "Y")).alias(
+            "mesh_major_descriptors"
+        ),
         F.coalesce(F.get("_l", 0), F.lit("")).alias("language"),
         F.col("_l").alias("languages"),
         "record_type",
         "source_file",
-        F.lit(1).alias("kind"),
-        *order,
+        is_book.cast("int").alias("kind"),
+        "block",
+        "place",
+        "nth",
     )
-    return articles.unionByName(books)
 
 
 #: The order in which a capture's records are taken when copies are dropped.
@@ -205,7 +199,9 @@ def records_per_file(records: DataFrame) -> DataFrame:
 # --- HTML pages ------------------------------------------------------------------
 
 #: Entities that occur in running text, decoded in this order.
-ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&nbsp;": " ", "&amp;": "&"}
+ENTITIES = {
+    "&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&#39;": "'", "&nbsp;": " ", "&amp;": "&",
+}
 
 
 def tag_text(html: Column) -> Column:
