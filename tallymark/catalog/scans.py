@@ -234,7 +234,7 @@ def commented_csv_scan(spark, sf_dir):
         F.lit(1).alias("k"), F.concat_ws(",", "o_orderpriority", F.col("y").cast("string"), F.col("n").cast("string")).alias("value")
     )
     top = spark.createDataFrame(
-        [(0, "# file: theme_year_counts.csv\n# source: orders\ntheme,year,n_papers")], "k int, value string"
+        [(0, "# file: counts.csv\n# source: orders\ntheme,year,n_papers")], "k int, value string"
     )
     out = scratch_path(spark, "commented")
     lines.unionByName(top).coalesce(1).sortWithinPartitions("k").select("value").write.text(out)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallymark.operators.joins import same
+
 
 def keep_first(df: DataFrame, key: str, order: list[str]) -> DataFrame:
     """First row per ``key`` in ``order``, which must identify a row.
@@ -16,9 +18,8 @@ def keep_first(df: DataFrame, key: str, order: list[str]) -> DataFrame:
     """
     keyed = df.withColumn("_key", F.coalesce(F.col(key).cast("string"), F.lit("")))
     winners = keyed.groupBy("_key").agg(F.min(F.struct(*order)).alias("_first"))
-    return keyed.join(
-        winners.select("_key", "_first.*"), ["_key", *order], "left_semi"
-    ).drop("_key")
+    first = winners.select("_key", "_first.*")
+    return keyed.alias("a").join(first.alias("b"), same("_key", *order), "left_semi").drop("_key")
 
 
 def duplicate_count(df: DataFrame, key: str) -> DataFrame:

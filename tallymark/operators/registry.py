@@ -95,7 +95,7 @@ def classify_devices(
         F.col("category").alias("decided_category"),
         "confidence",
     ).join(
-        F.broadcast(
+        small(
             labels.select(
                 F.col("category").alias("decided_category"),
                 F.col("domain").alias("decided_domain"),

@@ -35,8 +35,8 @@ def capture(tmp_path_factory):
     two = ARTICLE.format(pmid="1", pub="<Year>1999</Year>", abstract="", dates="")
     two += ARTICLE.format(pmid="3", pub="", abstract="<Abstract><AbstractText>Plain</AbstractText></Abstract>", dates="")
     head = '<?xml version="1.0"?>\n<PubmedArticleSet>\n'
-    (folder / "efetch_001.xml").write_text(head + one + "</PubmedArticleSet>\n")
-    (folder / "efetch_002.xml").write_text(head + two + "</PubmedArticleSet>\n")
+    (folder / "batch_001.xml").write_text(head + one + "</PubmedArticleSet>\n")
+    (folder / "batch_002.xml").write_text(head + two + "</PubmedArticleSet>\n")
     return str(folder)
 
 
@@ -44,7 +44,7 @@ def test_xml_records(spark, capture):
     records = markup.parse_records(markup.read_record_xml(spark, capture))
     assert records.count() == 5
     per_file = {r["source_file"]: (r["n_records"], r["n_books"]) for r in markup.records_per_file(records).collect()}
-    assert per_file == {"efetch_001.xml": (3, 1), "efetch_002.xml": (2, 0)}
+    assert per_file == {"batch_001.xml": (3, 1), "batch_002.xml": (2, 0)}
     first = {r["pmid"]: r for r in dedup.keep_first(records, "pmid", markup.RECORD_ORDER).collect()}
     assert sorted(first) == ["1", "2", "3", "77"]
     r = first["1"]
@@ -114,8 +114,8 @@ def test_record_tables_round_trip(spark, tmp_path):
 
 def test_lookup_last_file_wins_and_blanks_are_null(spark, tmp_path):
     doc = lambda *r: json.dumps({"meta": 1, "results": [dict(zip(("product_code", "device_name", "regulation_number"), x)) for x in r]}, indent=1)
-    (tmp_path / "classification_001.json").write_text(doc(("AAA", "old", "1"), (" ", "none", "1"), ("BBB", "", " 2 ")))
-    (tmp_path / "classification_002.json").write_text(doc(("AAA ", "new", "")))
+    (tmp_path / "lookup_001.json").write_text(doc(("AAA", "old", "1"), (" ", "none", "1"), ("BBB", "", " 2 ")))
+    (tmp_path / "lookup_002.json").write_text(doc(("AAA ", "new", "")))
     got = {r["product_code"]: (r["device_name"], r["regulation_number"]) for r in lookup.read_lookup(
         spark, str(tmp_path), fields=["device_name", "regulation_number"]).collect()}
     assert got == {"AAA": ("new", None), "BBB": (None, "2")}
