@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallymark.operators.joins import small
 from tallymark.session import durable
 
 
@@ -64,7 +65,7 @@ def numbered(
         [F.col(f"r.{c}").eqNullSafe(F.col(f"o.{c}")) for c in ["_part", *by]],
     )
     number = F.col("o._before") + F.col("r._place") - F.col("o._start") + 1
-    return placed.alias("r").join(offsets.alias("o"), on).select(
+    return placed.alias("r").join(small(offsets).alias("o"), on).select(
         *[F.col(f"r.{c}") for c in df.columns], number.alias(position)
     )
 
