@@ -71,3 +71,12 @@ def decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tallymark.llm.decontaminate import report
 
     return report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op3_language_id")
+def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallymark.llm.language import held_out, predict, train
+
+    docs = table(spark, sf_dir, "documents")
+    model = train(docs.where(~held_out()).select("text", "lang"))
+    return predict(docs.select("doc_id", held_out().alias("held_out"), "text"), model)
