@@ -80,3 +80,27 @@ def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = train(docs.where(~held_out()).select("text", "lang"))
     return predict(docs.select("doc_id", held_out().alias("held_out"), "text"), model)
+
+
+URLS_SQL = r"""
+WITH u AS (SELECT page_id, CASE WHEN instr(coalesce(url, ''), '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+ parts AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                  regexp_extract(substr(rest, length(regexp_extract(rest, '^[^/?#]*')) + 1), '^[^?#]*') AS path FROM u),
+ rules(rule, verdict, h, p) AS (VALUES ('net/', 'block', 'net', '/'), ('example.net/en/', 'allow', 'example.net', '/en/'),
+                                       ('example.com/de/', 'block', 'example.com', '/de/'), ('org/fr/', 'allow', 'org', '/fr/')),
+ words(w) AS (VALUES ('ads'), ('adserver'), ('adult'), ('bets'), ('betting'), ('casino'), ('doubleclick'), ('pills'), ('poker'), ('porn'), ('spam'), ('viagra'), ('xxx')),
+ hosts AS (SELECT DISTINCT host, path FROM parts),
+ judged AS (SELECT host, path, arg_max(rule, length(rule)) AS rule, arg_max(verdict, length(rule)) AS verdict
+            FROM hosts JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY host, path),
+ bad AS (SELECT DISTINCT host, path FROM hosts JOIN words ON regexp_matches(host, '(^|[^a-z0-9])' || w || '([^a-z0-9]|$)'))
+SELECT page_id, parts.host, parts.path, rule, coalesce(verdict, CASE WHEN bad.host IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict
+FROM parts LEFT JOIN judged ON parts.host = judged.host AND parts.path = judged.path
+LEFT JOIN bad ON parts.host = bad.host AND parts.path = bad.path
+"""
+
+
+@query("op5_url_filter", URLS_SQL)
+def url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallymark.llm.url_filter import judge
+
+    return judge(table(spark, sf_dir, "pages"))
