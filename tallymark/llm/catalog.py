@@ -138,3 +138,26 @@ def chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").selectExpr("cast(conv_id as long) conv_id", "cast(turn as long) turn", "role", "text")
     tricky = spark.createDataFrame([(-1, 0, "user", TRICKY), (-1, 1, "assistant", TRICKY)], turns.schema)
     return read_back(segments(turns.unionByName(tricky)))
+
+
+LINKS_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                             '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+ g AS MATERIALIZED (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 4], ' ') AS h
+       FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 2))) AS i FROM w WHERE len(ws) > 0)),
+ n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+ shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS s FROM g AS a JOIN g AS b ON a.h = b.h AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
+ links AS MATERIALIZED (SELECT a, b, s, x.n AS na, y.n AS nb FROM shared JOIN n AS x ON x.doc_id = a JOIN n AS y ON y.doc_id = b WHERE 9 * s >= 4 * (x.n + y.n)),
+ reach(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b),
+ groups AS (SELECT a, min(b) AS class_id FROM reach GROUP BY a),
+ per_doc AS (SELECT a, count(*) AS n_links, min(b) FILTER (WHERE s = na AND s = nb) AS twin FROM links GROUP BY a)
+SELECT w.doc_id, class_id, coalesce(n_links, 0) AS n_links, least(w.doc_id, coalesce(twin, w.doc_id)) AS copy_id, CAST(coalesce(n.n, 0) AS INTEGER) AS n_shingles
+FROM w JOIN groups ON groups.a = w.doc_id LEFT JOIN per_doc ON per_doc.a = w.doc_id LEFT JOIN n ON n.doc_id = w.doc_id
+"""
+
+
+@query("op9_jaccard_join", LINKS_SQL)
+def jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallymark.llm.jaccard_join import join
+
+    return join(table(spark, sf_dir, "documents"))
