@@ -161,3 +161,10 @@ def jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tallymark.llm.jaccard_join import join
 
     return join(table(spark, sf_dir, "documents"))
+
+
+@query("op2_token_packing")
+def token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallymark.llm.packing import pack
+
+    return pack(table(spark, sf_dir, "documents"))
