@@ -168,3 +168,11 @@ def token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tallymark.llm.packing import pack
 
     return pack(table(spark, sf_dir, "documents"))
+
+
+@query("op6_source_mixing")
+def source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallymark.llm.mixing import label_domain, rates
+
+    labelled = table(spark, sf_dir, "labels").select("doc_id", label_domain().alias("domain"))
+    return rates(table(spark, sf_dir, "documents"), labelled)
