@@ -176,3 +176,12 @@ def source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     labelled = table(spark, sf_dir, "labels").select("doc_id", label_domain().alias("domain"))
     return rates(table(spark, sf_dir, "documents"), labelled)
+
+
+@query("op4_nearest_neighbours")
+def nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from tallymark.llm.neighbours import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
