@@ -34,10 +34,10 @@ def duplicate_count(df: DataFrame, key: str) -> DataFrame:
 def reconcile_capture(df: DataFrame, key: str, requested: DataFrame) -> DataFrame:
     """Fetched, unique, copies, shortfall and whether unique equals what was expected.
 
-    ``requested`` is a one-row table ``(requested, expected)``.
+    ``requested`` is a manifest ``(requested, expected)`` of any number of slices; they add up.
     """
     counts = duplicate_count(df, key).withColumn("_one", F.lit(1))
-    return counts.join(F.broadcast(requested.limit(1).withColumn("_one", F.lit(1))), "_one").select(
+    return counts.join(F.broadcast(requested.agg(F.sum("requested").alias("requested"), F.sum("expected").alias("expected")).withColumn("_one", F.lit(1))), "_one").select(
         F.col("n_rows").alias("fetched"),
         "n_unique",
         "n_duplicates",
