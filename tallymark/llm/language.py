@@ -163,13 +163,17 @@ def train(labelled: DataFrame) -> Model:
     return Model(tuple(names), np.log(texts / texts.sum()), log)
 
 
+#: Columns of the input that a prediction does not carry along.
+REPLACED = ("text", "lang_pred", "score")
+
+
 def _predict(share):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = share.value
         names = np.array([*model.languages, UNKNOWN], dtype=object)
         for batch in chunks(batches, "text"):
             best, score = model.scores(batch.column("text").to_pylist())
-            others = [c for c in batch.schema.names if c != "text"]
+            others = [c for c in batch.schema.names if c not in REPLACED]
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c) for c in others), pa.array(names[best].tolist(), pa.string()), pa.array(score, pa.float64())],
                 [*others, "lang_pred", "score"],
@@ -179,10 +183,10 @@ def _predict(share):
 
 
 def predict(texts: DataFrame, model: Model) -> DataFrame:
-    """The columns of ``texts`` but ``text``, with ``lang_pred`` and ``score``."""
+    """The columns of ``texts`` but ``text``, with ``lang_pred`` and ``score``, which replace columns of these names."""
     short_batches(texts.sparkSession)
     share = texts.sparkSession.sparkContext.broadcast(model)
-    others = [f for f in texts.schema.fields if f.name != "text"]
+    others = [f for f in texts.schema.fields if f.name not in REPLACED]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in others), "lang_pred string, score double"])
     return texts.mapInArrow(_predict(share), schema)
 
