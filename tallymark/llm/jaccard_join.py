@@ -241,8 +241,9 @@ def _leaves(classes: DataFrame, runs: int, bucket: int) -> DataFrame:
         sizes = rows.groupBy("path", "run").agg(
             F.count("*").alias("m"), F.max("above").alias("above"), F.bit_xor("d1").alias("x1"), F.bit_xor("d2").alias("x2")
         ).where("m > 1")
-        # buckets of the same sets are one
-        kept = written(sizes.groupBy("m", "x1", "x2").agg(F.min(F.struct("path", "run", "above")).alias("p")).select("p.*", "m"), f"buckets{level}")
+        # buckets of the same sets are one, which is split by the tokens of every run that it stands for
+        merged = sizes.groupBy("m", "x1", "x2").agg(F.min("path").alias("path"), F.min("above").alias("above"), F.collect_set("run").alias("runs"))
+        kept = written(merged.select("path", "above", "m", "runs"), f"buckets{level}")
         split = (F.col("m") > bucket) & ((F.col("above") == 0) | (F.col("m") <= DENSE * F.col("above")))
         if level == LEVELS:
             split = F.lit(False)
@@ -251,11 +252,11 @@ def _leaves(classes: DataFrame, runs: int, bucket: int) -> DataFrame:
         done = leaf if done is None else done.unionByName(leaf)
         if level == LEVELS or not kept.where(split).head(1):
             return done
-        hot = live.where("split").select("path", "run", "m", *KEY)
+        hot = live.where("split").select("path", "m", *KEY, F.explode("runs").alias("run"))
         rows = (
             hot.join(arrays, KEY)
             .select(*KEY, "run", F.col("m").alias("above"), "path", F.explode(F.expr(f"chosen[{level * runs} + run]")).alias("t"))
-            .select(*KEY, "run", F.xxhash64("path", "t").alias("path"), "above")
+            .select(*KEY, "run", F.xxhash64("path", "run", "t").alias("path"), "above")
         )
         rows = written(rows, f"paths{level}")
     return done

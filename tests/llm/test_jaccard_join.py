@@ -50,6 +50,15 @@ def test_equals_brute_force_in_small_and_in_split_buckets(docs):
         assert len(found) == len(rows)
 
 
+def test_groups_with_the_same_shared_tokens_survive_a_split(docs):
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(6))
+    bodies = [" ".join(word() for _ in range(60)) for _ in range(300)]
+    rows = [(24 * i + j, f"{body} {word()} {word()}") for i, body in enumerate(bodies) for j in range(24)]
+    found = join(docs(rows), bucket=8).collect()
+    assert {(x.doc_id, x.class_id, x.n_links) for x in found} == {(i, i - i % 24, 23) for i, _ in rows}
+
+
 def test_one_of_each_group_stays_with_all_its_columns(spark):
     rows = corpus()
     table = spark.createDataFrame([(i, t, "x", i) for i, t in rows] + [(0, rows[0][1], "x", 0)], "doc_id long, text string, k1 string, d1 long")
