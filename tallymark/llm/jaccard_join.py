@@ -10,11 +10,13 @@ is compared by brute force too, dealt out in blocks, so no bucket is ever one ta
 
 A pair may meet in several buckets; the first of those the two have in common alone counts it, so links are counted
 without ever listing pairs.  Brute force first compares bottom-``SKETCH`` sketches (a pair over the
-similarity falls under ``SKETCH_LEAST`` with a chance below 1 in 100,000), and only sets with a
+similarity falls under ``sketch_least`` with a chance below ``SKETCH_LOSS``), and only sets with a
 candidate left bring their texts for the exact comparison.
 
-A pair of the least similarity shares on average one token in each run, so ``runs`` follows from the target
-recall: ``1 - exp(-runs)``.  The links found are exact; none is found that is not there.
+A pair of the least similarity shares on average at least one token in each run, and ``SPLIT_RATE`` at each split.  So it
+survives a run with ``(1 - exp(-1)) * (1 - exp(-SPLIT_RATE)) ** splits`` at least; ``runs`` is such that a pair misses
+all runs with a chance of ``1 - RECALL`` at most, even if every one of its buckets is split to the last level.
+The links found are exact; none is found that is not there.
 
 * words: A-Z lower-cased, runs of digits, letters a-z and characters beyond ASCII
 * a text of 1 to 4 words is one token; null, empty and wordless texts have no token, no link, and are classes of their own
@@ -37,7 +39,7 @@ from tallymark.llm.textscan import BASES, LOWER, WORD_BYTES, Runs, Words, buffer
 
 SHINGLE = 5
 SIMILARITY = 0.8
-RECALL = 0.999
+RECALL = 0.999999
 #: Sets compared at once.
 BUCKET = 512
 #: Tokens chosen on a path: level 1 and two splits.
@@ -47,7 +49,10 @@ SPLIT_RATE = 3.0
 #: A split that leaves more than this share of the bucket together is not worth another.
 DENSE = 0.5
 SKETCH = 32
-SKETCH_LEAST = 14
+#: Chance that the sketches rule out a pair that is linked.
+SKETCH_LOSS = 1e-7
+#: Hashes of a text at once.
+HASHES = 1 << 20
 #: Columns of an incidence matrix at once.
 COLUMNS = 4096
 KEY = ["d1", "d2"]
@@ -75,35 +80,60 @@ def _salted(tokens: np.ndarray, salt: int) -> np.ndarray:
     return mix(tokens ^ np.uint64((salt + 1) * BASES[1] & (2**64 - 1)))
 
 
-def _chosen(tokens: np.ndarray, level: int, run: int, similarity: float) -> np.ndarray:
-    """Tokens that a set chooses on one level of one run; the same for all paths of the run."""
-    rate = (SPLIT_RATE if level else 1.0) / (similarity * len(tokens))
-    if rate >= 1:
-        return tokens
-    return tokens[_salted(tokens, 100 + level * 64 + run) < np.uint64(rate * 2.0**64)]
+def _chosen(tokens: np.ndarray, runs: int, similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Tokens that a set chooses, run after run, first those of level 1 and then 32 bits of those of each split; how many each time."""
+    times = LEVELS * runs
+    rate = np.repeat([1.0, *[SPLIT_RATE] * (LEVELS - 1)], runs) / (similarity * len(tokens))
+    below = np.where(rate < 1, (np.minimum(rate, 1 - 2.0**-53) * 2.0**64).astype(np.uint64), np.uint64(2**64 - 1))
+    salts = np.array([(101 + i // runs + LEVELS * (i % runs)) * BASES[1] & (2**64 - 1) for i in range(times)], dtype=np.uint64)
+    counts, own, split = [], [], []
+    step = max(1, HASHES // len(tokens))
+    for low in range(0, times, step):
+        hashes = mix(tokens[None, :] ^ salts[low : low + step, None])
+        time, at = np.nonzero(hashes <= below[low : low + step, None])
+        counts.append(np.bincount(time, minlength=len(hashes)))
+        first = time + low < runs
+        own.append(tokens[at[first]])
+        split.append(hashes[time[~first], at[~first]].astype(np.uint32))
+    return signed(np.concatenate(own)), np.concatenate(split).view(np.int32), np.concatenate(counts)
 
 
-DESCRIBED = "doc_id long, k1 long, k2 long, n int, d1 long, d2 long, sketch array<int>, chosen array<array<long>>"
+DESCRIBED = "doc_id long, k1 long, k2 long, n int, d1 long, d2 long, sketch array<int>, chosen array<array<long>>, splits array<array<int>>"
+
+
+def _lists(values: list[np.ndarray], counts: np.ndarray, kind: pa.DataType) -> pa.Array:
+    """Lists of lists: a row of ``counts`` has the lengths of the inner lists of a row."""
+    inner = pa.ListArray.from_arrays(np.r_[0, np.cumsum(counts)].astype(np.int32), pa.array(np.concatenate(values), kind))
+    return pa.ListArray.from_arrays((np.arange(len(counts) + 1) * counts.shape[1]).astype(np.int32), inner)
 
 
 def _describe(runs: int, similarity: float):
-    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.list_(pa.int64()))]
+    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int32())]
+    nothing = np.empty(0, np.int64), np.empty(0, np.int32), np.zeros(LEVELS * runs, np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "text"):
-            rows = []
+            rows, choices = [], []
             for tokens in shingle_sets(batch.column("text")):
                 if not len(tokens):
-                    rows.append((0, 0, 0, [], []))
+                    rows.append((0, 0, 0, []))
+                    choices.append(nothing)
                     continue
                 sums = [int(np.sum(_salted(tokens, s), dtype=np.uint64).view(np.int64)) for s in (0, 1)]
                 low = _salted(tokens, 2)
                 low = np.sort(np.partition(low, SKETCH - 1)[:SKETCH] if len(low) > SKETCH else low)
-                chosen = [signed(_chosen(tokens, level, r, similarity)) for level in range(LEVELS) for r in range(runs)]
-                rows.append((len(tokens), *sums, (low >> np.uint64(32)).astype(np.uint32).view(np.int32), chosen))
+                rows.append((len(tokens), *sums, (low >> np.uint64(32)).astype(np.uint32).view(np.int32)))
+                choices.append(_chosen(tokens, runs, similarity))
+            own, split, counts = zip(*choices, strict=True)
+            counts = np.stack(counts)
             columns = zip(*rows, strict=True)
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in ("doc_id", "k1", "k2")), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))],
+                [
+                    *(batch.column(c) for c in ("doc_id", "k1", "k2")),
+                    *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True)),
+                    _lists(own, counts[:, :runs], pa.int64()),
+                    _lists(split, counts[:, runs:], pa.int32()),
+                ],
                 [f.split()[0] for f in DESCRIBED.split(", ")],
             )
 
@@ -173,8 +203,20 @@ def _counted_here(table: pa.Table) -> np.ndarray:
     return fresh
 
 
+def sketch_least(similarity: float) -> int:
+    """Values that the sketches of two sets of that similarity share but for a chance of ``SKETCH_LOSS``.
+
+    They share fewest where one set holds the other; then each value of the larger one's sketch stands in both with a chance of ``similarity``.
+    """
+    least, below = 0, 0.0
+    while (below := below + math.comb(SKETCH, least) * similarity**least * (1 - similarity) ** (SKETCH - least)) <= SKETCH_LOSS:
+        least += 1
+    return least
+
+
 def _candidates(similarity: float):
     """Rows of sets with a partner whose sketch does not rule it out."""
+    at_least = sketch_least(similarity)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _groups(batches):
@@ -185,7 +227,7 @@ def _candidates(similarity: float):
                 fresh &= np.minimum(n[:, None], n[None, :]) >= similarity * np.maximum(n[:, None], n[None, :]) - 1e-9
                 sketches = [np.unique(np.array(s, dtype=np.int32)) for s in table.column("sketch").to_pylist()]
                 small = np.maximum(n[:, None], n[None, :]) <= SKETCH
-                least = np.where(small, np.minimum(SKETCH_LEAST, similarity / (1 + similarity) * both - 1e-9), SKETCH_LEAST)
+                least = np.where(small, np.minimum(at_least, similarity / (1 + similarity) * both - 1e-9), at_least)
                 fresh &= shared_counts(sketches) >= least
             wanted = np.flatnonzero(fresh.any(axis=0) | fresh.any(axis=1))
             if len(wanted):
@@ -233,9 +275,9 @@ def _verify(similarity: float):
 
 def _leaves(classes: DataFrame, runs: int, bucket: int) -> DataFrame:
     """``path, d1, d2, blocks`` of all buckets to compare; ``blocks`` is 1 for those of at most ``bucket`` sets."""
-    arrays = classes.select(*KEY, "chosen")
-    first = F.transform(F.slice("chosen", 1, runs), lambda own, r: F.transform(own, lambda t: F.struct(r.alias("run"), F.xxhash64(r, t).alias("path"))))
-    rows = arrays.select(*KEY, F.inline(F.flatten(first)), F.lit(0).cast("long").alias("above"))
+    arrays = classes.select(*KEY, "splits")
+    first = F.transform("chosen", lambda own, r: F.transform(own, lambda t: F.struct(r.alias("run"), F.xxhash64(r, t).alias("path"))))
+    rows = classes.select(*KEY, F.inline(F.flatten(first)), F.lit(0).cast("long").alias("above"))
     done = None
     for level in range(1, LEVELS + 1):
         sizes = rows.groupBy("path", "run").agg(
@@ -255,7 +297,7 @@ def _leaves(classes: DataFrame, runs: int, bucket: int) -> DataFrame:
         hot = live.where("split").select("path", "m", *KEY, F.explode("runs").alias("run"))
         rows = (
             hot.join(arrays, KEY)
-            .select(*KEY, "run", F.col("m").alias("above"), "path", F.explode(F.expr(f"chosen[{level * runs} + run]")).alias("t"))
+            .select(*KEY, "run", F.col("m").alias("above"), "path", F.explode(F.expr(f"splits[{(level - 1) * runs} + run]")).alias("t"))
             .select(*KEY, "run", F.xxhash64("path", "run", "t").alias("path"), "above")
         )
         rows = written(rows, f"paths{level}")
@@ -301,6 +343,7 @@ def _solve(docs: DataFrame, described: DataFrame, runs: int, similarity: float,
             F.first("n").alias("n"),
             F.first("sketch").alias("sketch"),
             F.first("chosen").alias("chosen"),
+            F.first("splits").alias("splits"),
         )
     )
     classes = written(classes, "classes")
@@ -340,7 +383,8 @@ def _solve(docs: DataFrame, described: DataFrame, runs: int, similarity: float,
 def runs_for(recall: float) -> int:
     if not 0 < recall < 1:
         raise ValueError("a recall lies between 0 and 1")
-    return max(1, math.ceil(-math.log(1 - recall)))
+    missed = 1 - (1 - math.exp(-1)) * (1 - math.exp(-SPLIT_RATE)) ** (LEVELS - 1)
+    return max(1, math.ceil(math.log(1 - recall) / math.log(missed)))
 
 
 def join(docs: DataFrame, similarity: float = SIMILARITY, recall: float = RECALL, bucket: int = BUCKET) -> DataFrame:

@@ -1,6 +1,7 @@
+import math
 import random
 
-from tallymark.llm.jaccard_join import components, join, keep_one
+from tallymark.llm.jaccard_join import LEVELS, RECALL, SPLIT_RATE, components, join, keep_one, runs_for
 
 
 def shingles(text):
@@ -59,6 +60,21 @@ def test_groups_with_the_same_shared_tokens_survive_a_split(docs):
     assert {(x.doc_id, x.class_id, x.n_links) for x in found} == {(i, i - i % 24, 23) for i, _ in rows}
 
 
+def test_recall_counts_the_loss_of_every_split(docs):
+    missed = 1 - (1 - math.exp(-1)) * (1 - math.exp(-SPLIT_RATE)) ** (LEVELS - 1)
+    assert RECALL >= 1 - 1e-6
+    assert all(missed ** runs_for(recall) <= 1 - recall for recall in (0.5, 0.9, 0.99, 0.999, RECALL))
+    # texts that hold a shorter one, just similar enough, in buckets that are split
+    r = random.Random(7)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(6))
+    rows = []
+    for i in range(200):
+        body = [word() for _ in range(84)]
+        rows += [(12 * i + j, " ".join(body + [word() for _ in range(20 if j else 0)])) for j in range(12)]
+    found = join(docs(rows), bucket=8).collect()
+    assert {(x.doc_id, x.class_id, x.n_links) for x in found} == {(i, i - i % 12, 1 if i % 12 else 11) for i, _ in rows}
+
+
 def test_one_of_each_group_stays_with_all_its_columns(spark):
     rows = corpus()
     table = spark.createDataFrame([(i, t, "x", i) for i, t in rows] + [(0, rows[0][1], "x", 0)], "doc_id long, text string, k1 string, d1 long")
