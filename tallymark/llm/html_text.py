@@ -7,8 +7,12 @@ gives a length ratio and a punctuation ratio.  Ratios are smoothed with those of
 beside it (same parent, weighted by text), fused into one score, and set against the best score of
 the page: paths below the threshold go.  Paths inside one ``article`` or ``main`` element are
 smoothed as a family, so a heading or a short paragraph stands and falls with its article.
+On a page without these elements the container that holds the best paths is the family, less its
+links, and first headings belong to it, so lists, table cells and titles stay.
 Elements that say they are no article (navigation, footer, aside, forms, adverts, notices,
-comments, by tag, role or class) have ratio 0.
+comments, by tag, role or class) have ratio 0; one compound class such as ``long-form`` does not
+say so of an element with most of the text of the page.
+Formulas and text of drawings are part of their block.
 
 Blocks of the paths that are left are joined by one line feed in page order; character
 references are decoded and white space inside a block becomes one space.  Nothing is capped.
@@ -39,12 +43,15 @@ BESIDE = 0.15
 FAMILY = 0.5
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style title textarea noscript iframe xmp noembed noframes template svg math object canvas audio video select".split())
+RAW = frozenset("script style title textarea iframe xmp noembed noframes template canvas audio video select".split())
 INLINE = frozenset(
-    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr object q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()
 )
 NEVER = frozenset("nav footer aside form button menu dialog fieldset".split())
 ARTICLE = frozenset(("article", "main"))
+#: Elements that hold a piece of a text, not the whole.
+PIECES = frozenset("p ul ol li dl dt dd table thead tbody tfoot tr td th caption blockquote pre figure figcaption address h1 h2 h3 h4 h5 h6 hgroup".split())
+FOREIGN = frozenset(("svg", "math"))
 #: Words in a class, id or role that mark what is no article.
 MARKS = frozenset(
     """ad ads advert advertisement adverts alert banner breadcrumb breadcrumbs comment comments complementary consent contentinfo
@@ -69,15 +76,17 @@ _TAG = re.compile(
     r"<!--.*?(?:--!?>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)(?:>|[\"'][^>]*+(?:>|\Z)|\Z)", re.S
 )
 _NAMED = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I | re.S)
+_UNSEEN = re.compile(r"<(annotation|annotation-xml|title|desc|metadata|style|script)(?=[\s/>])[^>]*(?<!/)>.*?</\1\s*>", re.I | re.S)
 _POINTS = re.compile(r"[.,;:!?…¡¿،؛。，、！？；：]")
 _PARTS = re.compile(r"[a-z]+|[A-Z][a-z]*")
 
 
-def _says_no(tag: str, attributes: str) -> tuple[str, bool]:
-    """The label of an element in a path, and whether it says that it is no article."""
+def _says_no(tag: str, attributes: str) -> tuple[str, bool, bool]:
+    """The label of an element in a path, whether it says that it is no article, and whether a single compound name alone says so."""
+    no = tag in NEVER or tag == "header"
     if not attributes or attributes.isspace():
-        return tag, tag in NEVER or tag == "header"
-    label, no = tag, tag in NEVER or tag == "header"
+        return tag, no, False
+    label, marks = tag, []
     for name, a, b, c in _NAMED.findall(attributes):
         name, value = name.lower(), (a or b or c)
         if name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
@@ -85,10 +94,12 @@ def _says_no(tag: str, attributes: str) -> tuple[str, bool]:
         elif name != "aria-hidden" and value:
             label += "." + ".".join(value.split())
             if tag not in ("html", "body", "article", "main") or name != "class":
-                no = no or any(_marked(x) for x in value.split())
+                marks += [x for x in value.split() if _marked(x)]
     if tag in ARTICLE and any(p in ("comment", "teaser", "reply", "related", "sponsored", "promo") for p in re.findall("[a-z]+", label.lower())):
         no = True
-    return label, no
+    if not no and len(marks) == 1 and marks[0].lower() not in MARKS:
+        return label, False, True
+    return label, no or bool(marks), False
 
 
 def _marked(name: str) -> bool:
@@ -100,24 +111,65 @@ class _Paths:
     """Paths as numbered nodes of a tree; sums of text, points, link text and blocks at each."""
 
     def __init__(self):
-        self.known: dict[tuple[int, str, bool], int] = {}
-        self.parent, self.off, self.family = [-1], [False], [-1]
+        self.known: dict[tuple[int, str, bool, bool], int] = {}
+        self.parent, self.tag, self.no, self.doubtful = [-1], [""], [False], [False]
         self.length, self.points, self.links, self.blocks = [0], [0], [0], [0]
 
-    def child(self, parent: int, label: str, no: bool, article: bool) -> int:
-        at = self.known.get((parent, label, no))
+    def child(self, parent: int, tag: str, label: str, no: bool, doubtful: bool) -> int:
+        at = self.known.get((parent, label, no, doubtful))
         if at is None:
-            at = self.known[(parent, label, no)] = len(self.parent)
-            self.parent.append(parent)
-            off = self.off[parent] or no
-            self.off.append(off)
-            self.family.append(at if article and not off else self.family[parent])
+            at = self.known[(parent, label, no, doubtful)] = len(self.parent)
+            for column, value in ((self.parent, parent), (self.tag, tag), (self.no, no), (self.doubtful, doubtful)):
+                column.append(value)
             for sums in (self.length, self.points, self.links, self.blocks):
                 sums.append(0)
         return at
 
+    def _families(self) -> tuple[list[bool], list[int]]:
+        """Whether a path is in no article for sure, and the article it is in; parents come before their children."""
+        n = len(self.parent)
+        within = [0] * n  # text but links, without what is surely no article
+        for p in range(n - 1, -1, -1):
+            within[p] = 0 if self.no[p] and self.tag[p] != "header" else within[p] + self.length[p] - self.links[p]
+            if p:
+                within[self.parent[p]] += within[p]
+        off, family = [False] * n, [-1] * n
+        for p in range(1, n):
+            up = self.parent[p]
+            no = self.no[p] or (self.doubtful[p] and 2 * within[p] <= within[0])
+            off[p] = off[up] or (no and not (self.tag[p] == "header" and family[up] >= 0))
+            family[p] = p if self.tag[p] in ARTICLE and not off[p] else family[up]
+            if self.tag[p] == "noscript":
+                family[p] = -1
+        return off, family
+
+    def _container(self, used: list[int], score: dict[int, float]) -> list[int]:
+        """Of ``used`` those in the container that holds the best paths, and first headings."""
+        n, best = len(self.parent), max(score.values())
+        high, some = [0] * n, [0] * n  # best paths and paths in and under each
+        for p in used:
+            high[p], some[p] = int(score[p] >= FAMILY * best), 1
+        for p in range(n - 1, 0, -1):
+            high[self.parent[p]] += high[p]
+            some[self.parent[p]] += some[p]
+        top = max(p for p in range(n) if high[p] == high[0])
+        # a piece, or a path with nothing but its own text, is in its container
+        if some[top] == 1 and top:
+            top = self.parent[top]
+        while top and self.tag[top] in PIECES:
+            top = self.parent[top]
+        inside, unseen = [False] * n, [False] * n
+        for p in range(n):
+            up = self.parent[p]
+            inside[p] = p == top or (p > 0 and inside[up])
+            unseen[p] = self.tag[p] == "noscript" or (p > 0 and unseen[up])
+        return [p for p in used if not unseen[p] and (inside[p] or self.tag[p] == "h1")]
+
     def selected(self) -> set[int]:
-        used = [p for p, n in enumerate(self.blocks) if n and not self.off[p]]
+        off, family = self._families()
+        used = [p for p, n in enumerate(self.blocks) if n and not off[p]]
+        if not used:
+            return set()
         beside: dict[int, list[float]] = {}
         for p in used:
             sums = beside.setdefault(self.parent[p], [0.0, 0.0, 0.0])
@@ -132,16 +184,18 @@ class _Paths:
             long = (mass * mass / n + BESIDE * (others[1] - mass * mass / n)) / total
             points = (mass * self.points[p] / n + BESIDE * (others[2] - mass * self.points[p] / n)) / total
             score[p] = long * (points + 0.1) * (1 - self.links[p] / mass) ** 2
-            f = self.family[p]
+            f = family[p]
             best_of[f] = max(best_of.get(f, 0.0), score[p])
         for p in used:
-            if self.family[p] >= 0:
-                score[p] = max(score[p], FAMILY * best_of[self.family[p]])
+            if family[p] >= 0:
+                score[p] = max(score[p], FAMILY * best_of[family[p]])
         # a page with an article is judged by its articles
-        inside = [score[p] for p in used if self.family[p] >= 0]
+        inside = [score[p] for p in used if family[p] >= 0]
         if inside:
-            return {p for p in used if self.family[p] >= 0 and score[p] >= THRESHOLD * max(inside)}
-        best = max(score.values(), default=0.0)
+            return {p for p in used if family[p] >= 0 and score[p] >= THRESHOLD * max(inside)}
+        best = max(score.values())
+        for p in self._container(used, score):
+            score[p] = max(score[p], FAMILY * best * (1 - self.links[p] / self.length[p]) ** 2)
         return {p for p in used if score[p] >= THRESHOLD * best}
 
 
@@ -213,6 +267,13 @@ def main_text(page: str | None) -> str:
             elif tag == "br":
                 said.append(" ")
             continue
+        if tag in FOREIGN:
+            end = None if m[3].rstrip().endswith("/") else re.compile(rf"</{tag}\s*>", re.I).search(page, at)
+            if end:
+                inner = _UNSEEN.sub("", page[at : end.start()])
+                add(_TAG.sub("", inner) if tag == "math" else " " + _TAG.sub(" ", inner) + " ")
+                at = end.end()
+            continue
         if tag in RAW:
             if not m[3].rstrip().endswith("/"):
                 end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*(?:>|\Z)", re.I).search(page, at)
@@ -250,9 +311,8 @@ def main_text(page: str | None) -> str:
                 depth -= 1
             if depth < len(stack):
                 pop_to(depth)
-        label, no = _says_no(tag, m[3])
-        article = tag in ARTICLE
-        stack.append((tag, paths.child(stack[-1][1], label, no and not (tag == "header" and paths.family[stack[-1][1]] >= 0), article)))
+        label, no, doubtful = _says_no(tag, m[3])
+        stack.append((tag, paths.child(stack[-1][1], tag, label, no, doubtful)))
         open_count[tag] = open_count.get(tag, 0) + 1
     close_block()
     chosen = paths.selected()

@@ -23,6 +23,35 @@ def test_page_without_an_article_element():
     assert main_text(page).split("\n") == [f"Paragraph {i}, one of several; it goes on for a while, as prose does." for i in range(4)]
 
 
+LONG = "Prose, which goes on for a while; it has points, as prose does, and then it ends. " * 5
+
+
+def test_lists_tables_and_titles_without_an_article_element():
+    lines = [f"{LONG}Number {i}." for i in range(4)]
+    body = "".join(f"<p>{x}</p>" for x in lines)
+    short = "<ul><li>One short entry</li><li>Another</li></ul><table><tr><td>Cell</td><td>7</td></tr></table><blockquote>Said</blockquote>"
+    links = "<div><ul><li><a href='/a'>Elsewhere</a></li></ul></div>"
+    page = f"<body><div id='story'><div><h1>Title</h1></div>{body}{short}</div>{links}</body>"
+    assert main_text(page).split("\n") == ["Title", *lines, "One short entry", "Another", "Cell", "7", "Said"]
+    # the same with the title beside the container, and with paragraphs that are containers
+    page = f"<body><div><h1>Title</h1></div><div id='story'>{body.replace('<p', '<div').replace('/p>', '/div>')}{short}</div>{links}</body>"
+    assert main_text(page).split("\n") == ["Title", *lines, "One short entry", "Another", "Cell", "7", "Said"]
+
+
+def test_a_compound_class_does_not_take_most_of_the_text():
+    for name in ("ad-free", "long-form", "social-history"):
+        for inner in (f"<p>{LONG}</p>", f"<article><p>{LONG}</p></article>"):
+            assert main_text(f"<body><div class='x {name}'>{inner}</div><div class='site-footer'><p>Foot, 2020.</p></div></body>") == LONG.strip()
+    assert main_text(f"<body><div><p>{LONG}</p></div><div class='cookie-notice'><p>We use cookies, a lot.</p></div></body>") == LONG.strip()
+
+
+def test_formulas_drawings_and_fallbacks_are_text():
+    math = "<math><mi>x</mi><mo>=</mo><mn>2</mn><annotation encoding='tex'>x=2</annotation></math>"
+    assert main_text(f"<article><p>So {math}, or <svg><title>no</title><path d='M0'/><text>drawn</text></svg>.</p></article>") == "So x=2, or drawn ."
+    assert main_text("<p>See <object data='x'>the fallback</object>, here.</p>") == "See the fallback, here."
+    assert main_text("<body><noscript><p>Only this, without scripts.</p></noscript></body>") == "Only this, without scripts."
+
+
 def test_broken_and_blank_markup():
     assert main_text(None) == main_text("") == main_text(" <p> </p>\n") == ""
     assert main_text("<p>One, two.</i></p><!-- <p>gone</p>") == "One, two."
