@@ -1,7 +1,9 @@
+import warnings
+
 import numpy as np
 from pyspark.sql import functions as F
 
-from tallymark.llm.mixing import Classifier, mix, plan, rates
+from tallymark.llm.mixing import Classifier, fit, judged, mix, plan, rates, solve
 
 TARGETS = {"a": 0.7, "b": 0.3}
 WORDS = {"a": "red blue green", "b": "seven eight nine"}
@@ -29,6 +31,29 @@ def test_totals_meet_the_targets_and_rates_are_never_negative(spark, docs):
     assert np.allclose(total, mixture.reached)
 
 
+def test_a_small_target_is_met_or_named(spark, docs):
+    table, labels = docs([(i, "word " * 10) for i in range(100)]), ("a", "b")
+    sure = Classifier(labels, np.zeros((1 << 18, 2)), np.zeros(2))
+    told = table.selectExpr("doc_id", "doc_id key", "10L n_tokens", "if(doc_id < 50, array(0.999d, 0.001d), array(0d, 1d)) p")
+    with warnings.catch_warnings():
+        warnings.simplefilter("error", UserWarning)
+        mixture = solve(told, sure, {"a": 0.995, "b": 0.005})
+    assert mixture.missed == () and abs(mixture.reached[1] / mixture.wanted[1] - 1) <= 0.01
+    with warnings.catch_warnings(record=True) as said:
+        warnings.simplefilter("always")
+        # every text counts for both alike
+        mixture = solve(judged(table, sure), sure, {"a": 0.99, "b": 0.01})
+    assert mixture.missed == labels and any("off their targets" in str(w.message) for w in said)
+
+
+def test_labels_of_other_documents_take_no_place(spark, docs):
+    rows, labels = corpus()
+    labelled = spark.createDataFrame(labels + [(i, "a") for i in range(1_000, 3_000)], "doc_id long, domain string")
+    model = fit(docs(rows), labelled, ("a", "b"), most=len(labels))
+    p = {r.doc_id: r.p for r in judged(docs(rows), model).collect()}
+    assert all((p[i][1] > 0.5) == (i % 4 == 0) for i, _ in rows)
+
+
 def test_an_unwanted_domain_goes(spark, docs):
     rows, labels = corpus()
     found = rates(docs(rows), spark.createDataFrame(labels, "doc_id long, domain string"), {"a": 0.99, "b": 0.01}).collect()
