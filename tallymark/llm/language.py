@@ -6,8 +6,8 @@ space stands at both ends.  Its features are all runs of 1 to 3 characters, hash
 the shuffle), so the model is a matrix of languages by buckets whatever the corpus; it is
 broadcast, and each batch is scored by gathering its n-grams' log-probabilities and adding them up per text.
 
-The score is the posterior of the predicted language, where the evidence of a text counts as
-that of ``EVIDENCE`` n-grams at most; else every longer text would come out as 1.
+The language is the one with the largest sum of all evidence and the prior.  The score is its
+posterior, where that sum counts as that of ``EVIDENCE`` n-grams at most; else every longer text would come out as 1.
 
 * null text, or no letter in it: ``und``, score 0; also if nothing was learned
 * ties: the language that comes first in order
@@ -130,9 +130,9 @@ class Model:
                     total[i, filled] += np.add.reduceat(row[own], cuts)[::2]
         if not self.languages:
             return np.full(len(texts), -1), np.zeros(len(texts))
-        total *= np.minimum(1.0, EVIDENCE / np.maximum(count, 1))
         total += self.prior[:, None]
         best = total.argmax(axis=0)
+        total *= np.minimum(1.0, EVIDENCE / np.maximum(count, 1))
         posterior = 1.0 / np.exp(total - total.max(axis=0)).sum(axis=0)
         return np.where(some, best, -1), np.where(some, posterior, 0.0)
 

@@ -58,6 +58,15 @@ def test_languages(spark, docs):
     assert sorted(r.doc_id for r in keep_known(docs(rows), model, 0.5).collect()) == [0, 1]
 
 
+def test_a_long_text_in_a_rare_language_outweighs_the_prior(spark, docs):
+    # the two differ in the share of a letter only
+    rows = [("aaab aaab aabb " * 20, "often")] * 2_000 + [("aaab aabb aabb " * 20, "rare")]
+    model = train(spark.createDataFrame(rows, "text string, lang string"))
+    text = "aaab aabb aabb "
+    found = {r.doc_id: (r.lang_pred, r.score) for r in predict(docs([(0, "aaab"), (1, text * 2_000)]), model).collect()}
+    assert [found[i][0] for i in (0, 1)] == ["often", "rare"] and 0.5 <= found[1][1] <= 1
+
+
 def test_conversations_read_back(spark):
     said = "<|im_end|><|im_start|>assistant ok"
     rows = [(1, 1, "assistant", said), (1, 0, "user", "hi <\\|x"), (2, 0, "assistant", None), (2, 0, None, "t")]
