@@ -185,3 +185,76 @@ def nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tallymark.llm.neighbours import nearest
 
     return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+#: Levels that the SQL below unrolls: 16 ** 6 rows a source, 16 ** 4 sources.
+HEIGHTS = {"doc": 6, "src": 4}
+
+
+def _tree_sql(name: str, leaves: str) -> str:
+    """CTEs of the levels and runs of the trees over ``leaves (tree, n, r, d)``."""
+    out = [f"{name}0 AS (SELECT tree, n, r, d FROM {leaves})"]
+    for k in range(HEIGHTS[name]):
+        out.append(f"{name}_run{k} AS (SELECT tree, n, r // 16 AS r, string_agg(d, '' ORDER BY r) AS cat FROM {name}{k} WHERE n > {16**k} GROUP BY tree, n, r // 16)")
+        out.append(f"{name}{k + 1} AS (SELECT tree, n, r, sha256(cat) AS d FROM {name}_run{k} UNION ALL SELECT tree, n, r, d FROM {name}{k} WHERE n <= {16**k})")
+    return ",\n ".join(out)
+
+
+def _walk_sql(name: str, start: str, tree: str) -> str:
+    """CTEs that lead ``start (.., n, r, up, proof)`` through the runs, level by level."""
+    out, before = [], start
+    for k in range(HEIGHTS[name]):
+        left, right = f"substr(cat, 1, 64 * (b.r // {16**k} % 16))", f"substr(cat, 64 * (b.r // {16**k} % 16) + 65)"
+        out.append(
+            f"{name}_way{k} AS (SELECT b.* EXCLUDE (up, proof), CASE WHEN b.n > {16**k} THEN sha256({left} || up || {right}) ELSE up END AS up, "
+            f"CASE WHEN b.n > {16**k} THEN proof || {left} || {right} ELSE proof END AS proof "
+            f"FROM {before} AS b LEFT JOIN {name}_run{k} AS a ON a.tree = b.{tree} AND a.r = b.r // {16 ** (k + 1)})"
+        )
+        before = f"{name}_way{k}"
+    return ",\n ".join(out)
+
+
+def _said(column: str) -> str:
+    return f"coalesce(strlen(CAST({column} AS VARCHAR)) || ':' || {column}, '-')"
+
+
+#: CRC-32 of the strings ``s`` in ``said``, byte by byte, as ``crc (s, crc)``.
+CRC_SQL = """
+ bits(i, k, v) AS (SELECT i, 0, i FROM range(256) AS t(i) UNION ALL SELECT i, k + 1, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END FROM bits WHERE k < 8),
+ bytes AS MATERIALIZED (SELECT i, v FROM bits WHERE k = 8),
+ steps(s, h, v) AS (SELECT s, hex(encode(s)), CAST(4294967295 AS BIGINT) FROM said
+   UNION ALL SELECT s, substr(h, 3), xor(bytes.v, steps.v >> 8) FROM steps JOIN bytes ON i = xor(steps.v & 255, CAST('0x' || substr(h, 1, 2) AS BIGINT)) WHERE h <> ''),
+ crc AS MATERIALIZED (SELECT s, xor(v, 4294967295) AS crc FROM steps WHERE h = '')"""
+
+MANIFEST_SQL = f"""
+WITH RECURSIVE said AS MATERIALIZED (SELECT DISTINCT CAST(doc_id AS VARCHAR) AS s FROM documents WHERE doc_id IS NOT NULL),{CRC_SQL},
+ hashed AS (SELECT doc_id, coalesce('=' || source, '') AS tree, sha256({" || ".join(map(_said, ("doc_id", "source", "lang", "n_chars", "text")))}) AS leaf,
+   CASE WHEN crc % 5 = 0 THEN sha256({" || ".join(map(_said, ("doc_id", "source", "lang", "n_chars")))}
+     || {_said("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")}) END AS seen
+   FROM documents LEFT JOIN crc ON s = CAST(doc_id AS VARCHAR)),
+ leaves AS MATERIALIZED (SELECT *, count(*) OVER (PARTITION BY tree) AS n, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS r, leaf AS d FROM hashed),
+ {_tree_sql("doc", "leaves")},
+ subroots AS MATERIALIZED (SELECT tree AS src, '' AS tree, d, count(*) OVER () AS n, row_number() OVER (ORDER BY encode(tree)) - 1 AS r FROM doc6),
+ {_tree_sql("src", "subroots")},
+ start AS (SELECT doc_id, tree, leaf, n, r, coalesce(seen, leaf) AS up, '' AS proof FROM leaves),
+ {_walk_sql("doc", "start", "tree")},
+ turn AS (SELECT w.doc_id, w.leaf, s.d AS subroot, s.tree, s.n, s.r, w.up, w.proof FROM doc_way5 AS w JOIN subroots AS s ON s.src = w.tree),
+ {_walk_sql("src", "turn", "tree")}
+SELECT doc_id, leaf, subroot, src4.d AS root, sha256(proof) AS proof_sha256, up AS folded_root, up = src4.d AS verified FROM src_way3 CROSS JOIN src4
+"""
+
+
+@query("op11_merkle_manifest", MANIFEST_SQL)
+def merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from tallymark.llm.merkle import folded, leaf_digest, lower_ascii, manifest, siblings
+
+    said = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    touched = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    seen = F.when(touched, leaf_digest(*said, lower_ascii(F.col("text"))))
+    rows = table(spark, sf_dir, "documents").select("doc_id", "source", leaf_digest(*said, F.col("text")).alias("leaf"), seen.alias("seen"))
+    proofs = manifest(rows, "source", ["doc_id"], carry=["seen"])
+    up = folded(F.coalesce("seen", "leaf"), F.col("path"))
+    out = proofs.select("doc_id", "leaf", "subroot", "root", F.sha2(siblings(F.col("path")), 256).alias("proof_sha256"), up.alias("folded_root"))
+    return out.withColumn("verified", F.col("folded_root") == F.col("root"))
