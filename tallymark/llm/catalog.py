@@ -258,3 +258,81 @@ def merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     up = folded(F.coalesce("seen", "leaf"), F.col("path"))
     out = proofs.select("doc_id", "leaf", "subroot", "root", F.sha2(siblings(F.col("path")), 256).alias("proof_sha256"), up.alias("folded_root"))
     return out.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+QUALITY_SQL = r"""
+WITH RECURSIVE t AS MATERIALIZED (SELECT doc_id, coalesce(text, '') AS text, row_number() OVER () AS rid, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws,
+   regexp_extract_all(coalesce(text, ''), '[0-9A-Za-z\x{80}-\x{10FFFF}]+|[^0-9A-Za-z\x{80}-\x{10FFFF}\x20\x09-\x0D]+') AS ts FROM documents),
+ grams AS MATERIALIZED (SELECT rid, doc_id, unnest(list_concat(ts, list_transform(range(1, len(ts)), lambda i: ts[i] || ' ' || ts[i + 1]))) AS s FROM t),
+ said AS MATERIALIZED (SELECT DISTINCT s FROM grams),@CRC@,
+ found AS MATERIALIZED (SELECT rid, doc_id, crc % @BUCKETS@ AS b FROM grams JOIN crc USING (s)),
+ good AS (SELECT doc_id FROM labels GROUP BY doc_id HAVING bool_and(coalesce(quality = 1, false)) AND bool_and(coalesce(toxic = 0, false))),
+ trusted AS (SELECT doc_id FROM good SEMI JOIN documents USING (doc_id) ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id LIMIT @MOST@),
+ counted AS (SELECT b, count(*) AS raw, count(trusted.doc_id) AS target FROM found LEFT JOIN trusted USING (doc_id) GROUP BY b),
+ sums AS (SELECT sum(raw) AS n_raw, sum(target) AS n_target FROM counted),
+ weights AS (SELECT b, CASE WHEN n_target > 0 THEN CAST(round(@SCALE@ * (ln((target + 1) / (n_target + @BUCKETS@)) - ln((raw + 1) / (n_raw + @BUCKETS@)))) AS BIGINT) ELSE 0 END AS w FROM counted, sums),
+ scores AS (SELECT rid, sum(w) AS score, count(*) AS n_grams FROM found JOIN weights USING (b) GROUP BY rid),
+ windows AS (SELECT rid, i, array_to_string(ws[i:i + 7], ' ') AS g FROM (SELECT rid, ws, unnest(range(1, len(ws) - 6)) AS i FROM t)),
+ twice AS (SELECT rid, g FROM windows GROUP BY rid, g HAVING count(*) > 1),
+ covered AS (SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest(range(i, i + 8)) AS p FROM windows JOIN twice USING (rid, g)) GROUP BY rid),
+ lines AS (SELECT rid, count(*) - count(DISTINCT x) AS n FROM (SELECT rid, unnest(string_split(text, chr(10))) AS x FROM t) WHERE regexp_matches(x, '[^\x20\x09-\x0D]') GROUP BY rid),
+ base AS (SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(ws, lambda w: length(w))), 0) AS BIGINT) AS word_chars,
+   CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, coalesce(lines.n, 0) AS n_dup_lines, coalesce(covered.n, 0) AS n_repeat_words,
+   CAST(coalesce(score, 0) AS BIGINT) AS score, coalesce(n_grams, 0) AS n_grams
+   FROM t LEFT JOIN scores USING (rid) LEFT JOIN lines USING (rid) LEFT JOIN covered USING (rid)),
+ failed AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM base)
+SELECT *, NOT base_failed AND score >= n_grams * @THRESHOLD@ AS kept FROM failed
+"""
+
+
+def _quality_sql() -> str:
+    from tallymark.llm import quality as q
+
+    values = {"CRC": CRC_SQL, "BUCKETS": q.BUCKETS, "MOST": q.TARGET_DOCS, "SCALE": q.SCALE, "THRESHOLD": round(q.THRESHOLD * q.SCALE)}
+    sql = QUALITY_SQL
+    for name, value in values.items():
+        sql = sql.replace(f"@{name}@", str(value))
+    return sql
+
+
+@query("op12_quality_rules", _quality_sql())
+def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallymark.llm.quality import judge, weights
+
+    docs = table(spark, sf_dir, "documents")
+    return judge(docs, weights(docs, table(spark, sf_dir, "labels")))
+
+
+def _clusters_sql(rounds: int = 10) -> str:
+    """The rounds, one after the other: assignment, then centroids."""
+    parts = [
+        """usable AS MATERIALIZED (SELECT vec_id, row_number() OVER () AS rid, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+   FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64)""",
+        """cells AS MATERIALIZED (SELECT rid, unnest(v) AS x, unnest(range(1, 65)) AS i FROM usable)""",
+        """c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h, v) - 1 AS j, v FROM (SELECT sha256('3:' || coalesce(CAST(vec_id AS VARCHAR), '')) AS h, v FROM usable ORDER BY h, v LIMIT 8))""",
+    ]
+    for r in range(rounds + 1):
+        parts.append(f"f{r} AS MATERIALIZED (SELECT j, unnest(v) AS x, unnest(range(1, 65)) AS i FROM c{r})")
+        parts.append(
+            f"a{r} AS MATERIALIZED (SELECT rid, min(8 * d + j) % 8 AS j, min(8 * d + j) // 8 AS d FROM "
+            f"(SELECT rid, j, sum((cells.x - f{r}.x) * (cells.x - f{r}.x)) AS d FROM cells JOIN f{r} USING (i) GROUP BY rid, j) GROUP BY rid)"
+        )
+        if r < rounds:
+            parts.append(
+                f"s{r} AS (SELECT j, i, sum(x) AS s, count(*) AS n FROM cells JOIN a{r} USING (rid) GROUP BY j, i), "
+                f"m{r} AS (SELECT j, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS v FROM s{r} GROUP BY j), "
+                f"c{r + 1} AS MATERIALIZED (SELECT c{r}.j, coalesce(m{r}.v, c{r}.v) AS v FROM c{r} LEFT JOIN m{r} USING (j))"
+            )
+    return (
+        "WITH " + ",\n ".join(parts) + f"""
+SELECT vec_id, CAST(j AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY j) AS BIGINT) AS cluster_inertia,
+       CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c{rounds}.v, ',')) AS centroid_sha256
+FROM a{rounds} JOIN usable USING (rid) JOIN c{rounds} USING (j)"""
+    )
+
+
+@query("op13_centroid_clustering", _clusters_sql())
+def centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallymark.llm.centroids import cluster, report
+
+    return report(cluster(table(spark, sf_dir, "embeddings")))
