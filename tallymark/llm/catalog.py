@@ -263,9 +263,10 @@ def merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUALITY_SQL = r"""
 WITH RECURSIVE t AS MATERIALIZED (SELECT doc_id, coalesce(text, '') AS text, row_number() OVER () AS rid, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws,
    regexp_extract_all(coalesce(text, ''), '[0-9A-Za-z\x{80}-\x{10FFFF}]+|[^0-9A-Za-z\x{80}-\x{10FFFF}\x20\x09-\x0D]+') AS ts FROM documents),
- grams AS MATERIALIZED (SELECT rid, doc_id, unnest(list_concat(ts, list_transform(range(1, len(ts)), lambda i: ts[i] || ' ' || ts[i + 1]))) AS s FROM t),
- said AS MATERIALIZED (SELECT DISTINCT s FROM grams),@CRC@,
- found AS MATERIALIZED (SELECT rid, doc_id, crc % @BUCKETS@ AS b FROM grams JOIN crc USING (s)),
+ tokens AS MATERIALIZED (SELECT rid, doc_id, unnest(ts) AS s, generate_subscripts(ts, 1) AS i FROM t),
+ said AS MATERIALIZED (SELECT DISTINCT s FROM tokens),@CRC@,
+ hashed AS MATERIALIZED (SELECT rid, doc_id, crc, lead(crc) OVER (PARTITION BY rid ORDER BY i) AS after FROM tokens JOIN crc USING (s)),
+ found AS MATERIALIZED (SELECT rid, doc_id, crc % @BUCKETS@ AS b FROM hashed UNION ALL SELECT rid, doc_id, (crc * @PAIR@ + after) % @BUCKETS@ FROM hashed WHERE after IS NOT NULL),
  good AS (SELECT doc_id FROM labels GROUP BY doc_id HAVING bool_and(coalesce(quality = 1, false)) AND bool_and(coalesce(toxic = 0, false))),
  trusted AS (SELECT doc_id FROM good SEMI JOIN documents USING (doc_id) ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id LIMIT @MOST@),
  counted AS (SELECT b, count(*) AS raw, count(trusted.doc_id) AS target FROM found LEFT JOIN trusted USING (doc_id) GROUP BY b),
@@ -288,7 +289,7 @@ SELECT *, NOT base_failed AND score >= n_grams * @THRESHOLD@ AS kept FROM failed
 def _quality_sql() -> str:
     from tallymark.llm import quality as q
 
-    values = {"CRC": CRC_SQL, "BUCKETS": q.BUCKETS, "MOST": q.TARGET_DOCS, "SCALE": q.SCALE, "THRESHOLD": round(q.THRESHOLD * q.SCALE)}
+    values = {"CRC": CRC_SQL, "BUCKETS": q.BUCKETS, "PAIR": q.PAIR, "MOST": q.TARGET_DOCS, "SCALE": q.SCALE, "THRESHOLD": round(q.THRESHOLD * q.SCALE)}
     sql = QUALITY_SQL
     for name, value in values.items():
         sql = sql.replace(f"@{name}@", str(value))

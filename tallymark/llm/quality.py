@@ -1,8 +1,8 @@
 """Quality rules: does a document read more like trusted text than like the corpus as a whole?
 
 Tokens are runs of letters and digits (of all characters beyond ASCII, too) and runs of other signs.  Tokens and
-pairs of neighbouring tokens are hashed into ``BUCKETS`` buckets (CRC-32), and two multinomials are
-counted over them: one of the trusted documents, one of all documents.  Both are smoothed by
+pairs of neighbouring tokens are hashed into ``BUCKETS`` buckets (CRC-32 of the token; for a pair, a product of
+both), and two multinomials are counted over them: one of the trusted documents, one of all documents.  Both are smoothed by
 ``SMOOTHING`` counts in every bucket.  A document's score is the mean, over its tokens and pairs, of
 the logarithm of the one probability over the other; it is kept if the score is at least ``THRESHOLD``.
 
@@ -33,7 +33,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BUCKETS = 1 << 14
+#: A prime, so that every bit of a hash counts.
+BUCKETS = 16_381
+#: Factor of the first of a pair of tokens.
+PAIR = 1_000_003
 #: Counts that every bucket has besides its own.
 SMOOTHING = 1.0
 #: Weights are whole numbers of 1 / SCALE.
@@ -76,9 +79,19 @@ def repeated_words(words: Column, width: int = WINDOW) -> Column:
         step = lambda a, i: F.struct(i.alias("last"), (a["n"] + F.least(F.lit(width), i - a["last"])).alias("n"))
         return F.aggregate(_let(placed, starts), first, step)["n"]
 
-    windows = F.transform(F.sequence(F.lit(1), F.size(words) - width + 1), lambda i: F.xxhash64(F.slice(words, i, width)))
-    some = _let(windows, lambda h: F.when(F.size(F.array_distinct(h)) < F.size(h), covered(h)).otherwise(0))
-    return F.when(F.size(words) > width, some).otherwise(0).cast("long")
+    def doubled(span: int, hashes: Column) -> Column:
+        """Hashes of runs of ``width`` words from those of ``span``; at the end of the text, of what is left."""
+        if span == width:
+            return some(F.slice(hashes, 1, F.size(hashes) - width + 1))
+        return _let(F.transform(hashes, lambda h, i: F.xxhash64(h, F.get(hashes, i + span))), lambda twice: doubled(2 * span, twice))
+
+    def some(runs: Column) -> Column:
+        return _let(runs, lambda h: F.when(F.size(F.array_distinct(h)) < F.size(h), covered(h)).otherwise(0))
+
+    if width & (width - 1):
+        raise ValueError("the width must be a power of two")
+    hashed = _let(F.transform(words, lambda w: F.xxhash64(w)), lambda h: doubled(1, h))
+    return F.when(F.size(words) > width, hashed).otherwise(0).cast("long")
 
 
 def repeated_lines(text: Column) -> Column:
@@ -89,10 +102,11 @@ def repeated_lines(text: Column) -> Column:
 
 def buckets_of(tokens: Column, buckets: int = BUCKETS) -> Column:
     """The bucket of each token and of each pair of neighbours."""
-    one = F.transform(tokens, lambda t: F.crc32(t) % buckets)
-    # the slice starts at the second token, so its place is that of the token before
-    two = F.transform(F.slice(tokens, 2, F.greatest(F.size(tokens) - 1, F.lit(0))), lambda t, i: F.crc32(F.concat(tokens[i], F.lit(" "), t)) % buckets)
-    return F.concat(one, two)
+    def both(c: Column) -> Column:
+        pairs = F.transform(F.slice(c, 2, F.greatest(F.size(c) - 1, F.lit(0))), lambda x, i: (F.get(c, i) * PAIR + x) % buckets)
+        return F.concat(F.transform(c, lambda x: x % buckets), pairs)
+
+    return _let(F.transform(tokens, lambda t: F.crc32(t)), both)
 
 
 def _tokens(text: Column) -> Column:
