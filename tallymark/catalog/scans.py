@@ -6,6 +6,7 @@ below the shared folder, and read back.
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tallymark.catalog import corpus
@@ -23,13 +24,24 @@ def _escaped(c):
     return F.replace(F.replace(c, F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
 
 
-def write_record_xml(spark, sf_dir, copies: bool = True) -> str:
-    """Documents as literature records; the French ones are captured twice."""
+#: Records in one file of the capture, as in one response.
+PER_FILE = 100
+#: What is wrong with files of a broken capture, by the remainder of their number.
+CUT, ENDLESS, ERROR, MALFORMED, FOREIGN, TRAILING, FAULTS = 1, 2, 3, 4, 5, 6, 9
+FILE_OF = r"file=([^/]+)/"
+
+
+def write_record_xml(spark, sf_dir, broken: bool = False) -> str:
+    """Documents as literature records, in files as they come from a server; the French ones are captured twice.
+
+    In a ``broken`` capture files are cut within a record or before their end, hold an error message, a
+    record with a wrong tag or another format, or go on after their end.
+    """
     c = F.col
     orders = table(spark, sf_dir, "orders").select(
         c("o_orderkey").alias("doc_id"), F.year("o_orderdate").alias("y"), "o_orderstatus", "o_orderpriority"
     )
-    docs = spread(table(spark, sf_dir, "documents")).join(orders, "doc_id")
+    docs = spread(table(spark, sf_dir, "documents")).join(orders, "doc_id", "left")
     lines = F.transform(F.split("text", "\n"), _escaped)
     body = F.transform(
         F.slice(lines, 2, F.size(lines)),
@@ -67,7 +79,8 @@ def write_record_xml(spark, sf_dir, copies: bool = True) -> str:
         lit('<MeshHeading><DescriptorName MajorTopicYN="N">Humans</DescriptorName></MeshHeading>'),
         lit('<MeshHeading><DescriptorName MajorTopicYN="Y">'), c("lang"), lit("</DescriptorName></MeshHeading>"),
         lit("</MeshHeadingList></MedlineCitation><PubmedData><History>"),
-        lit('<PubMedPubDate PubStatus="pubmed"><Year>'), (c("y") + 2).cast("string"), lit("</Year></PubMedPubDate></History>"),
+        F.coalesce(F.concat(lit('<PubMedPubDate PubStatus="pubmed"><Year>'), (c("y") + 2).cast("string"), lit("</Year></PubMedPubDate>")), lit("")),
+        lit("</History>"),
         F.when(c("o_orderpriority") == "1-URGENT", F.concat(lit('<ArticleIdList><ArticleId IdType="pii">p</ArticleId><ArticleId IdType="doi">'), doi, lit("</ArticleId></ArticleIdList>"))).otherwise(""),
         lit("</PubmedData></PubmedArticle>"),
     )
@@ -77,17 +90,33 @@ def write_record_xml(spark, sf_dir, copies: bool = True) -> str:
         lit("<Language>"), c("lang"), lit("</Language>"), abstract,
         lit("</BookDocument></PubmedBookArticle>"),
     )
-    rows = docs.select("lang", F.when(c("o_orderpriority") == "5-LOW", book).otherwise(article).alias("value"))
+    number = F.floor(c("doc_id") / PER_FILE)
+    name = F.lpad(number.cast("string"), 6, "0")
+    rows = docs.select("doc_id", "lang", number.alias("number"), name.alias("name"), F.when(c("o_orderpriority") == "5-LOW", book).otherwise(article).alias("xml"))
+    again = rows.where("lang = 'fr'").withColumn("name", F.concat(F.lit("again-"), "name"))
+    fault = c("number") % FAULTS if broken else lit(0)
+    wrong = F.when(
+        (fault == MALFORMED) & (c("doc_id") % PER_FILE == 3), F.regexp_replace("xml", "</Language>", "</Lang>")
+    ).when((fault == CUT) & (c("doc_id") == c("last")), F.substring("xml", 1, 200)).otherwise(c("xml"))
+    last = rows.unionByName(again).withColumn("last", F.max("doc_id").over(Window.partitionBy("name")))
+    records = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("doc_id", wrong.alias("xml")))), lambda x: x["xml"]), "\n")
+    start, end = lit('<?xml version="1.0" ?>\n<PubmedArticleSet>\n'), lit("\n</PubmedArticleSet>")
+    content = (
+        F.when(fault == ERROR, F.concat(lit("<eFetchResult><ERROR>Unable to obtain query "), "number", lit("</ERROR></eFetchResult>")))
+        .when(fault == FOREIGN, lit("<html><body>Bad gateway</body></html>"))
+        .when((fault == CUT) | (fault == ENDLESS), F.concat(start, "records"))
+        .when(fault == TRAILING, F.concat(start, "records", end, lit("<p>more</p>")))
+        .otherwise(F.concat(start, "records", end))
+    )
     out = scratch_path(spark, "xml")
-    rows.select("value").write.text(out)
-    if copies:
-        rows.where("lang = 'fr'").select("value").write.mode("append").text(out)
+    files = last.groupBy("name", "number").agg(records.alias("records"))
+    files.select(c("name").alias("file"), content.alias("value")).write.partitionBy("file").text(out)
     return out
 
 
 _PART = f"[{sql_norm('x')} for x in string_split(text, chr(10))[2:]]"
 XML_SQL = f"""src AS (SELECT d.*, CAST(year(o_orderdate) AS INTEGER) AS y, o_orderstatus AS st, o_orderpriority AS pr
-  FROM documents d JOIN orders ON o_orderkey = doc_id),
+  FROM documents d LEFT JOIN orders ON o_orderkey = doc_id),
 parts AS (SELECT *, {_PART} AS raw FROM src),
 body AS (SELECT *, [CASE WHEN i = 1 THEN 'PART: ' || x ELSE x END for x, i in raw if x <> ''] AS lines FROM parts),
 dates AS (SELECT *, pr = '5-LOW' AS book, CASE WHEN pr = '5-LOW' OR st IN ('F', 'O') THEN y END AS issue,
@@ -102,7 +131,7 @@ xml AS (SELECT CAST(doc_id AS VARCHAR) AS pmid,
   CASE WHEN book THEN y WHEN article < issue THEN article ELSE coalesce(issue, article, y + 2) END AS year,
   CASE WHEN book THEN 'Book/PubDate' WHEN article < issue THEN 'ArticleDate' WHEN issue IS NOT NULL THEN
     CASE WHEN st = 'O' THEN 'PubDate[MedlineDate]' ELSE 'PubDate' END WHEN article IS NOT NULL THEN 'ArticleDate'
-    ELSE 'PubMedPubDate[pubmed]' END AS year_source,
+    WHEN y IS NOT NULL THEN 'PubMedPubDate[pubmed]' ELSE 'none' END AS year_source,
   CASE WHEN NOT book THEN article END AS article_date_year, issue AS pub_date_year,
   CASE WHEN book THEN '' ELSE 'Journal Article; ' || source END AS publication_types,
   CASE WHEN book THEN '' ELSE 'Humans; ' || lang END AS mesh_descriptors,
@@ -113,8 +142,7 @@ xml AS (SELECT CAST(doc_id AS VARCHAR) AS pmid,
 
 def xml_records(spark, sf_dir):
     """Parsed once and written, as a capture is: what follows reads columns, not markup."""
-    raw = markup.read_record_xml(spark, write_record_xml(spark, sf_dir))
-    return written(markup.parse_records(raw), "records")
+    return markup.read_capture(spark, write_record_xml(spark, sf_dir), FILE_OF)
 
 
 @query("xml_record_scan", "S1 P4 P5 P6 P7 P8 P9 W8 R2", f"WITH {XML_SQL} SELECT * FROM xml")
@@ -130,7 +158,7 @@ def xml_record_scan(spark, sf_dir):
 )
 def xml_capture_counts(spark, sf_dir):
     """Per-file counts added up by record type, against distinct ids."""
-    raw = xml_records(spark, sf_dir).select("pmid", "record_type", "source_file")
+    raw = xml_records(spark, sf_dir)
     per_file = markup.records_per_file(raw)
     books = per_file.agg(F.sum("n_books").alias("b"), F.sum("n_records").alias("n")).select(
         F.explode(
@@ -141,8 +169,11 @@ def xml_capture_counts(spark, sf_dir):
     return books.join(unique, "record_type")
 
 
-@query("xml_parse_summary", "A20", f"""WITH {XML_SQL}
+@query("xml_parse_summary", "A20", f"""WITH {XML_SQL},
+files AS (SELECT DISTINCT doc_id // {PER_FILE} AS n, '' AS again FROM documents UNION SELECT DISTINCT doc_id // {PER_FILE}, 'again' FROM documents WHERE lang = 'fr')
 SELECT 'records' AS metric, '' AS key, count(*) AS value FROM xml
+UNION ALL SELECT 'files', '', count(*) FROM files
+UNION ALL SELECT 'duplicate_pmids_dropped', '', count(*) FROM documents WHERE lang = 'fr'
 UNION ALL SELECT 'records_by_type', record_type, count(*) FROM xml GROUP BY ALL
 UNION ALL SELECT 'without_abstract', '', count(*) FROM xml WHERE NOT has_abstract HAVING count(*) > 0
 UNION ALL SELECT 'structured_abstract', '', count(*) FROM xml WHERE abstract_structured HAVING count(*) > 0
@@ -150,9 +181,46 @@ UNION ALL SELECT 'unstructured_abstract', '', count(*) FROM xml WHERE has_abstra
 UNION ALL SELECT 'without_year', '', count(*) FROM xml WHERE year IS NULL HAVING count(*) > 0
 UNION ALL SELECT 'year_source', year_source, count(*) FROM xml GROUP BY ALL
 UNION ALL SELECT 'language', language, count(*) FROM xml GROUP BY ALL
-UNION ALL SELECT 'year', CAST(year AS VARCHAR), count(*) FROM xml GROUP BY ALL""")
+UNION ALL SELECT 'year', CAST(year AS VARCHAR), count(*) FROM xml WHERE year IS NOT NULL GROUP BY ALL""")
 def xml_parse_summary(spark, sf_dir):
-    return counts.parse_summary(dedup.keep_first(xml_records(spark, sf_dir), "pmid", markup.RECORD_ORDER))
+    path = write_record_xml(spark, sf_dir)
+    captured = markup.read_capture(spark, path, FILE_OF)
+    first = dedup.keep_first(captured, "pmid", markup.RECORD_ORDER)
+    return counts.parse_summary(first, captured, markup.capture_files(spark, path, FILE_OF))
+
+
+#: Files of the broken capture with their number of records and what is wrong with them.
+BROKEN_SQL = f"""src AS (SELECT doc_id, doc_id // {PER_FILE} AS n, lpad(CAST(doc_id // {PER_FILE} AS VARCHAR), 6, '0') AS name, lang, o_orderpriority IS NOT DISTINCT FROM '5-LOW' AS book
+  FROM documents LEFT JOIN orders ON o_orderkey = doc_id),
+captured AS (SELECT * FROM src UNION ALL SELECT doc_id, n, 'again-' || name, lang, book FROM src WHERE lang = 'fr'),
+files AS (SELECT name, n, n % {FAULTS} AS fault, count(*) AS records FROM captured GROUP BY name, n),
+problems AS (
+  SELECT name AS file, 'unbalanced' AS "check", '1 roots opened, 0 closed; ' || records || ' records opened, ' || (records - CASE fault WHEN {CUT} THEN 1 ELSE 0 END) || ' closed' AS detail
+    FROM files WHERE fault IN ({CUT}, {ENDLESS})
+  UNION ALL SELECT name, 'error_body', 'Unable to obtain query ' || n FROM files WHERE fault = {ERROR}
+  UNION ALL SELECT name, 'no_root', '38 bytes' FROM files WHERE fault = {FOREIGN}
+  UNION ALL SELECT name, 'trailing_content', '<p>more</p>' FROM files WHERE fault = {TRAILING}
+  UNION ALL SELECT name, 'malformed_record', CAST(doc_id AS VARCHAR) FROM captured WHERE n % {FAULTS} = {MALFORMED} AND doc_id % {PER_FILE} = 3)"""
+
+
+@query("xml_problems", "S1", f"WITH {BROKEN_SQL} SELECT * FROM problems")
+def xml_problems(spark, sf_dir):
+    """Why files of a capture are refused."""
+    path = write_record_xml(spark, sf_dir, broken=True)
+    return markup.capture_problems(markup.scan_capture(spark, path, FILE_OF), markup.capture_files(spark, path, FILE_OF))
+
+
+@query(
+    "xml_per_file",
+    "S1 A29",
+    f"""WITH {BROKEN_SQL} SELECT name AS source_file, count(*) AS n_records, count(*) FILTER (book) AS n_books,
+string_agg(CAST(doc_id AS VARCHAR), ' ' ORDER BY book, doc_id) AS ids FROM captured ANTI JOIN problems ON file = name GROUP BY name""",
+)
+def xml_per_file(spark, sf_dir):
+    """Records and ids of the sound files of a broken capture, articles before books."""
+    path = write_record_xml(spark, sf_dir, broken=True)
+    per_file = markup.records_per_file(markup.read_capture(spark, path, FILE_OF, skip=True))
+    return per_file.withColumn("ids", F.array_join("ids", " "))
 
 
 # --- HTML pages ----------------------------------------------------------------------

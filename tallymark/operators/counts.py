@@ -316,8 +316,12 @@ def in_vocabulary_order(df: DataFrame, *ranked: tuple[str, tuple]) -> DataFrame:
     return df.orderBy(*order)
 
 
-def parse_summary(records: DataFrame) -> DataFrame:
-    """What a scan produced, as ``(metric, key, value)``, from one grouped pass."""
+def parse_summary(records: DataFrame, captured: DataFrame | None = None, files: DataFrame | None = None) -> DataFrame:
+    """What a scan produced, as ``(metric, key, value)``, from one grouped pass.
+
+    With the records as ``captured``, before copies were dropped, and the capture's ``files``, it also says
+    how many of either there were.
+    """
     profile = records.groupBy(
         "record_type", "has_abstract", "abstract_structured", "year_source", "language", "year"
     ).agg(F.count("*").alias("n"))
@@ -341,8 +345,15 @@ def parse_summary(records: DataFrame) -> DataFrame:
         metric("language", c("language")),
         metric("year", c("year"), c("year").isNotNull()),
     )
-    return (
+    summary = (
         profile.select("n", F.explode(F.filter(rows, lambda x: x.isNotNull())).alias("m"))
         .groupBy("m.metric", "m.key")
         .agg(F.sum("n").alias("value"))
     )
+    if files is not None:
+        summary = summary.unionByName(files.agg(F.count("*").alias("value")).select(F.lit("files").alias("metric"), F.lit("").alias("key"), "value"))
+    if captured is not None:
+        signed = captured.select(F.lit(1).alias("n")).unionByName(records.select(F.lit(-1).alias("n")))
+        dropped = signed.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("value"))
+        summary = summary.unionByName(dropped.select(F.lit("duplicate_pmids_dropped").alias("metric"), F.lit("").alias("key"), "value"))
+    return summary

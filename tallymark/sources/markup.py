@@ -1,9 +1,14 @@
 """Markup scans: literature XML and HTML pages to flat tables.
 
-XML is read record by record: the file reader cuts at the closing tag of an article, so
-one large file is shared between tasks and no file has to fit in memory.  Plain fields are
-parsed once per record into a struct, which would tear mixed content apart; titles and
-abstract sections carry inline markup, so they are cut out and flattened as text.
+XML is read piece by piece: the file reader cuts where a closing tag of the record format
+begins, whichever it is, so one large file of articles or books is shared between tasks and no file has to fit
+in memory.  A piece holds at most one record and says what the piece before it closed; added up per file,
+that tells a whole file from a cut one.  Plain fields are parsed once per record into a struct, which would tear mixed
+content apart; titles and abstract sections carry inline markup, so they are cut out and flattened
+as text.
+
+A capture is refused unless every file is whole: one root, opened and closed, every record closed,
+nothing after the end, no error body, and records that parse (:func:`capture_problems`).
 """
 
 from __future__ import annotations
@@ -13,6 +18,7 @@ from pyspark.sql import functions as F
 
 from tallymark.functions.dates import choose_year
 from tallymark.functions.text import first_year, normalise_space, sections_text
+from tallymark.session import written
 
 ARTICLE, BOOK = "PubmedArticle", "PubmedBookArticle"
 
@@ -37,33 +43,60 @@ _BOOK = (
 )
 
 
-def read_record_xml(spark: SparkSession, path: str) -> DataFrame:
-    """``(source_file, block, place, record_type, xml)``: one row per record element.
+#: What every closing tag of the format begins with; records, their data parts and the root.
+CLOSING = "</Pubmed"
+#: Opening tags of roots, records and data parts; the shape of what a piece begins with if it follows a closing tag.
+_OPENING = r"<Pubmed(?:Book)?(?:ArticleSet|Article|Data)(?:\s[^>]*)?/?>"
+_FOLLOWS = r"\A((?:Book)?(?:ArticleSet|Article|Data))\s*>"
+#: The last part of a path, as the name of a file.
+FILE_NAME = r"([^/]+)\z"
 
-    ``block`` and ``place`` order the records of a file; books come after articles, the
-    order in which a file's records are taken when copies are dropped.
+
+class CaptureError(ValueError):
+    """A capture holds files that must not pass for whole ones."""
+
+
+def read_pieces(spark: SparkSession, path: str, file_pattern: str = FILE_NAME) -> DataFrame:
+    """Every piece of every file: what it opens, what the piece before it closed, and its record.
+
+    ``(source_file, block, place, nth, closed, tags, error, rest, record_type, xml)``; the last two are null in
+    a piece without a record.  ``block`` and ``place`` order the pieces of a file; books come
+    after articles, the order in which a file's records are taken when copies are dropped.
+    ``file_pattern`` takes the name of a file from its path.
     """
-    chunks = (
-        spark.read.option("lineSep", f"</{ARTICLE}>")
-        .text(path)
+    v = F.col("value")
+    pieces = spark.read.option("lineSep", CLOSING).text(path).select(
+        F.regexp_extract("_metadata.file_path", file_pattern, 1).alias("source_file"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("place"),
+        F.lit(0).alias("nth"),
+        "value",
+    )
+    record = F.regexp_extract(v, rf"(?s)<(?:{ARTICLE}|{BOOK})(?:\s[^>]*)?>.*\z", 0)
+    kind = F.when(F.col("_record") == "", None).when(F.col("_record").rlike(rf"\A<{BOOK}"), BOOK).otherwise(ARTICLE)
+    # the cut takes the closing tags away: that of the record, and that of a data part before it
+    data = F.regexp_extract("_record", r"<(Pubmed(?:Book)?Data)(?:\s[^>]*)?(?<!/)>", 1)
+    ends = F.concat(F.when(data != "", F.concat(F.lit("</"), data, F.lit(">"))).otherwise(""), F.lit("</"), F.col("record_type"), F.lit(">"))
+    closed = F.regexp_extract(v, _FOLLOWS, 1)
+    return (
+        pieces.withColumn("_record", record)
+        .withColumn("record_type", kind)
         .select(
-            F.element_at(F.split("_metadata.file_path", "/"), -1).alias("source_file"),
-            F.col("_metadata.file_block_start").alias("block"),
-            F.monotonically_increasing_id().alias("place"),
-            "value",
+            "source_file", "block", "place", "nth",
+            closed.alias("closed"),
+            F.regexp_extract_all(v, F.lit(_OPENING), F.lit(0)).alias("tags"),
+            F.when(v.rlike("<ERROR>"), normalise_space(F.regexp_extract(v, r"(?s)<ERROR>(.*?)(?:</ERROR>|\z)", 1))).alias("error"),
+            F.when(closed.endswith("Set"), normalise_space(F.regexp_replace(v, _FOLLOWS, ""))).alias("rest"),
+            "record_type",
+            F.when(F.col("record_type").isNotNull(), F.concat("_record", ends)).alias("xml"),
         )
     )
-    article = F.concat(F.regexp_extract("value", rf"(?s)<{ARTICLE}(?:\s[^>]*)?>.*\z", 0), F.lit(f"</{ARTICLE}>"))
-    has_article = F.col("value").rlike(rf"<{ARTICLE}[\s>]")
-    books = F.regexp_extract_all("value", F.lit(rf"(?s)<{BOOK}(?:\s[^>]*)?>.*?</{BOOK}>"), F.lit(0))
-    found = F.concat(
-        F.when(has_article, F.array(F.struct(F.lit(ARTICLE).alias("record_type"), article.alias("xml"))))
-        .otherwise(F.array().cast("array<struct<record_type:string,xml:string>>")),
-        F.transform(books, lambda b: F.struct(F.lit(BOOK).alias("record_type"), b.alias("xml"))),
-    )
-    return chunks.select(
-        "source_file", "block", "place", F.posexplode(found).alias("nth", "r")
-    ).select("source_file", "block", "place", "nth", "r.*")
+
+
+def read_record_xml(spark: SparkSession, path: str, file_pattern: str = FILE_NAME) -> DataFrame:
+    """``(source_file, block, place, nth, record_type, xml)``: one row per record element, sound or not."""
+    pieces = read_pieces(spark, path, file_pattern).where("record_type is not null")
+    return pieces.select("source_file", "block", "place", "nth", "record_type", "xml")
 
 
 def flat_text(fragment: Column) -> Column:
@@ -109,23 +142,28 @@ def _texts(items: Column, field: str | None = "_VALUE") -> Column:
     return F.coalesce(values, F.array().cast("array<string>"))
 
 
-def parse_records(raw: DataFrame) -> DataFrame:
+_BAD = "_unparsed"
+_STRICT = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _BAD}
+
+
+def parse_records(raw: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """The flat record table from ``read_record_xml``, with the ordering columns kept.
 
     Both record types go through one projection, so a capture is read once.  An expression
-    several columns need is a named column first, worked out once.
+    several columns need is a named column first, worked out once.  ``malformed`` marks a record
+    that is no well-formed XML; ``keep`` names further columns of ``raw``.
     """
     xml, is_book = F.col("xml"), F.col("record_type") == BOOK
     parsed = raw.withColumns(
         {
-            "x": F.when(~is_book, F.from_xml("xml", _ARTICLE)),
-            "b": F.when(is_book, F.from_xml("xml", _BOOK)["BookDocument"]),
+            "x": F.when(~is_book, F.from_xml("xml", f"{_ARTICLE}, {_BAD} string", _STRICT)),
+            "_b": F.when(is_book, F.from_xml("xml", f"{_BOOK}, {_BAD} string", _STRICT)),
             "_s": _sections(xml),
             "_title": _element(xml, "ArticleTitle"),
             "_book": F.when(is_book, _element(xml, "BookTitle")),
         }
     )
-    c, a, b = F.col("x.MedlineCitation"), F.col("x.MedlineCitation.Article"), F.col("b")
+    c, a, b = F.col("x.MedlineCitation"), F.col("x.MedlineCitation.Article"), F.col("_b.BookDocument")
     issue = a["Journal"]["JournalIssue"]["PubDate"]
     entered = F.filter(
         F.col("x.PubmedData.History.PubMedPubDate"), lambda d: d["_PubStatus"] == "pubmed"
@@ -147,8 +185,10 @@ def parse_records(raw: DataFrame) -> DataFrame:
     terms = lambda m: F.filter(
         _texts(F.transform(m, lambda h: h["DescriptorName"])), lambda t: F.length(t) > 0
     )
+    malformed = F.coalesce(F.col(f"x.{_BAD}"), F.col(f"_b.{_BAD}")).isNotNull()
+    said = F.when(malformed, F.regexp_extract(xml, r"<PMID(?:\s[^>]*)?>([^<]*)", 1)).otherwise(F.coalesce(c["PMID"]["_VALUE"], b["PMID"]["_VALUE"]))
     return dated.select(
-        normalise_space(F.coalesce(c["PMID"]["_VALUE"], b["PMID"]["_VALUE"])).alias("pmid"),
+        normalise_space(said).alias("pmid"),
         F.coalesce(
             _first_id(F.col("x.PubmedData.ArticleIdList.ArticleId"), "_IdType"),
             _first_id(a["ELocationID"], "_EIdType"),
@@ -181,6 +221,8 @@ def parse_records(raw: DataFrame) -> DataFrame:
         "block",
         "place",
         "nth",
+        malformed.alias("malformed"),
+        *keep,
     )
 
 
@@ -189,11 +231,95 @@ RECORD_ORDER = ["source_file", "kind", "block", "place", "nth"]
 
 
 def records_per_file(records: DataFrame) -> DataFrame:
-    """Record counts per raw file, and how many of them are books."""
+    """Record counts per raw file, how many of them are books, and their ids in the order of the file."""
+    placed = F.sort_array(F.collect_list(F.struct(*RECORD_ORDER[1:], "pmid")))
     return records.groupBy("source_file").agg(
         F.count("*").alias("n_records"),
         F.count_if(F.col("record_type") == BOOK).alias("n_books"),
+        F.filter(F.transform(placed, lambda x: x["pmid"]), lambda x: x != "").alias("ids"),
+    )
+
+
+# --- whole captures ----------------------------------------------------------------
+
+
+def capture_files(spark: SparkSession, path: str, file_pattern: str = FILE_NAME) -> DataFrame:
+    """``(source_file, bytes)`` of every file of a capture, also those that hold nothing; no content is read.
+
+    A scan passes over empty files, so the names come from its file index, which the driver holds to plan any scan.
+    """
+    scan = spark.read.format("binaryFile").load(path)
+    name = lambda c: F.regexp_extract(c, file_pattern, 1).alias("source_file")
+    listed = spark.createDataFrame([(f,) for f in scan.inputFiles()], "path string").select(name("path"))
+    sized = scan.select(name("path"), F.col("length").alias("bytes"))
+    return listed.join(sized, "source_file", "left").select("source_file", F.coalesce("bytes", F.lit(0)).alias("bytes"))
+
+
+def scan_capture(spark: SparkSession, path: str, file_pattern: str = FILE_NAME) -> DataFrame:
+    """All pieces with their records parsed, read once and written to the shared folder."""
+    extra = ("closed", "tags", "error", "rest")
+    return written(parse_records(read_pieces(spark, path, file_pattern), extra), "capture")
+
+
+def capture_problems(pieces: DataFrame, files: DataFrame) -> DataFrame:
+    """``(file, check, detail)``: why a file must not pass for a whole one; no rows for a sound capture.
+
+    ``error_body``: an error message instead of records.  ``no_root``: empty, or another format.  ``unbalanced``: cut
+    short, or glued together.  ``trailing_content``: text after the end.  ``malformed_record``: one row
+    for each record that does not parse, with its id, in files that are otherwise whole.
+    """
+    tags = F.col("tags")
+    roots = F.filter(tags, lambda t: t.contains("Set"))
+    alone = F.filter(roots, lambda t: t.endswith("/>"))
+    opened = F.filter(tags, lambda t: t.rlike(r"Article[\s>]"))
+    per_file = pieces.groupBy("source_file").agg(
+        F.sum(F.size(roots)).alias("roots"),
+        (F.sum(F.size(alone)) + F.count_if(F.col("closed").endswith("Set"))).alias("roots_closed"),
+        F.sum(F.size(opened)).alias("opened"),
+        F.count_if(F.col("closed").endswith("Article")).alias("closed"),
+        F.max("error").alias("error"),
+        F.max("rest").alias("rest"),
     )
+    c = F.col
+    balance = F.format_string(
+        "%d roots opened, %d closed; %d records opened, %d closed", c("roots"), c("roots_closed"), c("opened"), c("closed")
+    )
+
+    def problem(check: str, detail: Column) -> Column:
+        return F.struct(F.lit(check).alias("check"), detail.alias("detail"))
+
+    found = (
+        F.when(c("error").isNotNull(), problem("error_body", c("error")))
+        .when(F.coalesce(c("roots"), F.lit(0)) == 0, problem("no_root", F.concat(c("bytes").cast("string"), F.lit(" bytes"))))
+        .when(~((c("roots") == 1) & (c("roots_closed") == 1) & (c("opened") == c("closed"))), problem("unbalanced", balance))
+        .when(c("rest") != "", problem("trailing_content", F.substring("rest", 1, 100)))
+    )
+    whole = files.join(per_file, "source_file", "left").select("source_file", found.alias("p")).where("p is not null")
+    bad = pieces.where("malformed").select("source_file", F.lit("malformed_record").alias("check"), F.col("pmid").alias("detail"))
+    rows = whole.select("source_file", "p.check", "p.detail").unionByName(bad.join(whole, "source_file", "left_anti"))
+    return rows.withColumnRenamed("source_file", "file")
+
+
+def sound_records(pieces: DataFrame, problems: DataFrame) -> DataFrame:
+    """The records of files without a problem."""
+    refused = problems.select(F.col("file").alias("source_file")).distinct()
+    records = pieces.where("record_type is not null").drop("closed", "tags", "error", "rest", "malformed")
+    return records.join(refused, "source_file", "left_anti")
+
+
+def read_capture(spark: SparkSession, path: str, file_pattern: str = FILE_NAME, skip: bool = False) -> DataFrame:
+    """The records of a capture; a file that is not whole is refused, or left out with ``skip``.
+
+    Raises:
+        CaptureError: files are not whole, and ``skip`` is not set.
+    """
+    pieces = scan_capture(spark, path, file_pattern)
+    problems = written(capture_problems(pieces, capture_files(spark, path, file_pattern)), "capture-problems")
+    if not skip:
+        some = problems.orderBy("file", "check", "detail").limit(10).collect()
+        if some:
+            raise CaptureError("; ".join(f"{r['file']}: {r['check']} ({r['detail']})" for r in some))
+    return sound_records(pieces, problems)
 
 
 # --- HTML pages ------------------------------------------------------------------
