@@ -48,8 +48,9 @@ TARGET_DOCS = 20_000
 
 WORD = r"[^\x20\x09-\x0D]+"
 TOKEN = r"[0-9A-Za-z\x{80}-\x{10FFFF}]+|[^0-9A-Za-z\x{80}-\x{10FFFF}\x20\x09-\x0D]+"
-SPACES = " \t\n\x0b\x0c\r"
-SYMBOLS = "#*$%&|<>"
+#: White space but for the blank.
+SPACES = "\t\n\x0b\x0c\r"
+SYMBOLS = "[#*$%&|<>]"
 #: Words of a window that counts as repeated.
 WINDOW = 8
 #: Fewer words, or more than this share of repeated ones (in hundredths), and a document goes.
@@ -61,8 +62,11 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def _without(text: Column, characters: str) -> Column:
-    return F.length(F.translate(text, characters, ""))
+def words_of(text: Column) -> Column:
+    """The runs between white space."""
+    for space in SPACES:
+        text = F.replace(text, F.lit(space), F.lit(" "))
+    return F.array_remove(F.split(text, " "), "")
 
 
 def repeated_words(words: Column, width: int = WINDOW) -> Column:
@@ -100,15 +104,28 @@ def repeated_lines(text: Column) -> Column:
     return _let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long")
 
 
-def buckets_of(tokens: Column, buckets: int = BUCKETS) -> Column:
-    """The bucket of each token and of each pair of neighbours."""
-    def both(c: Column) -> Column:
-        pairs = F.transform(F.slice(c, 2, F.greatest(F.size(c) - 1, F.lit(0))), lambda x, i: (F.get(c, i) * PAIR + x) % buckets)
-        return F.concat(F.transform(c, lambda x: x % buckets), pairs)
+def _pair(c: Column, x: Column, i: Column) -> Column:
+    """Hash of a token, the ``i``-th, and the next; null for the last."""
+    return x * PAIR + F.get(c, i + 1)
+
 
+def buckets_of(tokens: Column, buckets: int = BUCKETS) -> Column:
+    """The bucket of each token and of each pair of neighbours, and a null."""
+    both = lambda c: F.transform(F.concat(c, F.transform(c, lambda x, i: _pair(c, x, i))), lambda x: x % buckets)
     return _let(F.transform(tokens, lambda t: F.crc32(t)), both)
 
 
+def weight_of(tokens: Column, model: Column, buckets: int = BUCKETS) -> Column:
+    """The sum of the weights of the buckets of a text."""
+
+    def summed(c: Column) -> Column:
+        at = lambda h: F.get(model, (h % buckets).cast("int"))
+        each = F.transform(c, lambda x, i: at(x) + F.coalesce(at(_pair(c, x, i)), F.lit(0)))
+        return F.aggregate(each, F.lit(0).cast("long"), lambda total, w: total + w)
+
+    return _let(F.transform(tokens, lambda t: F.crc32(t)), summed)
+
+
 def _tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN), 0)
 
@@ -124,7 +141,7 @@ def weights(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, smoothin
     """The log ratio of trusted to all text for each bucket, in whole numbers of 1 / SCALE."""
     marked = F.broadcast(trusted_ids(docs, labels, most).withColumn("trusted", F.lit(1).cast("long")))
     tokens = docs.select("doc_id", _tokens(F.col("text")).alias("tokens")).join(marked, "doc_id", "left")
-    each = tokens.select("trusted", F.explode(buckets_of(F.col("tokens"), buckets)).alias("bucket"))
+    each = tokens.select("trusted", F.explode(buckets_of(F.col("tokens"), buckets)).alias("bucket")).where("bucket is not null")
     counted = each.groupBy("bucket").agg(F.count("*").alias("raw"), F.coalesce(F.sum("trusted"), F.lit(0)).alias("target")).collect()
     n_raw, n_target = sum(r.raw for r in counted), sum(r.target for r in counted)
     if not n_target:
@@ -145,13 +162,13 @@ def judge(docs: DataFrame, model: list[int], threshold: float = THRESHOLD) -> Da
     text = F.coalesce("text", F.lit(""))
     # one string that is split when the plan is made: a literal array, not as many expressions
     of = F.split(F.lit(",".join(map(str, model))), ",").cast("array<bigint>")
-    split = docs.select("doc_id", text.alias("text"), F.regexp_extract_all(text, F.lit(WORD), 0).alias("words"), _tokens(F.col("text")).alias("tokens"))
-    score = F.aggregate(buckets_of(F.col("tokens"), len(model)), F.lit(0).cast("long"), lambda total, b: total + of[b.cast("int")])
+    split = docs.select("doc_id", text.alias("text"), words_of(text).alias("words"), _tokens(F.col("text")).alias("tokens"))
+    score = weight_of(F.col("tokens"), of, len(model))
     counts = split.select(
         "doc_id",
         F.size("words").cast("long").alias("n_words"),
-        _without(F.col("text"), SPACES).cast("long").alias("word_chars"),
-        (F.length("text") - _without(F.col("text"), SYMBOLS)).cast("long").alias("n_symbols"),
+        F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
+        F.regexp_count("text", F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
         repeated_lines(F.col("text")).alias("n_dup_lines"),
         repeated_words(F.col("words")).alias("n_repeat_words"),
         score.alias("score"),
