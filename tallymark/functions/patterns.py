@@ -105,12 +105,47 @@ def after_prefix(java: str) -> str:
     return rf"{flags})\A([\s\S]*?)(?:{body})"
 
 
-#: Rule text that can only end, or only begin, in a word character.
-_CLASS = r"\[(?:[A-Za-z0-9]-?)+\]"
-_ENDS_IN_WORD = re.compile(
-    rf"(?<!\\)[A-Za-z0-9](?:[A-Za-z0-9]\?|\+)?$|\\[wd]\+?$|(?<!\\){_CLASS}(?:\+|\{{[1-9]\d*\}})?$"
+_ATOM = re.compile(
+    r"\\(?:x[0-9A-Fa-f]{2}|u[0-9A-Fa-f]{4}|U[0-9A-Fa-f]{8}|N\{[^}]*\}|[0-9]{1,3}|.)"  # an escape
+    r"|\[\^?\]?(?:\\.|[^\]\\])*\]"  # a class
+    r"|(?:[*+?]|\{\d+(?:,\d*)?\}|\{,\d+\})[?+]?"  # how often
+    r"|.",
+    re.S,
 )
-_BEGINS_WITH_WORD = re.compile(rf"(?:[A-Za-z0-9]|\\[wd]|{_CLASS})(?![?*]|\{{[0,])")
+_WORD_CLASS = re.compile(r"\[(?:[a-z](?:-[a-z])?|[A-Z](?:-[A-Z])?|[0-9](?:-[0-9])?|\\[wd])+\]")
+
+
+def _is_word(atom: str) -> bool:
+    """Can the atom be nothing but one word character?"""
+    return atom in (r"\w", r"\d") or (len(atom) == 1 and atom.isascii() and atom.isalnum()) or bool(_WORD_CLASS.fullmatch(atom))
+
+
+def _at_least_once(quantifier: str) -> bool:
+    return quantifier[0] == "+" or bool(re.match(r"\{0*[1-9]", quantifier))
+
+
+def _is_quantifier(atom: str) -> bool:
+    return atom[0] in "*+?" or (atom[0] == "{" and len(atom) > 1)
+
+
+def _ends_in_word(text: str) -> bool:
+    """Does rule text only match what ends in a word character?  False if that cannot be told."""
+    atoms = _ATOM.findall(text)
+    while atoms:
+        last = atoms.pop()
+        if not _is_quantifier(last):
+            return _is_word(last)
+        if not atoms or not _is_word(atoms[-1]):
+            return False
+        if _at_least_once(last):
+            return True
+        atoms.pop()  # may be absent, so what stands before it must end in a word as well
+    return False
+
+
+def _begins_with_word(text: str) -> bool:
+    atoms = _ATOM.findall(text)
+    return bool(atoms) and _is_word(atoms[0]) and (len(atoms) == 1 or not _is_quantifier(atoms[1]) or _at_least_once(atoms[1]))
 
 
 def _alternatives(group: str) -> list[str]:
@@ -173,7 +208,7 @@ def _word_edge(body: str, i: int, spans: dict[int, int]) -> str:
     if before.endswith(")") and not before.endswith("\\)") and i - 1 in closed:
         inner = _inside(body, closed[i - 1], i - 1)
         ends = _alternatives(inner) if inner else [""]
-    if all(_ENDS_IN_WORD.search(x) for x in ends):
+    if all(_ends_in_word(x) for x in ends):
         return _AFTER_WORD
     starts = [after]
     if after.startswith("(") and i + 2 in spans:
@@ -181,7 +216,7 @@ def _word_edge(body: str, i: int, spans: dict[int, int]) -> str:
         inner = _inside(body, i + 2, end)
         optional = body[end + 1 : end + 2] in ("?", "*", "{")
         starts = _alternatives(inner) if inner and not optional else [""]
-    if all(_BEGINS_WITH_WORD.match(x) for x in starts):
+    if all(_begins_with_word(x) for x in starts):
         return _BEFORE_WORD
     return _ESCAPES["b"]
 
@@ -200,7 +235,7 @@ def _translate(body: str, groups_before: int = 0) -> str:
             letter, following, after = body[i + 1], body[i + 2 : i + 3], body[i + 3 : i + 4]
             if letter == "b" and not in_class:
                 edge = _word_edge(body, i, spans)
-                if edge == _BEFORE_WORD and following.isalnum() and after != "+":
+                if edge == _BEFORE_WORD and following.isalnum() and after not in ("+", "{"):
                     out.append(_starting_word(following))
                     i += 3
                     continue
@@ -251,6 +286,92 @@ def required_words(source: str) -> tuple[str, ...]:
     return tuple(re.findall(r"[a-z0-9_]+", source.lower())) if source.isascii() else ()
 
 
+#: Most spellings of one place in a rule that it is filed under.
+SPELLINGS = 24
+
+
+def whole_words(source: str, kind: str) -> tuple[str, ...]:
+    """Folded ASCII words of which every match holds at least one, as a whole word; empty if unknown.
+
+    A rule can be filed under them: a text without any of these words cannot match it.
+    """
+    if kind == "phrase":
+        found = required_words(source)
+        return (max(found, key=len),) if found else ()
+    if _tree is None:
+        return ()
+    try:
+        parsed = _tree.parse(source)
+    except re.error:
+        return ()
+    return tuple(sorted(_word_options(list(parsed), False, False) or ()))
+
+
+def _spellings(op, arg) -> list[str] | None:
+    """Every string of word characters that a parse node can match, or None."""
+    if op is _ops.LITERAL:
+        return [chr(arg)] if is_word_char(chr(arg)) else None
+    if op is _ops.IN:
+        each = [chr(x) if kind is _ops.LITERAL else "" for kind, x in arg]
+        return each if len(each) <= 4 and all(x and is_word_char(x) for x in each) else None
+    if op is _ops.MAX_REPEAT and tuple(arg[:2]) == (0, 1):
+        inner = _spelled(list(arg[2]))
+        return None if inner is None else ["", *inner]
+    if op is _ops.SUBPATTERN and not arg[1] and not arg[2]:
+        return _spelled(list(arg[3]))
+    if op is _ops.BRANCH:
+        parts = [_spelled(list(branch)) for branch in arg[1]]
+        return None if None in parts else [x for part in parts for x in part]
+    return None
+
+
+def _spelled(items) -> list[str] | None:
+    out = [""]
+    for op, arg in items:
+        more = _spellings(op, arg)
+        if more is None or len(out) * len(more) > SPELLINGS:
+            return None
+        out = [x + y for x in out for y in more]
+    return out
+
+
+def _parts_words(op, arg) -> bool:
+    """Is there certainly no word character on either side of the node's place?"""
+    if op is _ops.AT:
+        return arg is _ops.AT_BOUNDARY
+    if op is _ops.LITERAL:
+        return not is_word_char(chr(arg))
+    if op is _ops.IN:
+        return all((kind is _ops.LITERAL and not is_word_char(chr(x))) or (kind is _ops.CATEGORY and x is _ops.CATEGORY_SPACE) for kind, x in arg)
+    return op is _ops.MAX_REPEAT and arg[0] >= 1 and len(arg[2]) == 1 and _parts_words(*arg[2][0])
+
+
+def _word_options(items: list, left: bool, right: bool) -> set[str] | None:
+    """The best set of whole words that a sequence implies; ``left`` and ``right`` say that words end at its ends."""
+    parted = [left, *[_parts_words(*item) for item in items], right]
+    options: list[set[str]] = []
+    start = 0
+    while start < len(items):
+        end, words = start, [""]
+        while end < len(items) and (more := _spellings(*items[end])) is not None and len(words) * len(more) <= SPELLINGS:
+            words = [x + y for x in words for y in more]
+            end += 1
+        if end > start and parted[start] and parted[end + 1] and all(w and w.isascii() for w in words):
+            options.append({w.lower() for w in words})
+        op, arg = items[start]
+        if op in (_ops.SUBPATTERN, _ops.BRANCH):
+            inner, edges = None, (parted[start], parted[start + 2])
+            if op is _ops.SUBPATTERN and not arg[1] and not arg[2]:
+                inner = _word_options(list(arg[3]), *edges)
+            elif op is _ops.BRANCH:
+                parts = [_word_options(list(branch), *edges) for branch in arg[1]]
+                inner = set().union(*parts) if all(parts) else None
+            if inner:
+                options.append(inner)
+        start = max(end, start + 1)
+    return max(options, key=lambda s: (min(map(len, s)), -len(s)), default=None)
+
+
 def required_literals(source: str, kind: str) -> tuple[str, ...]:
     """ASCII literals of which every match contains at least one; empty if unknown.
 

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from tallymark.functions.labels import domain_of, set_size
 from tallymark.functions.patterns import sql_literal
 from tallymark.functions.text import excerpt, folded, match_text, tag_list, words
+from tallymark.operators.joins import small
+from tallymark.operators.rule_index import fired_by_index
 from tallymark.sources.rules import Rule, RuleBook
 from tallymark.vocab import (
     BOOK_RECORD_TYPES,
@@ -21,6 +23,8 @@ from tallymark.vocab import (
     SECONDARY_TYPES,
 )
 
+#: Up to so many rules are one expression over the text; more are looked up by the words of the text.
+UNROLLED = 400
 REQUIRED = ("pmid", "title", "abstract", "year", "record_type")
 #: Ordinal of "no rule named anything", beside the rules' own ordinals.
 FALLBACK = -1
@@ -30,52 +34,62 @@ NO_NAME = "no named modality matched"
 FIRED = "array<struct<ordinal:int,n_hits:int,a:int,b:int>>"
 
 
-def fires(rule: Rule) -> str:
-    """Does one rule match?  A cheap necessary test goes first and settles most records.
+def _present(rule: Rule) -> str | None:
+    """A cheap test that a text must pass for the rule to match.
 
-    A phrase needs its words among the words of the text, and a phrase that is one word
-    needs nothing more.  Other rules need a literal their pattern cannot match without.
+    A phrase needs its words among the words of the text.  Other rules need a literal their
+    pattern cannot match without.
     """
-    regex = f"rlike(_text, {sql_literal(rule.java)})"
     if rule.words:
-        present = " AND ".join(f"array_contains(_words, {sql_literal(w)})" for w in rule.words)
-        return present if rule.words == (rule.pattern.strip().lower(),) else f"({present} AND {regex})"
+        return " AND ".join(f"array_contains(_words, {sql_literal(w)})" for w in rule.words)
     if rule.literals:
-        present = " OR ".join(f"contains(_low, {sql_literal(x)})" for x in rule.literals)
-        return f"(({present}) AND {regex})"
-    return regex
+        return "(" + " OR ".join(f"contains(_low, {sql_literal(x)})" for x in rule.literals) + ")"
+    return None
+
+
+def fires(rule: Rule) -> str:
+    """Does one rule match?  The cheap test goes first and settles most records; a phrase that is one word needs nothing more."""
+    regex = f"rlike(_text, {sql_literal(rule.java)})"
+    present = _present(rule)
+    if present is None:
+        return regex
+    return present if rule.words == (rule.pattern.strip().lower(),) else f"({present} AND {regex})"
 
 
 def _fired(rules: list[Rule], details: bool) -> str:
     """The rules that fire; with ``details`` also how often, and where the first match lies.
 
-    Every pattern is a literal, so it is compiled once per task, and counting is only
-    tried where the rule is known to match.  Rules are written as SQL text: hundreds of
-    them are one parse instead of thousands of calls into the JVM.
+    Every pattern is a literal, so it is compiled once per task.  With ``details`` a rule that may match reads the text
+    once for all its matches, and one that does match once more for the place of the first.  Rules
+    are written as SQL text: hundreds of them are one parse instead of thousands of calls into the JVM.
     """
     if not rules:
         return f"CAST(array() AS {FIRED})"
 
     def entry(r: Rule) -> str:
-        found = ["CAST(NULL AS INT)"] * 3
-        if details:
-            first = sql_literal(r.java_after_prefix)
-            found = [
-                f"regexp_count(_text, {sql_literal(r.java)})",
-                f"length(regexp_extract(_text, {first}, 1))",
-                f"length(regexp_extract(_text, {first}, 0))",
-            ]
-        return (
-            f"CASE WHEN {fires(r)} THEN named_struct('ordinal', {r.ordinal}, "
-            f"'n_hits', {found[0]}, 'a', {found[1]}, 'b', {found[2]}) END"
+        if not details:
+            none = ", ".join(f"'{f}', CAST(NULL AS INT)" for f in ("n_hits", "a", "b"))
+            return f"CASE WHEN {fires(r)} THEN named_struct('ordinal', {r.ordinal}, {none}) END"
+        java = sql_literal(r.java)
+        first = f"IF(_wide, length(regexp_extract(_text, {sql_literal(r.java_after_prefix)}, 1)), regexp_instr(_text, {java}) - 1)"
+        found = (
+            f"IF(size(m) > 0, transform(array({first}), i -> named_struct('ordinal', {r.ordinal}, "
+            f"'n_hits', size(m), 'a', i, 'b', i + length(m[0])))[0], NULL)"
         )
+        return f"CASE WHEN {_present(r) or 'TRUE'} THEN transform(array(regexp_extract_all(_text, {java}, 0)), m -> {found})[0] END"
 
     return f"filter(array({', '.join(entry(r) for r in rules)}), x -> x IS NOT NULL)"
 
 
+def _year() -> Column:
+    """The year as a number; text and NaN are none."""
+    year = F.col("year").try_cast("double")
+    return F.when(~F.isnan(year), year)
+
+
 def exclusion_reason(year_range: tuple[int, int] | None = None) -> Column:
     """First field-based reason a record may not enter the corpus, or null."""
-    year = F.col("year").try_cast("double")
+    year = _year()
     reason = (
         F.when(F.col("record_type").isin(*BOOK_RECORD_TYPES), "book_records")
         .when(F.trim(F.coalesce(F.col("pmid").cast("string"), F.lit(""))) == "", "missing_pmid")
@@ -116,45 +130,56 @@ def annotate(
     # Records filtered out by a field get a null text, so no rule is tried on them.
     base = records.select(
         F.trim(F.coalesce(F.col("pmid").cast("string"), F.lit(""))).alias("pmid"),
-        F.col("year").cast("int").alias("year"),
+        _year().try_cast("int").alias("year"),
         (F.col("year_source") if "year_source" in records.columns else F.lit("")).alias("year_source"),
         primary_flag(records).alias("is_primary_research"),
         exclusion_reason(year_range).alias("reason"),
         F.when(exclusion_reason(year_range).isNull(), match_text()).alias("_text"),
     ).withColumn("_low", folded("_text")).withColumn("_words", words("_low"))
+    if details:
+        base = base.withColumn("_wide", F.col("_text").rlike(r"[\x{10000}-\x{10FFFF}]"))
 
     categories = [("theme", k) for k in book.themes] + [
         ("modality", k) for k in (*book.modalities, *book.match_only)
     ]
     excluding = [(d, k) for d, k in categories if book.of_category(d, k, "exclude")]
-    included = base.selectExpr(
-        "*",
-        *[f"{_fired(book.of_category(d, k, 'include'), details)} AS _inc_{d}_{k}" for d, k in categories],
-    )
-    # Exclude rules are only consulted where an include rule of the category fired.
-    both = included.selectExpr(
-        "*",
-        *[
-            f"IF(size(_inc_{d}_{k}) > 0, {_fired(book.of_category(d, k, 'exclude'), details)}, "
-            f"CAST(array() AS {FIRED})) AS _exc_{d}_{k}"
-            for d, k in excluding
-        ],
-    )
+    indexed = len(book.rules) > UNROLLED
+    if indexed:
+        both = fired_by_index(base, book, details, _fired, excerpt)
+        empty = "array<struct<ordinal:int,n_hits:int,excerpt:string>>" if details else "array<struct<ordinal:int>>"
+        unruled = {f"_inc_{d}_{k}": F.array().cast(empty) for d, k in categories if f"_inc_{d}_{k}" not in both.columns}
+        both = both.withColumns(unruled)
+        said = f", 'n_hits', 0, 'excerpt', {sql_literal(NO_NAME)}" if details else ""
+    else:
+        empty, said = FIRED, ", 'n_hits', 0, 'a', -1, 'b', -1"
+        included = base.selectExpr(
+            "*",
+            *[f"{_fired(book.of_category(d, k, 'include'), details)} AS `_inc_{d}_{k}`" for d, k in categories],
+        )
+        # Exclude rules are only consulted where an include rule of the category fired.
+        both = included.selectExpr(
+            "*",
+            *[
+                f"IF(size(`_inc_{d}_{k}`) > 0, {_fired(book.of_category(d, k, 'exclude'), details)}, "
+                f"CAST(array() AS {FIRED})) AS `_exc_{d}_{k}`"
+                for d, k in excluding
+            ],
+        )
 
     def stands(d: str, k: str) -> str:
-        kept = f" AND size(_exc_{d}_{k}) = 0" if (d, k) in excluding else ""
-        return f"(size(_inc_{d}_{k}) > 0{kept})"
+        kept = f" AND size(`_exc_{d}_{k}`) = 0" if (d, k) in excluding else ""
+        return f"(size(`_inc_{d}_{k}`) > 0{kept})"
 
     named = [k for k in book.modalities if k != CATCH_ALL]
     any_named = " OR ".join(stands("modality", k) for k in named) or "FALSE"
     by_pattern = stands("modality", CATCH_ALL)
-    outside = ", ".join(f"IF({stands('modality', k)}, '{k}', NULL)" for k in book.match_only)
+    outside = ", ".join(f"IF({stands('modality', k)}, {sql_literal(k)}, NULL)" for k in book.match_only)
     fired = ", ".join(
-        [f"_inc_{d}_{k}" for d, k in categories] + [f"_exc_{d}_{k}" for d, k in excluding]
+        [f"`_inc_{d}_{k}`" for d, k in categories] + [f"`_exc_{d}_{k}`" for d, k in excluding]
     )
     no_name = (
         f"IF(NOT ({any_named}) AND NOT {by_pattern}, "
-        f"array(named_struct('ordinal', {FALLBACK}, 'n_hits', 0, 'a', -1, 'b', -1)), CAST(array() AS {FIRED}))"
+        f"array(named_struct('ordinal', {FALLBACK}{said})), CAST(array() AS {empty}))"
     )
     row = both.selectExpr(
         "pmid",
@@ -162,18 +187,16 @@ def annotate(
         "year_source",
         "is_primary_research",
         "reason",
-        "_text",
-        *[f"CAST({stands('theme', k)} AS INT) AS theme_{k}" for k in book.themes],
-        *[f"CAST({stands('modality', k)} AS INT) AS mod_{k}" for k in named],
+        *([] if indexed else ["_text"]),
+        *[f"CAST({stands('theme', k)} AS INT) AS `theme_{k}`" for k in book.themes],
+        *[f"CAST({stands('modality', k)} AS INT) AS `mod_{k}`" for k in named],
         f"CAST({by_pattern} OR NOT ({any_named}) AS INT) AS mod_{CATCH_ALL}",
         f"filter(array(CAST(NULL AS STRING), {outside or 'NULL'}), x -> x IS NOT NULL) AS _outside",
         f"flatten(array({fired}, {no_name})) AS fired",
     )
     found = F.col("fired")
-    if details:
-        found = F.transform(found, _with_excerpt)
-    else:
-        found = F.transform(found, lambda f: F.struct(f["ordinal"].alias("ordinal")))
+    if not indexed:
+        found = F.transform(found, _with_excerpt if details else lambda f: F.struct(f["ordinal"].alias("ordinal")))
     row = row.withColumns({"fired": found, "domain": domain_of(book.modalities)}).withColumn(
         "reason",
         F.coalesce(
@@ -187,7 +210,7 @@ def annotate(
     ]
     # One generated row per record: a boundary no filter is pushed through, so a later
     # condition on a label cannot make Spark evaluate the rules a second time.
-    return row.select(F.inline(F.array(F.struct(*columns))))
+    return row.select(F.inline(F.array(F.struct(*[F.col(f"`{c}`") for c in columns]))))
 
 
 def _with_excerpt(f: Column) -> Column:
@@ -208,7 +231,7 @@ def pattern_hits(annotated: DataFrame, book: RuleBook) -> DataFrame:
     """One row per retained record and rule that fired.
 
     Counts and excerpts are there if ``annotated`` was made with details.  Only ids, flags and short excerpts are exploded, never the text; the rule table is
-    broadcast (at most ``MAX_RULES`` rows).  A record that carries the catch-all only for
+    broadcast if it is small.  A record that carries the catch-all only for
     want of a name has one ``fallback`` row.
     """
     kept = annotated.where(F.col("reason").isNull())
@@ -219,7 +242,7 @@ def pattern_hits(annotated: DataFrame, book: RuleBook) -> DataFrame:
     rows = kept.select("pmid", "_outside", standing.alias("_standing"), F.inline_outer("fired"))
     counted = ["n_hits"] if "n_hits" in rows.columns else []
     quoted = ["excerpt"] if counted else []
-    rules = F.broadcast(book.table(annotated.sparkSession, fallback=FALLBACK))
+    rules = small(book.table(annotated.sparkSession, fallback=FALLBACK))
     flag = F.concat(F.when(F.col("dictionary") == "theme", "theme_").otherwise("mod_"), "category")
     stood = F.array_contains("_standing", flag) | F.array_contains("_outside", F.col("category"))
     return rows.join(rules, "ordinal").select(

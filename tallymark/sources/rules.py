@@ -1,7 +1,7 @@
 """Rule tables: term dictionaries as data, read with Spark and held as a rule book.
 
-A rule table has one row per rule.  Only rule tables come to the driver, because each
-rule becomes a column expression; their size is checked first.
+A rule table has one row per rule.  Only rule tables come to the driver, where their patterns are translated: a few
+hundred bytes a rule, whatever the corpus.  A small book becomes one expression, a large one an index (``operators/rule_index.py``).
 """
 
 from __future__ import annotations
@@ -16,9 +16,6 @@ from tallymark.functions import patterns
 from tallymark.functions.patterns import RuleError
 from tallymark.vocab import CATCH_ALL, MATCH_ONLY, MODALITIES, THEMES, canonical_order
 
-#: Each rule is a term of one expression; beyond this the plan itself is the problem.
-MAX_RULES = 5_000
-
 RULE_SCHEMA = T.StructType(
     [
         T.StructField("dictionary", T.StringType()),
@@ -80,6 +77,11 @@ class Rule:
     def literals(self) -> tuple[str, ...]:
         return patterns.required_literals(self.pattern, self.kind)
 
+    @property
+    def filed_under(self) -> tuple[str, ...]:
+        """Whole folded words of which a text needs at least one, or none if that cannot be said."""
+        return patterns.whole_words(self.pattern, self.kind)
+
 
 @dataclass(frozen=True)
 class RuleBook:
@@ -97,8 +99,6 @@ class RuleBook:
         A row with a null pattern declares a category that has no rule of its own.
         """
         rows = list(rows)
-        if len(rows) > MAX_RULES:
-            raise RuleError(f"{len(rows)} rules; at most {MAX_RULES} fit one plan")
         seen: dict[str, list[str]] = {"theme": [], "modality": []}
         rules = []
         for dictionary, category, role, idx, kind, case, pattern in rows:
@@ -123,7 +123,7 @@ class RuleBook:
         order = ["dictionary", "category_position", "category", "role", "idx"]
         keys = [c for c in order if c in table.columns]
         rows = table.orderBy(*[F.desc(k) if k == "role" else k for k in keys])
-        rows = rows.select(*RULE_SCHEMA.fieldNames()).limit(MAX_RULES + 1).collect()
+        rows = rows.select(*RULE_SCHEMA.fieldNames()).collect()
         return cls.of(tuple(r) for r in rows)
 
     def of_category(self, dictionary: str, category: str, role: str) -> list[Rule]:

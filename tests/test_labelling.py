@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from tallymark.operators import counts, labelling, scoring
 from tallymark.plans.label_corpus import label_corpus, write_corpus
 from tallymark.session import scratch_path
-from tallymark.sources.rules import MAX_RULES, RuleBook, RuleError, fingerprint, read_rule_file
+from tallymark.sources.rules import RuleBook, fingerprint, read_rule_file
 from tallymark.vocab import MODALITIES, RECORD_EXCLUSIONS, THEMES
 
 RULES = [
@@ -186,9 +186,16 @@ def test_missing_column_is_named(records, book):
         label_corpus(records.drop("abstract"), book)
 
 
-def test_rule_book_size_is_checked():
-    with pytest.raises(RuleError):
-        RuleBook.of([("theme", "a", "include", i, "phrase", None, "x") for i in range(MAX_RULES + 1)])
+def test_years_that_are_no_numbers(spark, book, rows):
+    made = [("1", "mri", "", y, "PubmedArticle") for y in ("n.d.", "NaN", "", None, "2020", " 2021 ", "1e9", "2016.0")]
+    records = spark.createDataFrame([(str(i), *r[1:]) for i, r in enumerate(made)], "pmid string, title string, abstract string, year string, record_type string")
+    done = label_corpus(records, book, WINDOW)
+    assert rows(done.labels, "pmid", "year") == [("4", 2020), ("5", 2021), ("7", 2016)]
+    assert {r.pmid: r.reason for r in done.ledger.where("applies_to = 'corpus'").collect()} == {
+        "0": "missing_year", "1": "missing_year", "2": "missing_year", "3": "missing_year", "6": "outside_date_range"
+    }
+    nan = records.limit(1).withColumn("year", F.lit(float("nan")))
+    assert rows(label_corpus(nan, book, WINDOW).ledger, "reason") == [("missing_year",)]
 
 
 def test_rule_file_round_trip(spark, tmp_path, book):

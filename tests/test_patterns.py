@@ -155,3 +155,51 @@ def test_sections(spark):
     )
     got = [tuple(r) for r in df.select(sections_text("s").alias("r")).select("r.*").collect()]
     assert got == [("AIM: x\n\ny", True, 2), ("only", False, 1), ("", False, 0), ("", False, 0)]
+
+
+@pytest.mark.parametrize(
+    "source, text",
+    [
+        (r"\ba{2}b", "aab ab aaab xaab"),
+        (r"\ba{1,2}b", "aab ab aaab"),
+        (r"foo\x20\bbar", "foo bar foo  bar"),
+        (r"foo\x20a?\bbar", "foo bar foo abar"),
+        (r"\b[a-z-]x", " -x ax -ax"),
+        (r"[a-z-]\bx", "-x ax a-x"),
+        (r"\b[A-z]x", "[x ax"),
+        (r"\ba*b", "aab b ab"),
+        (r"a\d{0}\bb", "ab a b"),
+        (r"ab?\b", "ab a abc ac"),
+        (r"-b?\b", "-b - -bc a-"),
+        (r"\b\w?-", "a- - ab-"),
+        (r"\b(?:a|-)b", "ab -b x-b"),
+        (r"(?:a|b+)\b", "a b bb bc"),
+        (r"\b\d{3}\b", "123 1234 x123"),
+    ],
+)
+def test_word_edges_beside_anything(spark, source, text):
+    java = patterns.regex_to_java(source)
+    found = spark.createDataFrame([(text,)], "t string").select(F.regexp_extract_all("t", F.lit(java), F.lit(0))).first()[0]
+    assert found == [m.group(0) for m in re.finditer(source, text)]
+
+
+@pytest.mark.parametrize(
+    "source, words",
+    [
+        (r"(?i)\bmodels?\b", ("model", "models")),
+        (r"\b(MIT|Apache|BSD) Licen[sc]e\b", ("licence", "license")),
+        (r"(?i)\bvision[- ]language\s+models?\b", ("language",)),
+        (r"\bmulti[- ]?modal", ()),
+        (r"foundation", ()),
+        (r"\bfoundation", ()),
+        (r"\b(?:licensed|licence)\b", ("licence", "licensed")),
+        (r"\b(ab|c d)\b", ("ab", "c")),
+        (r"\b(ab|c d|e.*)\b", ()),
+        (r"\bab*\b", ()),
+        (r"\bab\b|\bcd\b", ("ab", "cd")),
+        (r"(", ()),
+    ],
+)
+def test_words_that_a_rule_is_filed_under(source, words):
+    found = patterns.whole_words(source, "regex")
+    assert found == words or set(found) == {w for w in words}
