@@ -46,10 +46,9 @@ THRESHOLD = -0.3
 #: Most trusted documents that the target is counted on.
 TARGET_DOCS = 20_000
 
-WORD = r"[^\x20\x09-\x0D]+"
-TOKEN = r"[0-9A-Za-z\x{80}-\x{10FFFF}]+|[^0-9A-Za-z\x{80}-\x{10FFFF}\x20\x09-\x0D]+"
-#: White space but for the blank.
-SPACES = "\t\n\x0b\x0c\r"
+#: Blank, tab, line feed, vertical tab, form feed, carriage return, as a Java class.
+SPACE = r"\s"
+TOKEN = r"[\p{Alnum}\x{80}-\x{10FFFF}]+|[^\p{Alnum}\s\x{80}-\x{10FFFF}]+"
 SYMBOLS = "[#*$%&|<>]"
 #: Words of a window that counts as repeated.
 WINDOW = 8
@@ -64,9 +63,7 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def words_of(text: Column) -> Column:
     """The runs between white space."""
-    for space in SPACES:
-        text = F.replace(text, F.lit(space), F.lit(" "))
-    return F.array_remove(F.split(text, " "), "")
+    return F.array_remove(F.split(text, f"{SPACE}+"), "")
 
 
 def repeated_words(words: Column, width: int = WINDOW) -> Column:
@@ -100,27 +97,16 @@ def repeated_words(words: Column, width: int = WINDOW) -> Column:
 
 def repeated_lines(text: Column) -> Column:
     """How many lines with a word are equal to an earlier one."""
-    lines = F.filter(F.split(text, "\n"), lambda line: line.rlike(WORD))
+    lines = F.filter(F.split(text, "\n"), lambda line: line.rlike(r"\S"))
     return _let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long")
 
 
-def _pair(c: Column, x: Column, i: Column) -> Column:
-    """Hash of a token, the ``i``-th, and the next; null for the last."""
-    return x * PAIR + F.get(c, i + 1)
-
-
-def buckets_of(tokens: Column, buckets: int = BUCKETS) -> Column:
-    """The bucket of each token and of each pair of neighbours, and a null."""
-    both = lambda c: F.transform(F.concat(c, F.transform(c, lambda x, i: _pair(c, x, i))), lambda x: x % buckets)
-    return _let(F.transform(tokens, lambda t: F.crc32(t)), both)
-
-
 def weight_of(tokens: Column, model: Column, buckets: int = BUCKETS) -> Column:
     """The sum of the weights of the buckets of a text."""
 
     def summed(c: Column) -> Column:
         at = lambda h: F.get(model, (h % buckets).cast("int"))
-        each = F.transform(c, lambda x, i: at(x) + F.coalesce(at(_pair(c, x, i)), F.lit(0)))
+        each = F.transform(c, lambda x, i: at(x) + F.coalesce(at(x * PAIR + F.get(c, i + 1)), F.lit(0)))
         return F.aggregate(each, F.lit(0).cast("long"), lambda total, w: total + w)
 
     return _let(F.transform(tokens, lambda t: F.crc32(t)), summed)
@@ -141,7 +127,11 @@ def weights(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, smoothin
     """The log ratio of trusted to all text for each bucket, in whole numbers of 1 / SCALE."""
     marked = F.broadcast(trusted_ids(docs, labels, most).withColumn("trusted", F.lit(1).cast("long")))
     tokens = docs.select("doc_id", _tokens(F.col("text")).alias("tokens")).join(marked, "doc_id", "left")
-    each = tokens.select("trusted", F.explode(buckets_of(F.col("tokens"), buckets)).alias("bucket")).where("bucket is not null")
+    # each token beside the next one: two generators in one compiled stage, straight into the map-side sum
+    beside = F.arrays_zip(F.col("tokens").alias("x"), F.slice("tokens", 2, F.greatest(F.size("tokens") - 1, F.lit(0))).alias("y"))
+    pairs = tokens.select("trusted", F.explode(beside).alias("t")).select("trusted", F.crc32("t.x").alias("x"), F.crc32("t.y").alias("y"))
+    both = F.array(F.col("x") % buckets, (F.col("x") * PAIR + F.col("y")) % buckets)
+    each = pairs.select("trusted", F.explode(both).alias("bucket")).where("bucket is not null")
     counted = each.groupBy("bucket").agg(F.count("*").alias("raw"), F.coalesce(F.sum("trusted"), F.lit(0)).alias("target")).collect()
     n_raw, n_target = sum(r.raw for r in counted), sum(r.target for r in counted)
     if not n_target:
