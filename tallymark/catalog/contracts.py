@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 from tallymark.catalog import corpus, registry
 from tallymark.catalog.common import query, table
 from tallymark.catalog.counting import COMBOS, SERIES, customer_years
-from tallymark.catalog.labelling import rule_fingerprints
-from tallymark.operators import contracts, counts, grids
+from tallymark.operators import contracts, counts, grids, labelling
 from tallymark.operators import registry as devices
-from tallymark.vocab import DEVICE_CATEGORIES, MODALITIES, STRATA
+from tallymark.session import scratch_path
+from tallymark.sources import lineage, tables
+from tallymark.sources.rules import RuleBook
+from tallymark.vocab import DEVICE_CATEGORIES, STRATA
 
 _NONE = "SELECT '' AS \"check\", '' AS key, '' AS detail WHERE FALSE"
 _ROW = '"check", key, detail'
@@ -176,8 +178,9 @@ WHERE theme NOT IN ({', '.join(f"'{s}'" for s in STRATA if s != 'digital_twins')
 def rule_cover(spark, sf_dir):
     """Themes and modalities seen in the corpus, against strata that leave one theme out."""
     combos = counts.combination_counts(corpus.run(spark, sf_dir).labels)
-    seen = [r["theme"] for r in combos.select("theme").distinct().collect()]
-    return contracts.strata_cover(spark, seen, [s for s in STRATA if s != "digital_twins"], MODALITIES)
+    strata = spark.createDataFrame([(s,) for s in STRATA if s != "digital_twins"], "theme string")
+    members = combos.select(F.explode(F.split("modality_set", r"\+")).alias("modality"))
+    return contracts.strata_cover(combos, strata, members)
 
 
 @query(
@@ -336,12 +339,61 @@ def term_rules(spark, sf_dir):
 
 @query(
     "labels_by_fingerprinted_rules",
-    "J13 P28",
-    f"""WITH {corpus.labels_sql()} SELECT 'current' AS state, count(*) AS n_records FROM labels_""",
+    "J13 S11 P28",
+    f"""WITH {corpus.labels_sql()}, n AS (SELECT count(*) AS n_records FROM labels_)
+SELECT 'before' AS edit, unnest(['theme', 'modality']) AS file, 3 AS version, 'current' AS state, n_records FROM n
+UNION ALL SELECT 'after', 'theme', 3, 'current', n_records FROM n UNION ALL SELECT 'after', 'modality', 3, 'changed_same_version', n_records FROM n""",
 )
 def labels_by_fingerprinted_rules(spark, sf_dir):
-    """Labels are only counted as current when the rules they came from have not moved."""
-    now = rule_fingerprints(spark)
-    state = contracts.freshness(now, now).select("state").distinct().withColumn("_one", F.lit(1))
-    n = corpus.run(spark, sf_dir).labels.agg(F.count("*").alias("n_records")).withColumn("_one", F.lit(1))
-    return n.join(F.broadcast(state), "_one").select("state", "n_records")
+    """A run records its rules; once one of them is edited, its labels no longer pass as current."""
+    versions = {"theme": 3, "modality": 3}
+    book = RuleBook.of(corpus.RULE_ROWS, versions)
+    edited = RuleBook.of([(*r[:6], r[6] + "s") if r[1] == "pet" else r for r in corpus.RULE_ROWS], versions)
+    out = scratch_path(spark, "lineage")
+    tables.write_table(labelling.labels(labelling.annotate(corpus.records(spark, sf_dir), book, corpus.YEARS)), f"{out}/paper_labels", {})
+    lineage.write_lineage(lineage.book_lineage(spark, book), out)
+    n = lineage.read_current(spark, out, "paper_labels", book).agg(F.count("*").alias("n_records")).withColumn("_one", F.lit(1))
+    states = [
+        lineage.check_lineage(spark, out, lineage.book_lineage(spark, now)).select(F.lit(name).alias("edit"), "file", "version", "state", F.lit(1).alias("_one"))
+        for name, now in (("before", book), ("after", edited))
+    ]
+    return states[0].unionByName(states[1]).join(F.broadcast(n), "_one").drop("_one")
+
+
+# Parts as rules: the last digit of the key names the file, and so its version.
+_RULE_TEXT = " || ".join(
+    f"coalesce(strlen({c}) || ':' || {c}, '-')" for c in ("CAST(NULL AS VARCHAR)", "category", "CAST(idx AS VARCHAR)", "kind", "pattern", "role")
+)
+_RULE_SUMS = ", ".join(f"CAST(sum(CAST('0x' || substr(h, {1 + 8 * i}, 8) AS BIGINT)) AS VARCHAR)" for i in range(8))
+
+
+@query(
+    "rule_lineage",
+    "J13 S11",
+    f"""WITH r AS (SELECT 'rules' || p_partkey % 10 AS file, CAST(p_partkey % 10 + 1 AS INTEGER) AS version, p_type AS category, p_partkey AS idx, 'phrase' AS kind, p_name AS pattern, 'include' AS role FROM part),
+h AS (SELECT file, version, sha256({_RULE_TEXT}) AS h FROM r)
+SELECT file, version, sha256(concat_ws(',', CAST(count(*) AS VARCHAR), {_RULE_SUMS})) AS sha256,
+  CASE WHEN version IN (5, 6, 10) THEN 'changed_same_version' WHEN version IN (7, 8) THEN 'changed_new_version' WHEN version = 9 THEN 'missing' ELSE 'current' END AS state
+FROM h GROUP BY file, version""",
+)
+def rule_lineage(spark, sf_dir):
+    """Rule files after a run: two edited, two edited with a new version, one gone, one with a row twice, the others as they were."""
+    key, c = F.col("p_partkey") % 10, F.col
+    rules = table(spark, sf_dir, "part").select(
+        F.concat(F.lit("rules"), key.cast("string")).alias("file"), (key + 1).cast("int").alias("version"),
+        c("p_type").alias("category"), F.lit("include").alias("role"), c("p_partkey").alias("idx"), F.lit("phrase").alias("kind"),
+        F.lit(None).cast("boolean").alias("case_sensitive"), c("p_name").alias("pattern"),
+    )
+
+    def state(df):
+        versions = df.groupBy("file").agg(F.max("version").alias("version"))
+        return versions.join(lineage.table_digest(df, ["file"], ["version"]), "file").select("file", "version", "sha256")
+
+    edited = c("version").isin(5, 6, 7, 8) & (c("idx") < 20)
+    now = rules.where("version <> 9").select(
+        "file", F.when(c("version").isin(7, 8), c("version") + 100).otherwise(c("version")).alias("version"),
+        "category", "role", "idx", "kind", "case_sensitive", F.when(edited, F.concat("pattern", F.lit("s"))).otherwise(c("pattern")).alias("pattern"),
+    )
+    recorded = state(rules)
+    states = contracts.freshness(recorded, state(now.unionByName(now.where("version = 10 and idx < 20"))))
+    return recorded.join(states.select("file", "state"), "file")

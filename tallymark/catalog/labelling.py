@@ -11,7 +11,7 @@ from tallymark.catalog.common import query, sql_text
 from tallymark.operators import counts, labelling
 from tallymark.plans.label_corpus import write_corpus
 from tallymark.session import scratch_path
-from tallymark.sources.rules import RuleBook, fingerprint, read_rule_file
+from tallymark.sources.rules import RuleBook, read_rule_file
 from tallymark.vocab import RECORD_EXCLUSIONS, SECONDARY_TYPES
 
 LABEL_SELECT = f"SELECT pmid, year, year_source, {corpus.THEME_COLS}, {corpus.MOD_COLS}, domain, is_primary_research FROM labels_"
@@ -183,11 +183,3 @@ def label_run_tables(spark, sf_dir):
     return rows
 
 
-def rule_fingerprints(spark):
-    """``(file, version, sha256)`` of the rule tables in use."""
-    rows = [(d, c, r, i, k, s, p, 3) for d, c, r, i, k, s, p in corpus.RULE_ROWS]
-    schema = (
-        "dictionary string, category string, role string, idx int, kind string, "
-        "case_sensitive boolean, pattern string, version int"
-    )
-    return fingerprint(spark.createDataFrame(rows, schema)).withColumnRenamed("dictionary", "file")

@@ -14,7 +14,7 @@ from tallymark.catalog.common import query, sql_norm, sql_text, table
 from tallymark.operators import counts, dedup, labelling
 from tallymark.session import scratch_path, spread, written
 from tallymark.sources import lookup, markup, tables
-from tallymark.streaming import incremental
+from tallymark.streaming import incremental, resume
 
 # --- literature XML -----------------------------------------------------------------
 
@@ -413,13 +413,36 @@ def incremental_labels(spark, sf_dir):
 
 @query("incremental_first_seen", "R2", "SELECT DISTINCT md5(text) AS text_md5 FROM documents")
 def incremental_first_seen(spark, sf_dir):
-    """The same text in several slices is passed on once."""
+    """The same text in several slices, which land between runs, is passed on once."""
     root = scratch_path(spark, "first-seen")
     docs = table(spark, sf_dir, "documents").select("lang", F.md5("text").alias("text_md5"))
-    for where in ("lang IN ('en', 'de')", "lang IN ('de', 'fr', 'es')"):
+    for where in ("lang IN ('en', 'de')", "lang IN ('de', 'fr', 'es')", "true"):
         _land(docs.where(where).select("text_md5"), f"{root}/in")
-    stream = incremental.landed(spark, f"{root}/in", "text_md5 string")
-    incremental.run_available(
-        stream, lambda df: incremental.first_seen(df, "text_md5"), f"{root}/out", f"{root}/state"
-    )
-    return spark.read.parquet(f"{root}/out")
+        stream = incremental.landed(spark, f"{root}/in", "text_md5 string")
+        incremental.pass_on_first_seen(stream, "text_md5", f"{root}/out", f"{root}/state")
+    return incremental.read_first_seen(spark, f"{root}/out")
+
+
+@query("incremental_relabelled", "R1", f"WITH {corpus.labels_sql()} {LABEL_SELECT}")
+def incremental_relabelled(spark, sf_dir):
+    """Pieces land in two goes; in between one of them changes and a line of the ledger is torn."""
+    root = scratch_path(spark, "resume")
+    records = corpus.records(spark, sf_dir).withColumn("piece", F.col("source_file"))
+    book = corpus.rule_book()
+    job = lambda df: labelling.labels(labelling.annotate(df, book, corpus.YEARS, keep=("piece",)))
+
+    def land(df):
+        df.repartition("piece").write.partitionBy("piece").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(f"{root}/in")
+
+    def sweep():
+        landed = resume.read_pieces(spark, f"{root}/in", records.drop("piece").schema)
+        resume.sweep(landed, resume.listing(spark, f"{root}/in"), job, f"{root}/out", f"{root}/ledger")
+
+    late, changing = F.col("piece").isin("src1", "src2"), F.col("piece") == "src3"
+    land(records.where(~late).withColumn("abstract", F.when(~changing, F.col("abstract"))))
+    sweep()
+    spark.createDataFrame([('{"piece": "src4", "bytes": 1, "dig',)], "value string").write.mode("append").text(f"{root}/ledger")
+    land(records.where(late | changing))
+    sweep()
+    done = resume.current(spark, f"{root}/out", f"{root}/ledger", resume.listing(spark, f"{root}/in"))
+    return done.drop("piece", "year_source", "is_primary_research")

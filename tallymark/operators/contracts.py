@@ -6,7 +6,8 @@ from __future__ import annotations
 import re
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallymark.functions import patterns
@@ -152,14 +153,16 @@ def binary_labels(df: DataFrame, flags: list[str], id_: str = "pmid") -> DataFra
     return _found(rows, "label_not_binary", F.col(id_), F.col("c")).unionByName(unique_key(df, [id_]))
 
 
-def strata_cover(spark: SparkSession, themes, strata, modalities) -> DataFrame:
-    """Themes without a stratum; modalities not on exactly one side."""
-    rows = [("theme_without_stratum", t, "") for t in themes if t not in strata]
-    for m in modalities:
-        sides = sum(m in side for side in (RADIOLOGY_SIDE, PATHOLOGY_SIDE, NEITHER_SIDE))
-        if sides != 1:
-            rows.append(("modality_side", m, str(sides)))
-    return spark.createDataFrame(rows, PROBLEM)
+def strata_cover(themes: DataFrame, strata: DataFrame, modalities: DataFrame) -> DataFrame:
+    """Themes without a stratum; modalities not on exactly one side.
+
+    ``themes (theme)``, ``strata (theme)`` and ``modalities (modality)`` may hold anything any number of times.
+    """
+    bare = themes.select("theme").distinct().join(strata.select("theme"), "theme", "left_anti")
+    m = F.col("modality")
+    sides = sum(m.isin(*side).cast("int") for side in (RADIOLOGY_SIDE, PATHOLOGY_SIDE, NEITHER_SIDE))
+    off = modalities.select("modality").distinct().where(sides != 1)
+    return _found(bare, "theme_without_stratum", F.col("theme"), "").unionByName(_found(off, "modality_side", m, sides))
 
 
 def code_rule(assigned: DataFrame, excluded: DataFrame, overrides: DataFrame | None = None) -> DataFrame:
@@ -215,75 +218,66 @@ def decision_rule(decisions: DataFrame, declared: DataFrame | None = None) -> Da
 
 
 def term_rules(rules: DataFrame, expected: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
-    """Every problem of a rule table at once.
+    """Every problem of a rule table at once, of any size.
 
-    Rules come to the driver (a bounded table) because only the regex engine can say
-    whether a pattern compiles; Spark is asked to, as that is the engine that runs it.
+    Kinds, cases, includes and categories are aggregates and anti-joins.  Patterns are translated by a helper on the
+    executors and compiled where they will run, in the JVM.
     """
-    from tallymark.sources.rules import MAX_RULES
-
-    spark = rules.sparkSession
-    rows = rules.select(
-        "dictionary", "category", "role", "idx", "kind", "case_sensitive", "pattern"
-    ).limit(MAX_RULES + 1).collect()
-    if len(rows) > MAX_RULES:
-        raise patterns.RuleError(f"more than {MAX_RULES} rules")
-    problems: list[tuple[str, str, str]] = []
-    includes: dict[tuple[str, str], int] = {}
-    compiled: list[tuple[str, str, str]] = []
-    for r in rows:
-        key = (r["dictionary"], r["category"])
-        includes.setdefault(key, 0)
-        if r["pattern"] is None and r["kind"] is None:
-            continue
-        includes[key] += r["role"] == "include"
-        where = f"{r['category']}.{r['role']}[{r['idx']}]"
-        if not (r["pattern"] or "").strip():
-            problems.append(("empty_pattern", where, ""))
-        elif r["kind"] not in ("phrase", "regex"):
-            problems.append(("unknown_kind", where, str(r["kind"])))
-        elif r["kind"] == "regex" and r["case_sensitive"] and "i" in patterns.inline_flags(r["pattern"]):
-            problems.append(("contradictory_case", where, r["pattern"]))
-        else:
-            try:
-                compiled.append((where, r["pattern"], _java(r)))
-            except re.error:
-                problems.append(("will_not_compile", where, r["pattern"]))
-            except patterns.RuleError as problem:
-                problems.append(("not_expressible", where, str(problem)))
-    problems += _refused(spark, compiled)
-    for (dictionary, category), n in includes.items():
-        if n == 0 and category != CATCH_ALL:
-            problems.append(("no_include", category, dictionary))
-    for dictionary, keys in (expected or {}).items():
-        have = {c for d, c in includes if d == dictionary}
-        problems += [("category_missing", k, dictionary) for k in keys if k not in have]
-        problems += [("category_unknown", k, dictionary) for k in sorted(have - set(keys))]
-    return spark.createDataFrame(problems, PROBLEM)
-
-
-def _java(r) -> str:
-    if r["kind"] == "phrase":
-        return patterns.phrase_to_java(r["pattern"], bool(r["case_sensitive"]))
-    re.compile(r["pattern"])
-    return patterns.regex_to_java(r["pattern"], r["case_sensitive"])
-
-
-def _refused(spark: SparkSession, compiled: list[tuple[str, str, str]]) -> list[tuple[str, str, str]]:
-    """Rules Spark's regex engine does not accept: all are tried at once, then halves."""
-    if not compiled:
-        return []
-    tests = [f"rlike('', {patterns.sql_literal(java)}) AS c{i}" for i, (_, _, java) in enumerate(compiled)]
-    try:
-        spark.range(1).selectExpr(*tests).collect()
-        return []
-    except Exception as problem:
-        if "REGEX" not in str(problem).upper() and "PATTERN" not in str(problem).upper():
-            raise
-    if len(compiled) == 1:
-        return [("not_expressible", compiled[0][0], compiled[0][1])]
-    half = len(compiled) // 2
-    return _refused(spark, compiled[:half]) + _refused(spark, compiled[half:])
+    c = F.col
+    r = rules.select("dictionary", "category", "role", "idx", "kind", "case_sensitive", "pattern")
+    stated = r.where("pattern is not null or kind is not null")
+    where = F.concat(c("category"), F.lit("."), c("role"), F.lit("["), c("idx").cast("string"), F.lit("]"))
+    translated = F.pandas_udf(_translated, "java string, check string, detail string")
+    tried = stated.withColumn("_t", translated("kind", "case_sensitive", "pattern"))
+    blank = F.coalesce(c("pattern"), F.lit("")).rlike(rf"\A[{patterns.SPACE}]*\z")
+
+    def problem(check, detail) -> Column:
+        return F.struct((check if isinstance(check, Column) else F.lit(check)).alias("check"), detail.alias("detail"))
+
+    compiles = F.try_reflect(F.lit("java.util.regex.Pattern"), F.lit("compile"), c("_t.java")).isNotNull()
+    found = (
+        F.when(blank, problem("empty_pattern", F.lit("")))
+        .when(~F.coalesce(c("kind").isin("phrase", "regex"), F.lit(False)), problem("unknown_kind", F.coalesce("kind", F.lit("None"))))
+        .when(
+            (c("kind") == "regex") & c("case_sensitive") & c("pattern").rlike(r"\A\(\?[a-zA-Z]*i[a-zA-Z]*\)"),
+            problem("contradictory_case", c("pattern")),
+        )
+        .when(c("_t.check").isNotNull(), problem(c("_t.check"), c("_t.detail")))
+        .when(~compiles, problem("not_expressible", c("pattern")))
+    )
+    rows = tried.select(where.alias("key"), found.alias("p")).where("p is not null").select("p.check", "key", "p.detail")
+    is_include = ((c("role") == "include") & (c("pattern").isNotNull() | c("kind").isNotNull())).cast("int")
+    have = r.groupBy("dictionary", "category").agg(F.coalesce(F.sum(is_include), F.lit(0)).alias("n"))
+    bare = have.where((c("n") == 0) & (c("category") != CATCH_ALL))
+    parts = [rows, _found(bare, "no_include", c("category"), c("dictionary"))]
+    if expected:
+        spark = rules.sparkSession
+        wanted = spark.createDataFrame([(d, k) for d, keys in expected.items() for k in keys], "dictionary string, category string")
+        keys = ["dictionary", "category"]
+        parts.append(_found(wanted.join(have, keys, "left_anti"), "category_missing", c("category"), c("dictionary")))
+        known = have.where(c("dictionary").isin(*expected))
+        parts.append(_found(known.join(wanted, keys, "left_anti"), "category_unknown", c("category"), c("dictionary")))
+    return all_problems(*parts)
+
+
+def _translated(kind: pd.Series, case: pd.Series, pattern: pd.Series) -> pd.DataFrame:
+    """A rule's pattern for the JVM, or why there is none."""
+
+    def one(k, flag, source):
+        flag = None if pd.isna(flag) else bool(flag)
+        try:
+            if k == "phrase":
+                return patterns.phrase_to_java(source or "", bool(flag)), None, None
+            if k == "regex":
+                re.compile(source or "")
+                return patterns.regex_to_java(source or "", flag), None, None
+        except re.error:
+            return None, "will_not_compile", source
+        except patterns.RuleError as problem:
+            return None, "not_expressible", str(problem)
+        return None, None, None
+
+    return pd.DataFrame([one(*row) for row in zip(kind, case, pattern)], columns=["java", "check", "detail"])
 
 
 def version_ledger(ledger: DataFrame, current: DataFrame) -> DataFrame:

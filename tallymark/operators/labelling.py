@@ -119,10 +119,12 @@ def annotate(
     book: RuleBook,
     year_range: tuple[int, int] | None = None,
     details: bool = False,
+    keep: tuple[str, ...] = (),
 ) -> DataFrame:
     """One row per record: exclusion reason, flags, and the rules that fired.
 
-    ``details`` adds counts and excerpts to the fired rules, for the provenance table.
+    ``details`` adds counts and excerpts to the fired rules, for the provenance table; ``keep`` names further
+    columns of the records that stay.
     """
     missing = [c for c in REQUIRED if c not in records.columns]
     if missing:
@@ -134,6 +136,7 @@ def annotate(
         (F.col("year_source") if "year_source" in records.columns else F.lit("")).alias("year_source"),
         primary_flag(records).alias("is_primary_research"),
         exclusion_reason(year_range).alias("reason"),
+        *keep,
         F.when(exclusion_reason(year_range).isNull(), match_text()).alias("_text"),
     ).withColumn("_low", folded("_text")).withColumn("_words", words("_low"))
     if details:
@@ -187,6 +190,7 @@ def annotate(
         "year_source",
         "is_primary_research",
         "reason",
+        *keep,
         *([] if indexed else ["_text"]),
         *[f"CAST({stands('theme', k)} AS INT) AS `theme_{k}`" for k in book.themes],
         *[f"CAST({stands('modality', k)} AS INT) AS `mod_{k}`" for k in named],
@@ -206,7 +210,7 @@ def annotate(
     )
     order = [f"theme_{k}" for k in book.themes] + [f"mod_{k}" for k in book.modalities]
     columns = [
-        "pmid", "year", "year_source", *order, "domain", "is_primary_research", "reason", "_outside", "fired",
+        "pmid", "year", "year_source", *order, "domain", "is_primary_research", "reason", *keep, "_outside", "fired",
     ]
     # One generated row per record: a boundary no filter is pushed through, so a later
     # condition on a label cannot make Spark evaluate the rules a second time.

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallymark.operators import counts, labelling
+from tallymark.sources.lineage import book_lineage, write_lineage
 from tallymark.sources.rules import RuleBook
 from tallymark.sources.tables import run_metrics, write_table
 from tallymark.vocab import RECORD_EXCLUSIONS
@@ -66,8 +67,15 @@ def label_corpus(
 def write_corpus(
     run: CorpusRun, out: str, provenance: dict[str, str], partial_year: int | None = None
 ) -> None:
-    """Evaluate the rules once, write the annotated rows, and reduce from what was written."""
+    """Evaluate the rules once, write the annotated rows, and reduce from what was written.
+
+    The run records the version and digest of its own rules, in ``lineage`` and beside every table;
+    ``sources.lineage.read_current`` refuses its tables once the rules have moved.
+    """
     spark = run.annotated.sparkSession
+    write_lineage(book_lineage(spark, run.book), out)
+    made_from = spark.read.parquet(f"{out}/lineage").collect()  # a row per dictionary
+    provenance = {**provenance, **{f"{r['file']}_version": str(r["version"]) for r in made_from}, **{f"{r['file']}_sha256": r["sha256"] for r in made_from}}
     run.annotated.write.mode("errorifexists").parquet(f"{out}/annotated")
     done = CorpusRun(spark.read.parquet(f"{out}/annotated"), run.book)
     write_table(done.labels, f"{out}/paper_labels", provenance)

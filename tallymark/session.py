@@ -35,7 +35,8 @@ def shared_folder(spark: SparkSession) -> str:
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
-    if not spark.sparkContext.master.startswith("local"):
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
     own = tempfile.mkdtemp(prefix="tallymark-")
     spark.sparkContext.setCheckpointDir(own)
@@ -47,6 +48,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Is there anything at ``path``, in whatever store it names?"""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Write ``df`` to the reliable checkpoint folder and read it back from there."""
     spark = df.sparkSession

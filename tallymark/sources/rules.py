@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallymark.functions import patterns
-from tallymark.functions.patterns import RuleError
 from tallymark.vocab import CATCH_ALL, MATCH_ONLY, MODALITIES, THEMES, canonical_order
 
 RULE_SCHEMA = T.StructType(
@@ -91,9 +90,11 @@ class RuleBook:
     modalities: tuple[str, ...]
     match_only: tuple[str, ...]
     rules: tuple[Rule, ...] = field(repr=False)
+    #: The version that each dictionary's file states.
+    versions: tuple[tuple[str, int], ...] = ()
 
     @classmethod
-    def of(cls, rows) -> RuleBook:
+    def of(cls, rows, versions: dict[str, int] | None = None) -> RuleBook:
         """Build from ``(dictionary, category, role, idx, kind, case_sensitive, pattern)``.
 
         A row with a null pattern declares a category that has no rule of its own.
@@ -116,6 +117,7 @@ class RuleBook:
             tuple(canonical_order(labels, MODALITIES)),
             tuple(k for k in seen["modality"] if k in MATCH_ONLY),
             tuple(rules),
+            tuple(sorted((versions or {}).items())),
         )
 
     @classmethod
@@ -123,8 +125,15 @@ class RuleBook:
         order = ["dictionary", "category_position", "category", "role", "idx"]
         keys = [c for c in order if c in table.columns]
         rows = table.orderBy(*[F.desc(k) if k == "role" else k for k in keys])
-        rows = rows.select(*RULE_SCHEMA.fieldNames()).collect()
-        return cls.of(tuple(r) for r in rows)
+        rows = rows.select(*RULE_SCHEMA.fieldNames(), *(["version"] if "version" in table.columns else [])).collect()
+        versions = {r["dictionary"]: r["version"] for r in rows if "version" in r and r["version"] is not None}
+        return cls.of((tuple(r)[: len(RULE_SCHEMA)] for r in rows), versions)
+
+    def rows(self) -> list[tuple]:
+        """The rules, and a row without a pattern for each category, as :meth:`of` takes them."""
+        declared = [("theme", k) for k in self.themes] + [("modality", k) for k in (*self.modalities, *self.match_only)]
+        stated = [(r.dictionary, r.category, r.role, r.idx, r.kind, r.case_flag, r.pattern) for r in self.rules]
+        return stated + [(d, k, None, None, None, None, None) for d, k in declared]
 
     def of_category(self, dictionary: str, category: str, role: str) -> list[Rule]:
         return [
@@ -187,9 +196,8 @@ def read_rule_file(spark: SparkSession, path: str, dictionary: str) -> DataFrame
 
 
 def fingerprint(rules: DataFrame, key: str = "dictionary") -> DataFrame:
-    """One SHA-256 per rule file over its rows in a fixed order."""
-    line = F.to_json(F.struct(*[c for c in rules.columns if c not in (key, "version")]))
-    return rules.groupBy(key).agg(
-        F.max("version").alias("version"),
-        F.sha2(F.array_join(F.array_sort(F.collect_list(line)), "\n"), 256).alias("sha256"),
-    )
+    """One digest per rule file over its rows, in whatever order they are."""
+    from tallymark.sources.lineage import table_digest
+
+    versions = rules.groupBy(key).agg(F.max("version").alias("version"))
+    return versions.join(table_digest(rules, [key], ["version"]), key).select(key, "version", "sha256")
