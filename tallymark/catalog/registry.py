@@ -7,12 +7,15 @@ lookup; dear orders play the decisions on single devices.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
 from tallymark.catalog.common import query, table
 from tallymark.operators import contracts, registry
 from tallymark.plans.classify_registry import classify_registry, write_registry
 from tallymark.session import scratch_path
+from tallymark.sources import registry_documents
 from tallymark.sources.lookup import last_wins
 from tallymark.vocab import CATEGORY_DOMAIN, DEVICE_EXCLUSIONS, PATHWAYS
 
@@ -431,14 +434,82 @@ def registry_cross_table(spark, sf_dir):
     "J9",
     f"""WITH {CUMULATIVE},
 stale AS (SELECT * FROM auth WHERE pathway <> 'PMA'),
-d AS (SELECT category, year, count(*) AS n FROM stale GROUP BY ALL)
-SELECT 'annual_count' AS "check", c.category || '/' || c.year AS key, coalesce(d.n, 0) || '<>' || c.annual_count AS detail
-FROM cumulative c LEFT JOIN d USING (category, year) WHERE coalesce(d.n, 0) <> c.annual_count""",
+paths AS (SELECT category, pathway, count(*) AS n FROM auth WHERE pathway <> 'De Novo' GROUP BY ALL),
+last AS (SELECT category, max_by(cumulative_count, year) AS n FROM cumulative GROUP BY 1),
+facts AS (
+  SELECT 'annual_count' AS "check", category || '/' || year AS key, 1 AS l, 0 AS r FROM stale
+  UNION ALL SELECT 'annual_count', category || '/' || year, 0, annual_count FROM cumulative
+  UNION ALL SELECT 'pathway_count', category || '/' || pathway, 1, 0 FROM stale
+  UNION ALL SELECT 'pathway_count', category || '/' || pathway, 0, n FROM paths
+  UNION ALL SELECT 'final_cumulative', category, 1, 0 FROM stale
+  UNION ALL SELECT 'final_cumulative', category, 0, n FROM last
+  UNION ALL SELECT 'pathway_total', category, n, 0 FROM last
+  UNION ALL SELECT 'pathway_total', category, 0, n FROM paths)
+SELECT "check", key, CAST(sum(l) AS BIGINT) || '<>' || CAST(sum(r) AS BIGINT) AS detail FROM facts GROUP BY ALL HAVING sum(l) <> sum(r)""",
 )
 def registry_cross_table_drift(spark, sf_dir):
-    """The same check against a detail table that has lost its PMA rows."""
+    """The same check against a detail table that has lost its PMA rows and a pathway table without De Novo."""
     run = job(spark, sf_dir)
-    found = contracts.cross_table(
-        run.labeled.where("counted AND pathway <> 'PMA'"), run.cumulative, run.pathways
+    return contracts.cross_table(
+        run.profile.where("pathway <> 'PMA'"), run.cumulative, run.pathways.where("pathway <> 'De Novo'")
+    )
+
+
+def write_documents(spark, sf_dir) -> tuple[str, str]:
+    """The code rule as two documents and the decisions as three; some of what they say, they say twice."""
+    out = scratch_path(spark, "documents")
+    number = {c: r for c, _, r, _ in ASSIGNED}
+
+    def document(codes, overridden, dropped):
+        kinds = {}
+        for code, category, stated, _ in codes:
+            kinds.setdefault(category, []).append({"code": code, "regulation_number": None if code in overridden else stated})
+        categories = {k: {"label": LABELS[k], "domain": CATEGORY_DOMAIN[k], "codes": v} for k, v in kinds.items()}
+        groups = {}
+        for code, group, n in dropped:
+            groups.setdefault(group, {"reason": "r", "codes": []})["codes"].append({"code": code, "n": n, "why": "w"})
+        domain = {c: CATEGORY_DOMAIN[k] for c, k, _, _ in ASSIGNED}
+        overrides = [{"code": c, "domain": domain[c], "regulation_number": number[c]} for c in overridden]
+        return json.dumps({"version": 1, "categories": categories, "overrides": overrides, "excluded": groups})
+
+    texts = [document(ASSIGNED[:4], ["NAC"], EXCLUDED[:2]), document(ASSIGNED[3:], [], EXCLUDED[1:])]
+    for i, text in enumerate(texts):
+        spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(f"{out}/codes/part={i}")
+    c = F.col
+    entry = F.struct(
+        c("submission_number").alias("submission"), F.lit("d").alias("device"), F.lit("NAA").alias("product_code"), "decision", "category", "confidence",
+        F.lit("stated in the summary of the decision").alias("evidence"),
+    )
+    made = decisions(spark, sf_dir).withColumn("doc", F.when(c("decision") == "oncology", "a.json").otherwise("b.json"))
+    # the third document repeats what the second says on unresolved devices
+    again = made.where("decision = 'unresolved'").withColumn("doc", F.lit("c.json"))
+    grouped = made.unionByName(again).groupBy("doc").agg(F.collect_list(entry).alias("adjudicated"))
+    n = F.when(c("doc") == "a.json", F.lit(1).cast("bigint")).otherwise(F.size("adjudicated").cast("bigint"))
+    grouped.withColumns({"version": F.lit(2), "n_devices": n}).write.partitionBy("doc").json(f"{out}/decisions")
+    return f"{out}/codes/*", f"{out}/decisions/*"
+
+
+@query("registry_from_documents", "S9 Q11 Q12 J3", f"WITH {BASE} SELECT * FROM labeled")
+def registry_from_documents(spark, sf_dir):
+    """The registry under rules read from documents that overlap: no device is multiplied."""
+    codes, decided = write_documents(spark, sf_dir)
+    rule = registry_documents.CodeRule(spark, codes)
+    devices = registry.attach_lookup(registry.derive_fields(raw_devices(spark, sf_dir)), lookup(spark, sf_dir))
+    return registry.classify_devices(devices, rule.assigned, rule.excluded, registry_documents.Decisions(spark, decided).decisions)
+
+
+@query(
+    "document_problems",
+    "S9 Q11 Q12",
+    f"""WITH {BASE}
+SELECT 'repeated_key' AS "check", 'NAD/radiology_radiation_therapy' AS key, '2' AS detail
+UNION ALL SELECT 'repeated_key', 'NAI', '2'
+UNION ALL SELECT 'declared_count', 'a.json', '1<>' || count(*) FROM decisions WHERE decision = 'oncology' HAVING count(*) > 1
+UNION ALL SELECT 'decided_twice', key, 'b.json says unresolved, c.json says unresolved' FROM decisions WHERE decision = 'unresolved'""",
+)
+def document_problems(spark, sf_dir):
+    """What the overlapping documents disagree on or say twice."""
+    codes, decided = write_documents(spark, sf_dir)
+    return contracts.all_problems(
+        registry_documents.CodeRule(spark, codes).problems(), registry_documents.Decisions(spark, decided, r"doc=([^/]+)/").problems()
     )
-    return found.where(F.col("check") == "annual_count")

@@ -13,7 +13,7 @@ from tallymark.catalog import corpus
 from tallymark.catalog.common import query, sql_norm, sql_text, table
 from tallymark.operators import counts, dedup, labelling
 from tallymark.session import scratch_path, spread, written
-from tallymark.sources import lookup, markup, tables
+from tallymark.sources import lookup, markup, snapshots, tables
 from tallymark.streaming import incremental, resume
 
 # --- literature XML -----------------------------------------------------------------
@@ -226,7 +226,7 @@ def xml_per_file(spark, sf_dir):
 # --- HTML pages ----------------------------------------------------------------------
 
 def _sql_tag_text(expr: str) -> str:
-    out = f"regexp_replace({expr}, '(?s)<[^>]*>', '', 'g')"
+    out = f"regexp_replace(regexp_replace({expr}, '<br\\s*/?>', ' ', 'g'), '(?s)<[^>]*>', '', 'g')"
     for entity, char in markup.ENTITIES.items():
         out = f"replace({out}, {sql_text(entity)}, {sql_text(char)})"
     return sql_norm(out)
@@ -236,8 +236,8 @@ def _sql_tag_text(expr: str) -> str:
     "page_scan",
     "S2 P2 P6 P7 P8",
     f"""WITH b AS (SELECT page_id, url, regexp_replace(html, '(?s)<!--.*?-->|<script\\b.*?</script>|<style\\b.*?</style>', '', 'g') AS body FROM pages),
-a AS (SELECT *, regexp_extract(body, '(?s)<article[^>]*>(.*?)</article>', 1) AS art FROM b),
-p AS (SELECT *, [x for x in [{_sql_tag_text("split_part(x, '</p>', 1)")} for x in string_split_regex(art, '<p(?:\\s[^>]*)?>')[2:]] if x <> ''] AS paras FROM a)
+a AS (SELECT *, regexp_extract_all(body, '(?s)<article[^>]*>(.*?)</article>', 1) AS art FROM b),
+p AS (SELECT *, [x for x in [{_sql_tag_text("split_part(x, '</p>', 1)")} for x in flatten([string_split_regex(one, '<p(?:\\s[^>]*)?>')[2:] for one in art])] if x <> ''] AS paras FROM a)
 SELECT page_id, url, {_sql_tag_text("regexp_extract(body, '(?s)<title[^>]*>(.*?)</title>', 1)")} AS title,
   regexp_extract(body, '<html[^>]*\\blang="([^"]*)"', 1) AS lang,
   regexp_extract_all(body, '<a\\s[^>]*href="([^"]*)"', 1) AS links,
@@ -367,23 +367,35 @@ def nested_json_fields(spark, sf_dir):
     return lookup.nested_fields(table(spark, sf_dir, "events").select("event_id", "event_type", "props"), "props", {"k": "int"})
 
 
-@query(
-    "latest_snapshot",
-    "S8 R3",
-    """SELECT o_orderkey, o_totalprice, CAST(year(o_orderdate) AS VARCHAR) AS taken FROM orders WHERE year(o_orderdate) = 2000""",
-)
-def latest_snapshot(spark, sf_dir):
-    """Three dated captures, the newest of them not finished."""
+_TAKEN = "SELECT o_orderkey, o_totalprice, CAST(year(o_orderdate) AS VARCHAR) AS taken FROM orders"
+_NEWEST = "(SELECT max(year(o_orderdate)) FROM orders)"
+
+
+def publish_years(spark, sf_dir):
+    """A snapshot of the orders of each year; the write of the newest is killed before its commit."""
     root = scratch_path(spark, "captures")
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", F.year("o_orderdate").alias("y"))
-    for year in (1999, 2000, 2001):
-        tables.write_snapshot(orders.where(F.col("y") == year).drop("y"), root, f"{year}-12-31")
-    manifest = spark.createDataFrame([("1999-12-31",), ("2000-12-31",)], "snapshot string")
-    captures = spark.read.option("basePath", root).parquet(root).withColumn("snapshot", F.col("snapshot").cast("string"))
-    newest = lookup.latest_finished(captures, manifest)
+    years = [r["y"] for r in orders.select("y").distinct().orderBy("y").collect()]  # one row a year
+    for year in years:
+        put = snapshots.publish if year != years[-1] else snapshots.stage
+        put(orders.where(F.col("y") == year).drop("y"), root, f"{year}-12-31")
+    return root
+
+
+@query("latest_snapshot", "S8 R3", f"{_TAKEN} WHERE year(o_orderdate) = {_NEWEST} - 1")
+def latest_snapshot(spark, sf_dir):
+    """The newest of the yearly captures that is finished."""
+    newest = snapshots.read_published(spark, publish_years(spark, sf_dir), newest=True)
     return newest.select("o_orderkey", "o_totalprice", F.substring("snapshot", 1, 4).alias("taken"))
 
 
+@query("published_snapshots", "S8 R3", f"{_TAKEN} WHERE year(o_orderdate) < {_NEWEST}")
+def published_snapshots(spark, sf_dir):
+    """All finished captures; what a killed write left is not seen."""
+    rows = snapshots.read_published(spark, publish_years(spark, sf_dir))
+    return rows.select("o_orderkey", "o_totalprice", F.substring("snapshot", 1, 4).alias("taken"))
+
+
 # --- incremental ---------------------------------------------------------------------
 
 LABEL_SELECT = f"SELECT pmid, year, {corpus.THEME_COLS}, {corpus.MOD_COLS}, domain FROM labels_"

@@ -338,25 +338,43 @@ def domains_sum_to_all(series: DataFrame) -> DataFrame:
 
 
 def cross_table(auth: DataFrame, cumulative: DataFrame, pathways: DataFrame) -> DataFrame:
-    """The detail table, the annual series and the pathway table state the same counts."""
-    detail = lambda *k: auth.groupBy(*k).agg(F.count("*").alias("detail"))
-
-    def off(keys: list[str], stated: DataFrame, check: str) -> DataFrame:
-        bad = unequal_counts(detail(*keys), stated, keys, "detail", "stated")
-        key = F.concat_ws("/", *[F.col(k).cast("string") for k in keys])
-        return _found(bad, check, key, F.concat_ws("<>", F.col("detail").cast("string"), F.col("stated").cast("string")))
-
-    annual = cumulative.select("category", "year", F.col("annual_count").alias("stated"))
-    by_path = pathways.groupBy("category", "pathway").agg(F.sum("count").alias("stated"))
-    final = cumulative.groupBy("category").agg(F.max_by("cumulative_count", "year").alias("stated"))
-    total = pathways.groupBy("category").agg(F.sum("count").alias("final_total"))
-    drift = unequal_counts(final, total, ["category"], "stated", "final_total")
-    return all_problems(
-        off(["category", "year"], annual, "annual_count"),
-        off(["category", "pathway"], by_path, "pathway_count"),
-        off(["category"], final, "final_cumulative"),
-        _found(drift, "pathway_total", F.col("category"), F.concat_ws("<>", F.col("stated").cast("string"), F.col("final_total").cast("string"))),
-    )
+    """The detail table, the annual series and the pathway table state the same counts.
+
+    Every table says its counts as rows ``(check, key, left, right)``; they meet in one aggregate, and sums that
+    differ are the problems.  ``auth`` may be the registry or a ``registry.profile`` of it.
+    """
+    c, text = F.col, lambda name: F.col(name).cast("string")
+    n = c("n_devices") if "n_devices" in auth.columns else F.lit(1)
+    last = cumulative.groupBy("category").agg(F.max_by("cumulative_count", "year").alias("final"))
+
+    def said(df: DataFrame, *facts: tuple[str, list[Column], Column | None, Column | None]) -> DataFrame:
+        zero = F.lit(0)
+        rows = [
+            F.struct(
+                F.lit(check).alias("check"), F.concat_ws("/", *key).alias("key"),
+                (zero if left is None else left).cast("bigint").alias("left"), (zero if right is None else right).cast("bigint").alias("right"),
+            )
+            for check, key, left, right in facts
+        ]
+        return df.select(F.inline(F.array(*rows)))
+
+    facts = [
+        said(
+            auth,
+            ("annual_count", [text("category"), text("year")], n, None),
+            ("pathway_count", [text("category"), text("pathway")], n, None),
+            ("final_cumulative", [text("category")], n, None),
+        ),
+        said(cumulative, ("annual_count", [text("category"), text("year")], None, c("annual_count"))),
+        said(last, ("final_cumulative", [text("category")], None, c("final")), ("pathway_total", [text("category")], c("final"), None)),
+        said(
+            pathways,
+            ("pathway_count", [text("category"), text("pathway")], None, c("count")),
+            ("pathway_total", [text("category")], None, c("count")),
+        ),
+    ]
+    sums = all_problems(*facts).groupBy("check", "key").agg(F.sum("left").alias("l"), F.sum("right").alias("r"))
+    return sums.where("l <> r").select("check", "key", F.concat_ws("<>", text("l"), text("r")).alias("detail"))
 
 
 def set_difference(a: DataFrame, b: DataFrame, keys: list[str], names=("missing", "extra")) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -91,11 +93,15 @@ def series_from(series: DataFrame, starts: dict[tuple[str, str], int]) -> DataFr
 
 
 def select_series(series: DataFrame, pairs) -> DataFrame:
-    """Keep only the named (theme, domain) pairs."""
-    keep = F.array(*[F.lit(f"{t}|{d}") for t, d in pairs])
-    return series.where(F.array_contains(keep, F.concat_ws("|", "theme", "domain")))
-
-
-def unknown_values(df: DataFrame, column: str, allowed) -> DataFrame:
-    """Distinct values outside a vocabulary."""
-    return df.where(~F.col(column).isin(*allowed)).select(column).distinct()
+    """Keep only the named (theme, domain) pairs.
+
+    Raises:
+        ValueError: a theme is not in the table; a figure must not lose a line without a word.
+    """
+    pairs = list(pairs)
+    asked = series.sparkSession.createDataFrame([(t,) for t, _ in pairs] or [], "theme string").distinct()
+    unknown = [r["theme"] for r in asked.join(series.select("theme").distinct(), "theme", "left_anti").orderBy("theme").collect()]
+    if unknown:
+        raise ValueError(f"no series of theme(s) {', '.join(unknown)}")
+    keep = reduce(lambda a, p: a | ((F.col("theme") == p[0]) & (F.col("domain") == p[1])), pairs, F.lit(False))
+    return series.where(keep)

@@ -25,10 +25,12 @@ def same(*columns: str):
     return reduce(lambda x, y: x & y, [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in columns])
 
 
-def without(df: DataFrame, other: DataFrame, keys) -> DataFrame:
-    """Rows whose key is absent from ``other``."""
-    keys = [keys] if isinstance(keys, str) else list(keys)
-    return df.join(other.select(*keys), keys, "left_anti")
+def one_row(df: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """The first row of each key in ``order``, then by its other columns; joined on ``key`` it cannot multiply the other side."""
+    rest = [c for c in df.columns if c != key]
+    by = [*order, *[c for c in rest if c not in order]]
+    first = df.groupBy(key).agg(F.min_by(F.struct(*rest), F.struct(*by)).alias("_r"))
+    return first.select(key, *[F.col(f"_r.{c}").alias(c) for c in rest])
 
 
 def key_differences(a: DataFrame, b: DataFrame, keys, names=("a", "b")) -> DataFrame:

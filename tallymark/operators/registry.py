@@ -13,7 +13,7 @@ from tallymark.functions.dates import decision_date, iso_or_blank
 from tallymark.functions.labels import prefix_class
 from tallymark.functions.rates import rate
 from tallymark.operators.grids import dense_counts, each, running_total, zero_filled
-from tallymark.operators.joins import or_zero, small
+from tallymark.operators.joins import one_row, or_zero, small
 from tallymark.vocab import (
     IN_SCOPE_PANELS,
     PARTIAL_YEAR_BEFORE_MONTH,
@@ -77,7 +77,8 @@ def classify_devices(
     ``assigned``: code, category, domain, category_label, regulation_number, overridden.
     ``excluded``: code, group.  ``decisions``: submission_number, decision, category, confidence.
     A decision on the device itself outranks its code; the code outranks the exclusion list;
-    a row that would count but lacks a pathway or a date is excluded for that.
+    a row that would count but lacks a pathway or a date is excluded for that.  A code or device that a table
+    lists twice does not multiply devices; the contracts report it.
     """
     labels = assigned.select("category", "domain", "category_label").distinct()
     code = assigned.select(
@@ -107,9 +108,9 @@ def classify_devices(
     )
     joined = (
         devices.withColumn("_device_key", F.upper(F.trim("submission_number")))
-        .join(small(decided), "_device_key", "left")
-        .join(small(code), "product_code", "left")
-        .join(small(dropped), "product_code", "left")
+        .join(small(one_row(decided, "_device_key", [])), "_device_key", "left")
+        .join(small(one_row(code, "product_code", [])), "product_code", "left")
+        .join(small(one_row(dropped, "product_code", [])), "product_code", "left")
     )
     c = F.col
     qualifies = F.when(c("decision").isNotNull(), c("decision") == "oncology").otherwise(
@@ -163,9 +164,19 @@ def authorizations(labeled: DataFrame) -> DataFrame:
     )
 
 
+def profile(auth: DataFrame) -> DataFrame:
+    """Counts by all that the count tables group by; stored, they come from a few rows instead of the registry."""
+    return auth.groupBy("domain", "category", "pathway", "year").agg(F.count("*").alias("n_devices"))
+
+
+def _n(auth: DataFrame) -> Column:
+    """Devices in a group of the registry, or of a :func:`profile` of it."""
+    return F.sum("n_devices") if "n_devices" in auth.columns else F.count("*")
+
+
 def cumulative_by_year(auth: DataFrame, years: tuple[int, int] | None = None) -> DataFrame:
     """Dense annual counts per category with a running total."""
-    counts = auth.groupBy("category", "domain", "year").agg(F.count("*").alias("annual_count"))
+    counts = auth.groupBy("category", "domain", "year").agg(_n(auth).alias("annual_count"))
     dense = dense_counts(counts, ["category", "domain"], "annual_count", years)
     return running_total(dense, ["category", "domain"], "year", "annual_count", "cumulative_count").select(
         "year", "category", "domain", "annual_count", "cumulative_count"
@@ -180,7 +191,7 @@ def sparse_running_total(auth: DataFrame, by: str = "domain") -> DataFrame:
 
 def pathway_counts(auth: DataFrame, pathways: tuple[str, ...] = PATHWAYS) -> DataFrame:
     """Counts per domain, category and pathway, zeros filled over the fixed pathway list."""
-    counts = auth.groupBy("domain", "category", "pathway").agg(F.count("*").alias("count"))
+    counts = auth.groupBy("domain", "category", "pathway").agg(_n(auth).alias("count"))
     grid = each(counts.select("domain", "category").distinct(), "pathway", pathways)
     return zero_filled(grid, counts, ["domain", "category", "pathway"], "count")
 

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 
 from tallymark.operators import contracts, registry
+from tallymark.session import written
 from tallymark.sources.tables import write_table
 
 
@@ -18,16 +20,21 @@ class RegistryRun:
     def authorizations(self) -> DataFrame:
         return registry.authorizations(self.labeled)
 
+    @cached_property
+    def profile(self) -> DataFrame:
+        """Counts of the counted devices, stored once; all count tables come from it."""
+        return written(registry.profile(self.labeled.where("counted")), "registry-profile")
+
     @property
     def cumulative(self) -> DataFrame:
-        return registry.cumulative_by_year(self.labeled.where("counted"))
+        return registry.cumulative_by_year(self.profile)
 
     @property
     def pathways(self) -> DataFrame:
-        return registry.pathway_counts(self.labeled.where("counted"))
+        return registry.pathway_counts(self.profile)
 
     def problems(self) -> DataFrame:
-        return contracts.cross_table(self.labeled.where("counted"), self.cumulative, self.pathways)
+        return contracts.cross_table(self.profile, self.cumulative, self.pathways)
 
 
 def classify_registry(

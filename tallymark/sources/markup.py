@@ -326,13 +326,14 @@ def read_capture(spark: SparkSession, path: str, file_pattern: str = FILE_NAME,
 
 #: Entities that occur in running text, decoded in this order.
 ENTITIES = {
-    "&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&#39;": "'", "&nbsp;": " ", "&amp;": "&",
+    "&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&#39;": "'", "&nbsp;": " ", "&middot;": "·", "&copy;": "©", "&reg;": "®",
+    "&ndash;": "–", "&mdash;": "—", "&hellip;": "…", "&lsquo;": "‘", "&rsquo;": "’", "&ldquo;": "“", "&rdquo;": "”", "&amp;": "&",
 }
 
 
 def tag_text(html: Column) -> Column:
     """Text of a fragment: tags dropped, entities decoded, white space normalised."""
-    text = F.regexp_replace(html, r"(?s)<[^>]*>", "")
+    text = F.regexp_replace(F.regexp_replace(html, r"<br\s*/?>", " "), r"(?s)<[^>]*>", "")
     for entity, char in ENTITIES.items():
         text = F.replace(text, F.lit(entity), F.lit(char))
     return normalise_space(text)
@@ -342,19 +343,14 @@ def parse_pages(pages: DataFrame, html: str = "html") -> DataFrame:
     """Title, language, links, headings and paragraph text of each page."""
     h = F.col(html)
     body = F.regexp_replace(h, r"(?s)<!--.*?-->|<script\b.*?</script>|<style\b.*?</style>", "")
-    article = F.regexp_extract(F.col("_body"), r"(?s)<article[^>]*>(.*?)</article>", 1)
+    articles = F.regexp_extract_all(F.col("_body"), F.lit(r"(?s)<article[^>]*>(.*?)</article>"), F.lit(1))
     # a paragraph that is not closed ends where the next one begins
-    paragraphs = F.filter(
-        F.transform(
-            F.regexp_extract_all("_article", F.lit(r"(?s)<p(?:\s[^>]*)?>(.*?)(?=</p>|<p[\s>]|\z)"), F.lit(1)),
-            tag_text,
-        ),
-        lambda t: F.length(t) > 0,
-    )
+    inside = F.transform("_articles", lambda a: F.regexp_extract_all(a, F.lit(r"(?s)<p(?:\s[^>]*)?>(.*?)(?=</p>|<p[\s>]|\z)"), F.lit(1)))
+    paragraphs = F.filter(F.transform(F.flatten(inside), tag_text), lambda t: F.length(t) > 0)
     rest = [c for c in pages.columns if c != html]
     return (
         pages.withColumn("_body", body)
-        .withColumn("_article", article)
+        .withColumn("_articles", articles)
         .select(
             *rest,
             tag_text(F.regexp_extract("_body", r"(?s)<title[^>]*>(.*?)</title>", 1)).alias("title"),
