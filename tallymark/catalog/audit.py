@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tallymark.catalog import corpus
 from tallymark.catalog.common import query, table
-from tallymark.operators import sampling, scoring
+from tallymark.operators import labelling, sampling, scoring
 from tallymark.plans.measure_rules import measure
 from tallymark.session import written
 from tallymark.vocab import MODALITIES, RARE_MODALITIES, SAMPLE_SIZES, STRATA, TARGETED_STRATA, THEMES
@@ -316,7 +316,7 @@ routes AS (SELECT pmid, CASE WHEN mod_other = 0 THEN 'none' WHEN fell_back THEN
 @query("record_routes", "A17 J14", f"WITH {ROUTES} SELECT pmid, other_route FROM routes")
 def record_routes(spark, sf_dir):
     run = corpus.run(spark, sf_dir)
-    return scoring.record_routes(run.hits, run.labels)
+    return labelling.record_routes(run.annotated)
 
 
 _NAMED = " + ".join(f"mod_{k}" for k in MODALITIES if k != "other")
@@ -341,7 +341,7 @@ def route_scores(spark, sf_dir):
         F.col("doc_id").cast("string").alias("pmid"), F.col("toxic").alias("agent_other_datatype")
     )
     read = run.labels.select("pmid", *mods).join(verdict, "pmid")
-    routed = read.join(scoring.record_routes(run.hits, read), "pmid", "left")
+    routed = read.join(labelling.record_routes(run.annotated), "pmid", "left")
     return scoring.score_routes(routed).withColumns({"lo": F.round("lo", 9), "hi": F.round("hi", 9)})
 
 

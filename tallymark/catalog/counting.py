@@ -8,7 +8,7 @@ from tallymark.catalog import corpus
 from tallymark.catalog.common import query, table
 from tallymark.functions.rates import rate
 from tallymark.operators import counts, dedup, grids, ranking
-from tallymark.vocab import DOMAIN_SERIES, MIN_ZERO_RUN, MODALITIES, THEMES
+from tallymark.vocab import DOMAIN_SERIES, MIN_ZERO_RUN, MODALITIES, SECONDARY_TYPES, THEMES
 
 _SIZE = " + ".join(f"mod_{k}" for k in MODALITIES)
 _NAMED = " + ".join(f"mod_{k}" for k in MODALITIES if k != "other")
@@ -106,7 +106,9 @@ UNION ALL SELECT 'excluded', w.reason, count(f.pmid) FROM (VALUES {', '.join(f"(
 UNION ALL SELECT 'label_retained', kind || '/' || key, n_retained FROM totals
 UNION ALL SELECT 'label_primary', kind || '/' || key, n_primary FROM totals
 UNION ALL SELECT 'shortfall_panel_a', 'multimodal_integration', count(*) FILTER ({_SHORT} AND is_primary_research = 1) FROM labels_
-UNION ALL SELECT 'shortfall_corpus', 'multimodal_integration', count(*) FILTER ({_SHORT}) FROM labels_""",
+UNION ALL SELECT 'shortfall_corpus', 'multimodal_integration', count(*) FILTER ({_SHORT}) FROM labels_
+UNION ALL SELECT 'secondary_type', t, count(DISTINCT pmid) FROM (SELECT pmid, trim(unnest(string_split(publication_types, ';'))) AS t FROM flags WHERE early_reason IS NULL)
+WHERE t IN ({', '.join(f"'{t}'" for t in SECONDARY_TYPES)}) GROUP BY t""",
 )
 def run_metrics(spark, sf_dir):
     job = corpus.run(spark, sf_dir)

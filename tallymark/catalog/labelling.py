@@ -111,7 +111,7 @@ SELECT (SELECT count(DISTINCT pmid) FROM hits WHERE category = 'other' AND role
   (SELECT coalesce(CAST(sum(mod_other) AS BIGINT), 0) FROM labels_) AS total""",
 )
 def catch_all_routes(spark, sf_dir):
-    return counts.catch_all_routes(corpus.run(spark, sf_dir).hits)
+    return counts.catch_all_routes(corpus.run(spark, sf_dir).annotated)
 
 
 @query(
@@ -133,6 +133,53 @@ def catch_all_breakdown(spark, sf_dir):
     return counts.catch_all_breakdown(job.hits, corpus.records(spark, sf_dir))
 
 
+#: What the rules of two categories stand for; a record with several rules of one type counts once for it.
+TYPES = {
+    ("modality", "other"): {"other:include[0]": "articles", "other:include[1]": "conjunctions", "other:fallback": "not determined"},
+    ("theme", "clinical_fda"): {
+        "clinical_fda:include[0]": "licences", "clinical_fda:include[1]": "telephone numbers", "clinical_fda:include[2]": "licences", "clinical_fda:include[3]": "clearances",
+    },
+}
+_TYPES = ", ".join(f"('{c}', '{p}', '{t}')" for (_, c), kinds in TYPES.items() for p, t in kinds.items())
+
+
+@query(
+    "catch_all_by_data_type",
+    "A26",
+    f"""WITH {corpus.hits_sql()}, types(category, pattern_id, data_type) AS (VALUES {_TYPES}),
+pairs AS (SELECT DISTINCT pmid, t.category, data_type FROM hits JOIN types t USING (pattern_id)),
+k AS (SELECT pmid, category, count(*) AS k FROM pairs GROUP BY ALL),
+named AS (SELECT category, data_type, string_agg(pattern_id, ' | ' ORDER BY pattern_id) AS patterns FROM types GROUP BY ALL)
+SELECT category, data_type, count(*) AS n_papers, count(*) FILTER (k = 1) AS n_papers_sole_evidence, any_value(patterns) AS patterns
+FROM pairs JOIN k USING (pmid, category) JOIN named USING (category, data_type) GROUP BY ALL""",
+)
+def catch_all_by_data_type(spark, sf_dir):
+    """The catch-all by data type, and a theme some of whose rules stand for the same thing."""
+    job = corpus.run(spark, sf_dir)
+    parts = [
+        counts.by_data_type(job.annotated, job.book, kinds, d, c).withColumn("category", F.lit(c)) for (d, c), kinds in TYPES.items()
+    ]
+    return parts[0].unionByName(parts[1])
+
+
+@query(
+    "observed_metrics",
+    "S12 A7 A11",
+    f"""WITH {corpus.hits_sql()},
+tags AS (SELECT pmid, trim(unnest(string_split(publication_types, ';'))) AS t FROM flags WHERE early_reason IS NULL)
+SELECT 'records_in' AS metric, '' AS key, count(*) AS value FROM flags
+UNION ALL SELECT 'catch_all_route', 'pattern', count(*) FILTER (mod_other = 1 AND NOT fell_back) FROM flags WHERE reason IS NULL
+UNION ALL SELECT 'catch_all_route', 'fallback', count(*) FILTER (fell_back) FROM flags WHERE reason IS NULL
+UNION ALL SELECT 'rules_fired', '', count(*) FILTER (role <> 'fallback') FROM hits
+UNION ALL SELECT 'secondary_type', t, count(DISTINCT pmid) FROM tags WHERE t IN ({', '.join(f"'{t}'" for t in SECONDARY_TYPES)}) GROUP BY t""",
+)
+def observed_metrics(spark, sf_dir):
+    """Counts that were taken while the annotated rows were written, and the tally of secondary types."""
+    out = scratch_path(spark, "label-run")
+    write_corpus(corpus.run(spark, sf_dir), out, {"corpus": sf_dir}, corpus.PARTIAL_YEAR)
+    return spark.read.parquet(f"{out}/run_metrics/data").where("metric IN ('records_in', 'catch_all_route', 'rules_fired', 'secondary_type')")
+
+
 @query(
     "labels_from_rule_file",
     "S9 S11",

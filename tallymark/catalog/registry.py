@@ -17,7 +17,7 @@ from tallymark.plans.classify_registry import classify_registry, write_registry
 from tallymark.session import scratch_path
 from tallymark.sources import registry_documents
 from tallymark.sources.lookup import last_wins
-from tallymark.vocab import CATEGORY_DOMAIN, DEVICE_EXCLUSIONS, PATHWAYS
+from tallymark.vocab import CATEGORY_DOMAIN, DEVICE_CATEGORIES, DEVICE_EXCLUSIONS, PATHWAYS
 
 ASSIGNED = [
     ("NAA", "radiology_cancer_detection", "892.2050", False),
@@ -419,6 +419,28 @@ def partial_year(spark, sf_dir):
     return registry.partial_year(job(spark, sf_dir).labeled.where("counted"))
 
 
+_METRICS = "\nUNION ALL ".join(
+    [f"SELECT 'devices_excluded' AS metric, '{r}' AS key, count(*) FILTER (exclusion_reason = '{r}') AS value FROM labeled" for r in DEVICE_EXCLUSIONS]
+    + [f"SELECT 'counted_by', '{b}', count(*) FILTER (counted AND basis = '{b}') FROM labeled" for b in ("device", "code")]
+    + [f"SELECT 'counted_in', '{k}', count(*) FILTER (counted AND category = '{k}') FROM labeled" for k in DEVICE_CATEGORIES]
+)
+
+
+@query(
+    "registry_metrics",
+    "S12",
+    f"""WITH {BASE} {_METRICS}
+UNION ALL SELECT 'devices_in', '', count(*) FROM labeled UNION ALL SELECT 'devices_counted', '', count(*) FILTER (counted) FROM labeled
+UNION ALL SELECT 'without_lookup', '', count(*) FILTER (NOT has_classification) FROM labeled
+UNION ALL SELECT 'code_overridden', '', count(*) FILTER (counted AND code_overridden) FROM labeled""",
+)
+def registry_metrics(spark, sf_dir):
+    """Counts that were taken while the labeled devices were written."""
+    out = scratch_path(spark, "registry-run")
+    write_registry(job(spark, sf_dir), out, {"devices": sf_dir})
+    return spark.read.parquet(f"{out}/run_metrics/data")
+
+
 @query("registry_cross_table", "J9", "SELECT '' AS \"check\", '' AS key, '' AS detail WHERE FALSE")
 def registry_cross_table(spark, sf_dir):
     """Written tables that must agree; every disagreement is a row, so none is expected."""

@@ -17,9 +17,10 @@ from tallymark.functions.dates import partial_flag
 from tallymark.functions.labels import capped, flag_sum, label_set, set_size
 from tallymark.functions.rates import rate
 from tallymark.operators.grids import each, position_in, year_axis, zero_filled
-from tallymark.operators.joins import or_zero
-from tallymark.operators.labelling import keys_of
+from tallymark.operators.joins import or_zero, small
+from tallymark.operators.labelling import FALLBACK, keys_of, record_routes
 from tallymark.session import written
+from tallymark.sources.rules import RuleBook
 from tallymark.vocab import (
     CATCH_ALL,
     DOMAIN_SERIES,
@@ -195,10 +196,11 @@ def exclusion_counts(annotated: DataFrame, reasons) -> DataFrame:
 
 
 def rule_firing_counts(hits: DataFrame) -> DataFrame:
-    """Distinct records per rule that fired."""
-    return hits.groupBy("pattern_id", "pattern", "role").agg(
-        F.countDistinct("pmid").alias("n_records")
-    )
+    """Records per rule that fired.
+
+    A record has one hit row for a rule, so rows are counted, on the map side; ids are unique after the keep-first pass.
+    """
+    return hits.groupBy("pattern_id", "pattern", "role").agg(F.count("*").alias("n_records"))
 
 
 def silent_rules(rules: DataFrame, hits: DataFrame) -> DataFrame:
@@ -207,24 +209,39 @@ def silent_rules(rules: DataFrame, hits: DataFrame) -> DataFrame:
     return rules.join(F.broadcast(fired), "pattern_id", "left_anti").select("pattern_id", "pattern")
 
 
-def catch_all_routes(hits: DataFrame) -> DataFrame:
+def catch_all_routes(annotated: DataFrame) -> DataFrame:
     """Records that reached the catch-all by one of its rules, by fallback, and in all."""
-    other = (F.col("category") == CATCH_ALL) & (F.col("category_matched") == 1)
-    per_record = (
-        hits.where(other)
-        .groupBy("pmid")
-        .agg(
-            F.bool_or(F.col("role") == "include").alias("p"),
-            F.bool_or(F.col("role") == "fallback").alias("f"),
-        )
-    )
-    return per_record.agg(
-        F.count_if("p").alias("by_pattern"),
-        F.count_if("f").alias("by_fallback"),
-        F.count("*").alias("total"),
+    route = F.col("other_route")
+    return record_routes(annotated).agg(
+        F.count_if(route == "pattern").alias("by_pattern"),
+        F.count_if(route == "fallback").alias("by_fallback"),
+        F.count_if(route != "none").alias("total"),
     )
 
 
+def by_data_type(annotated: DataFrame, book: RuleBook, types: dict[str, str], dictionary: str = "modality", category: str = CATCH_ALL) -> DataFrame:
+    """Per data type, which one or several rules of a category stand for: records, and records resting on it alone.
+
+    A record counts once for a type however many of its rules fired; the answer for a record comes from its own row.
+    ``types`` gives the type of each ``pattern_id``, the fallback's among them.
+    """
+    rules = [r for r in book.rules if (r.dictionary, r.category, r.role) == (dictionary, category, "include")]
+    of = {r.ordinal: types[r.pattern_id] for r in rules if r.pattern_id in types}
+    patterns = {t: " | ".join(r.pattern_id for r in rules if types.get(r.pattern_id) == t) for t in of.values()}
+    fallback = f"{category}:fallback"
+    if category == CATCH_ALL and fallback in types:
+        of[FALLBACK] = types[fallback]
+        patterns[types[fallback]] = " | ".join(x for x in (patterns.get(types[fallback]), fallback) if x)
+    type_of = F.create_map(*[F.lit(x) for pair in of.items() for x in pair])
+    found = F.transform("fired", lambda f: F.try_element_at(type_of, f["ordinal"]))
+    kinds = F.array_distinct(F.filter(found, lambda t: t.isNotNull()))
+    rows = annotated.where("reason is null").select(kinds.alias("_k")).select(F.size("_k").alias("k"), F.explode("_k").alias("data_type"))
+    listed = F.create_map(*[F.lit(x) for pair in patterns.items() for x in pair])
+    return rows.groupBy("data_type").agg(
+        F.count("*").alias("n_papers"), F.count_if(F.col("k") == 1).alias("n_papers_sole_evidence")
+    ).select("data_type", "n_papers", "n_papers_sole_evidence", F.element_at(listed, F.col("data_type")).alias("patterns"))
+
+
 def catch_all_breakdown(hits: DataFrame, titles: DataFrame, n_titles: int = 2) -> DataFrame:
     """Per rule of the catch-all: records, records resting on it alone, example titles.
 
@@ -240,8 +257,11 @@ def catch_all_breakdown(hits: DataFrame, titles: DataFrame, n_titles: int = 2) -
         F.count("*").alias("n_papers"), F.count_if(F.col("k") == 1).alias("n_papers_sole_evidence")
     )
     chosen = top_per_group(pairs, ["pattern_id"], [F.col("pmid")], n_titles, "pos")
+    # a few rows a rule, stored, so that only their texts are picked out of the corpus
+    chosen = written(chosen, "examples")
+    picked = titles.join(small(chosen.select("pmid").distinct()), "pmid", "left_semi").select("pmid", "title")
     examples = (
-        chosen.join(titles.select("pmid", "title"), "pmid", "left")
+        chosen.join(picked, "pmid", "left")
         .groupBy("pattern_id")
         .agg(F.array_sort(F.collect_list(F.struct("pos", "title"))).alias("t"))
         .select("pattern_id", F.array_join(F.col("t.title"), " || ").alias("example_titles"))

@@ -227,6 +227,17 @@ def labels(annotated: DataFrame) -> DataFrame:
     return annotated.where(F.col("reason").isNull()).drop("reason", "_outside", "fired")
 
 
+def route_of() -> Column:
+    """By which route an annotated row reached the catch-all: ``pattern``, ``fallback`` or ``none``."""
+    fell_back = F.exists("fired", lambda f: f["ordinal"] == FALLBACK)
+    return F.when(fell_back, "fallback").when(F.col(f"mod_{CATCH_ALL}") == 1, "pattern").otherwise("none")
+
+
+def record_routes(annotated: DataFrame) -> DataFrame:
+    """The route of each retained record, read off its own row."""
+    return annotated.where(F.col("reason").isNull()).select("pmid", route_of().alias("other_route"))
+
+
 def keys_of(table: DataFrame, prefix: str) -> list[str]:
     return [c[len(prefix):] for c in table.columns if c.startswith(prefix)]
 

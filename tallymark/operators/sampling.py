@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tallymark.functions.labels import any_flag, differing, disagreement_count, disagreement_string, label_string
 from tallymark.operators.joins import small
 from tallymark.operators.ranking import top_per_group
+from tallymark.session import written
 from tallymark.vocab import (
     AUDIT_SIZES,
     MODALITIES,
@@ -122,7 +123,9 @@ def blind_sheet(sample: DataFrame, records: DataFrame, seed: int) -> DataFrame:
 
 def missing_text(sample: DataFrame, records: DataFrame) -> DataFrame:
     """Sampled ids with no text; the sheet must not be used unless this is empty."""
-    return sample.select("pmid").join(records.where("title is not null").select("pmid"), "pmid", "left_anti")
+    ids = sample.select("pmid")
+    there = records.join(small(ids.distinct()), "pmid", "left_semi").where("title is not null").select("pmid")
+    return ids.join(there, "pmid", "left_anti")
 
 
 def refresh_labels(sample: DataFrame, labels: DataFrame) -> DataFrame:
@@ -162,7 +165,9 @@ def audit_sheet(
     chosen = first.withColumn("audit_stratum", F.lit("random")).unionByName(
         second.withColumn("audit_stratum", F.lit("disagreement"))
     )
-    text = records.select("pmid", "title", F.coalesce("abstract", F.lit("")).alias("abstract"))
+    # the rows that were drawn, stored, pick their texts out of the corpus
+    chosen = written(chosen, "audit")
+    text = records.join(small(chosen.select("pmid")), "pmid", "left_semi").select("pmid", "title", F.coalesce("abstract", F.lit("")).alias("abstract"))
     blank = [F.lit("").alias(c) for c in ("author_themes", "author_modalities", "author_verdict", "author_note")]
     extra = [c for c in ("agent_uncertain", "agent_note") if c in joined.columns]
     return chosen.join(text, "pmid", "left").select(

@@ -133,22 +133,6 @@ def cause_summary(causes: DataFrame, splits: DataFrame) -> DataFrame:
     return share_of(counts.withColumn("_all", F.lit(1)), ["_all"], "total").drop("_all")
 
 
-def record_routes(hits: DataFrame, ids: DataFrame) -> DataFrame:
-    """By which route each record reached the catch-all: pattern, fallback, both, none."""
-    roles = (
-        hits.where((F.col("category") == CATCH_ALL) & (F.col("category_matched") == 1))
-        .groupBy("pmid")
-        .agg(
-            F.bool_or(F.col("role") != "fallback").alias("p"),
-            F.bool_or(F.col("role") == "fallback").alias("f"),
-        )
-    )
-    route = F.when(F.expr("p and f"), "both").when(F.col("p"), "pattern").when(F.col("f"), "fallback")
-    return ids.select("pmid").join(roles, "pmid", "left").select(
-        "pmid", route.otherwise("none").alias("other_route")
-    )
-
-
 def score_routes(joined: DataFrame, modalities=MODALITIES) -> DataFrame:
     """Each route against the claim it makes, with an interval.
 

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallymark.operators import counts, labelling
 from tallymark.sources.lineage import book_lineage, write_lineage
 from tallymark.sources.rules import RuleBook
-from tallymark.sources.tables import run_metrics, write_table
+from tallymark.sources.tables import observed, observed_metrics, run_metrics, write_table
 from tallymark.vocab import RECORD_EXCLUSIONS
 
 
@@ -20,6 +20,8 @@ class CorpusRun:
 
     annotated: DataFrame
     book: RuleBook
+    #: Records per secondary publication type, before the rules.
+    secondary: DataFrame | None = None
 
     @property
     def labels(self) -> DataFrame:
@@ -43,7 +45,9 @@ class CorpusRun:
             F.sum(F.when(F.col("is_primary_research") == 1, F.col("n")).otherwise(0)).alias("primary"),
         )
         totals = counts.label_totals(profile)
+        tally = {} if self.secondary is None else {"secondary_type": self.secondary}
         return run_metrics(
+            **tally,
             records_retained=populations.select("retained"),
             records_primary=populations.select("primary"),
             excluded=self.exclusions.select("reason", "n_records"),
@@ -61,7 +65,21 @@ def label_corpus(
     details: bool = False,
 ) -> CorpusRun:
     """``details`` is needed for excerpts and hit counts; labels alone are cheaper without."""
-    return CorpusRun(labelling.annotate(records, book, year_range, details), book)
+    return CorpusRun(
+        labelling.annotate(records, book, year_range, details),
+        book,
+        labelling.secondary_tally(records, year_range) if "publication_types" in records.columns else None,
+    )
+
+
+def run_counts() -> dict[tuple[str, str], Column]:
+    """What is counted while the annotated rows are written, so that no count needs a second look at them."""
+    kept, route = F.col("reason").isNull(), labelling.route_of()
+    return {
+        ("records_in", ""): F.count(F.lit(1)),
+        **{("catch_all_route", r): F.count_if(kept & (route == r)) for r in ("pattern", "fallback")},
+        ("rules_fired", ""): F.sum(F.when(kept, F.size(F.filter("fired", lambda f: f["ordinal"] >= 0)))),
+    }
 
 
 def write_corpus(
@@ -76,8 +94,9 @@ def write_corpus(
     write_lineage(book_lineage(spark, run.book), out)
     made_from = spark.read.parquet(f"{out}/lineage").collect()  # a row per dictionary
     provenance = {**provenance, **{f"{r['file']}_version": str(r["version"]) for r in made_from}, **{f"{r['file']}_sha256": r["sha256"] for r in made_from}}
-    run.annotated.write.mode("errorifexists").parquet(f"{out}/annotated")
-    done = CorpusRun(spark.read.parquet(f"{out}/annotated"), run.book)
+    annotated, seen = observed(run.annotated, "labelling", run_counts())
+    annotated.write.mode("errorifexists").parquet(f"{out}/annotated")
+    done = CorpusRun(spark.read.parquet(f"{out}/annotated"), run.book, run.secondary)
     write_table(done.labels, f"{out}/paper_labels", provenance)
     write_table(done.hits, f"{out}/pattern_hits", provenance)
     write_table(done.ledger, f"{out}/exclusions", provenance)
@@ -88,4 +107,4 @@ def write_corpus(
     write_table(
         counts.theme_year_counts(profile, partial_year), f"{out}/theme_year_counts", provenance
     )
-    write_table(done.metrics(profile), f"{out}/run_metrics", provenance)
+    write_table(done.metrics(profile).unionByName(observed_metrics(spark, seen)), f"{out}/run_metrics", provenance)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -158,6 +160,18 @@ def run_metrics(**parts: DataFrame) -> DataFrame:
     return out
 
 
+def observed(df: DataFrame, name: str, metrics: dict[tuple[str, str], Column]) -> tuple[DataFrame, Observation]:
+    """``df`` with counts that are taken while it is written; ``metrics`` by ``(metric, key)``."""
+    seen = Observation(f"{name}-{uuid.uuid4().hex}")
+    return df.observe(seen, *[F.coalesce(m, F.lit(0)).cast("bigint").alias("/".join(k)) for k, m in metrics.items()]), seen
+
+
+def observed_metrics(spark: SparkSession, seen: Observation) -> DataFrame:
+    """What was counted while the table was written, as ``(metric, key, value)``; waits for the write."""
+    rows = [(*name.split("/", 1), value) for name, value in seen.get.items()]
+    return spark.createDataFrame(rows, "metric string, key string, value bigint")
+
+
 def write_snapshot(df: DataFrame, root: str, snapshot: str, column: str = "snapshot") -> None:
     """A dated capture, never written over: an existing one is an error."""
     df.write.mode("errorifexists").parquet(f"{root.rstrip('/')}/{column}={snapshot}")

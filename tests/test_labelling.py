@@ -163,9 +163,9 @@ def test_rules_run_once_when_labels_are_filtered(run):
 
 
 def test_catch_all_routes(run):
-    got = counts.catch_all_routes(run.hits).first()
+    got = counts.catch_all_routes(run.annotated).first()
     assert (got["by_pattern"], got["by_fallback"], got["total"]) == (1, 3, 4)
-    routes = {r["pmid"]: r["other_route"] for r in scoring.record_routes(run.hits, run.labels).collect()}
+    routes = {r["pmid"]: r["other_route"] for r in labelling.record_routes(run.annotated).collect()}
     assert routes["7"] == "pattern" and routes["6"] == "fallback" and routes["1"] == "none"
 
 

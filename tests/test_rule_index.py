@@ -88,7 +88,7 @@ def found(annotated):
 
 
 def test_twenty_thousand_rules(spark, words):
-    rows, book = corpus(150, words), large_book(20_000, words)
+    rows, book = corpus(80, words), large_book(20_000, words)
     records = spark.createDataFrame(rows, SCHEMA).repartition(4)
     assert len(book.rules) > 20_000
     run = label_corpus(records, book, details=True)
