@@ -2,11 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallymark.operators.joins import same
 
+#: Keys longer than this, such as whole texts, are shuffled and compared as their SHA-256.
+LONG_KEY = 64
+
+
+def _slim(key: str) -> Column:
+    """The key as text, blank if null; a long one by its digest, which is longer than any key left as it is."""
+    text = F.coalesce(F.col(key).cast("string"), F.lit(""))
+    return F.when(F.length(text) > LONG_KEY, F.concat(F.lit("#"), F.sha2(text, 256))).otherwise(text)
+
 
 def keep_first(df: DataFrame, key: str, order: list[str]) -> DataFrame:
     """First row per ``key`` in ``order``, which must identify a row.
@@ -16,7 +25,7 @@ def keep_first(df: DataFrame, key: str, order: list[str]) -> DataFrame:
     sends one slim row per task; the full rows then meet them on the winning position,
     which is unique and cannot be skewed.
     """
-    keyed = df.withColumn("_key", F.coalesce(F.col(key).cast("string"), F.lit("")))
+    keyed = df.withColumn("_key", _slim(key))
     winners = keyed.groupBy("_key").agg(F.min(F.struct(*order)).alias("_first"))
     first = winners.select("_key", "_first.*")
     return keyed.alias("a").join(first.alias("b"), same("_key", *order), "left_semi").drop("_key")
@@ -24,8 +33,7 @@ def keep_first(df: DataFrame, key: str, order: list[str]) -> DataFrame:
 
 def duplicate_count(df: DataFrame, key: str) -> DataFrame:
     """Rows in, distinct ids and the copies a keep-first pass would drop."""
-    id_ = F.coalesce(F.col(key).cast("string"), F.lit(""))
-    per_id = df.groupBy(id_.alias("_id")).agg(F.count("*").alias("n"))
+    per_id = df.groupBy(_slim(key).alias("_id")).agg(F.count("*").alias("n"))
     return per_id.agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"), F.count("*").alias("n_unique")
     ).withColumn("n_duplicates", F.col("n_rows") - F.col("n_unique"))
