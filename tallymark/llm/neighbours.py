@@ -6,13 +6,14 @@ projected distance of a vector at distance ``d`` is ``d * d`` times a chi-square
 A kd-tree cuts the projected space into cells; its upper part is fitted on a bounded sample of
 ``SAMPLE`` rows, every row is filed in it, and every cell has the rest of the tree inside.
 
-A search takes the projected neighbours in order of their distance, leaf by leaf, and verifies
-each on the original vectors.  It ends when the chi-square test holds: when a vector
+A search takes the projected neighbours in order of their distance, some leaves at a time, and verifies
+them on the original vectors; all queries that take a leaf in the same round share one matrix product.  It ends, for each query, when the chi-square test holds: when a vector
 nearer than the last of the ``k`` found would show so large a projected distance with a chance of
 ``1 - CONFIDENCE`` only.  So every true neighbour is found with a chance of ``CONFIDENCE`` at least.  The
 cell a query falls in is searched first; its result bounds which other cells the query has to visit.
 
-Queries meet cells in blocks of bounded size on both sides.  Of equal vectors only the ``k + 1`` smallest ids can be
+Queries meet cells in blocks of bounded size on both sides; a cell is copied once for every ``QUERIES_AT_ONCE`` queries
+that visit it, not for those that do not.  Of equal vectors only the ``k + 1`` smallest ids can be
 among the ``k`` nearest (ties go to smaller ids), so the others are found without being filed.
 
 * vectors that are null, empty, zero, or hold null or non-finite components take no part; neither do those with a null id
@@ -41,9 +42,13 @@ CONFIDENCE = 0.95
 SAMPLE = 50_000
 #: Rows in a cell, aimed at; and so many queries meet a cell at once.
 CELL_ROWS = 8192
-QUERIES_AT_ONCE = 2048
+QUERIES_AT_ONCE = 8192
 LEAF_ROWS = 64
 LEAVES_AT_ONCE = 8
+#: Pairs of vectors whose exact scores are taken at once.
+PAIRS_AT_ONCE = 100_000
+#: Queries whose distances to all cells are taken at once.
+BOXES_AT_ONCE = 256
 SEED = 7
 
 
@@ -141,15 +146,6 @@ def usable(vector: str = "embedding") -> Column:
     return v.isNotNull() & ~bad & F.exists(v, lambda x: x != 0)
 
 
-def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(scores) > 4 * k:
-        edge = np.partition(scores, len(scores) - k)[len(scores) - k]
-        keep = scores >= edge
-        scores, ids = scores[keep], ids[keep]
-    order = np.lexsort((ids, -scores))[:k]
-    return scores[order], ids[order]
-
-
 class Cell:
     """Rows of a cell with their kd-tree."""
 
@@ -161,42 +157,68 @@ class Cell:
         self.low = np.array([points[x].min(axis=0) for x in leaves])
         self.high = np.array([points[x].max(axis=0) for x in leaves])
 
-    def search(self, own: int, query: np.ndarray, point: np.ndarray, bound: float, base: float, quantile: float, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """The best ``k`` with a score of at least ``bound``; ``base`` less twice the score is the squared distance."""
-        gap = np.maximum(0.0, np.maximum(self.low - point, point - self.high))
-        near = np.einsum("ij,ij->i", gap, gap)
-        order = np.argsort(near, kind="stable")
-        scores, ids = np.empty(0), np.empty(0, np.int64)
-        for at in range(0, len(order), LEAVES_AT_ONCE):
-            stop = (max(0.0, base - 2 * bound) + 1e-9 * base) * quantile if bound > -np.inf else np.inf
-            some = order[at : at + LEAVES_AT_ONCE]
-            if near[some[0]] > stop:
+    def search(self, own: np.ndarray, asked: np.ndarray, points: np.ndarray, bound: np.ndarray, longest: float, quantile: float, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Queries, ids and scores of the best ``k`` of each query with a score of at least its ``bound``."""
+        base = np.einsum("ij,ij->i", asked, asked) + longest  # less twice the score it is the squared distance
+        room = 1e-9 * base  # products of whole blocks differ from exact scores by rounding
+        bound = bound.copy()
+        near = np.zeros((len(asked), len(self.low)))
+        for side in range(points.shape[1]):
+            gap = np.maximum(self.low[:, side] - points[:, side : side + 1], points[:, side : side + 1] - self.high[:, side])
+            near += np.square(np.maximum(0.0, gap))
+        order = np.argsort(near, axis=1, kind="stable")
+        pool = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+        active = np.arange(len(asked))
+        for at in range(0, order.shape[1], LEAVES_AT_ONCE):
+            stop = np.where(bound > -np.inf, (np.maximum(0.0, base - 2 * bound) + room) * quantile, np.inf)
+            active = active[near[active, order[active, at]] <= stop[active]]
+            if not len(active):
                 break
-            rows = np.concatenate([np.arange(self.edges[x], self.edges[x + 1]) for x in some])
-            if stop < np.inf:
-                away = self.points[rows] - point
-                rows = rows[np.einsum("ij,ij->i", away, away) <= stop]
-            rows = rows[self.ids[rows] != own]
-            found = (self.vectors[rows] * query).sum(axis=1)  # the same in whatever order rows stand
-            good = found >= bound - 1e-12 * base if bound > -np.inf else slice(None)
-            scores, ids = _best(np.r_[scores, found[good]], np.r_[ids, self.ids[rows][good]], k)
-            if len(scores) == k:
-                bound = max(bound, float(scores[-1]))
-        return scores, ids
+            some = order[active, at : at + LEAVES_AT_ONCE]
+            who, leaf = np.repeat(active, some.shape[1]), some.ravel()
+            taken = near[who, leaf] <= stop[who]
+            who, leaf = who[taken], leaf[taken]
+            by_leaf = np.argsort(leaf, kind="stable")
+            who, leaf = who[by_leaf], leaf[by_leaf]
+            starts = np.flatnonzero(np.r_[True, leaf[1:] != leaf[:-1]])
+            parts = [pool]
+            for a, b in zip(starts, np.r_[starts[1:], len(leaf)], strict=True):
+                q, rows = who[a:b], np.arange(self.edges[leaf[a]], self.edges[leaf[a] + 1])
+                scores = asked[q] @ self.vectors[rows].T
+                i, j = np.nonzero((scores >= (bound[q] - room[q])[:, None]) & (self.ids[rows] != own[q][:, None]))
+                parts.append((q[i], rows[j], scores[i, j]))
+            q, rows, scores = (np.concatenate(x) for x in zip(*parts, strict=True))
+            best = np.lexsort((-scores, q))
+            q, rows, scores = q[best], rows[best], scores[best]
+            first = np.flatnonzero(np.r_[True, q[1:] != q[:-1]]) if len(q) else np.empty(0, np.int64)
+            last = np.diff(np.r_[first, len(q)]) >= k
+            kth = first[last] + k - 1
+            bound[q[kth]] = np.maximum(bound[q[kth]], scores[kth])
+            keep = scores >= bound[q] - room[q]
+            pool = q[keep], rows[keep], scores[keep]
+        q, rows, _ = pool
+        scores = np.empty(len(q))
+        for a in range(0, len(q), PAIRS_AT_ONCE):
+            at = slice(a, a + PAIRS_AT_ONCE)
+            scores[at] = (self.vectors[rows[at]] * asked[q[at]]).sum(axis=1)  # the same in whatever order rows stand
+        ids = self.ids[rows]
+        best = np.lexsort((ids, -scores, q))
+        q, ids, scores = q[best], ids[best], scores[best]
+        first = np.flatnonzero(np.r_[True, q[1:] != q[:-1]]) if len(q) else np.empty(0, np.int64)
+        rank = np.arange(len(q)) - np.repeat(first, np.diff(np.r_[first, len(q)]))
+        top = rank < k
+        return own[q[top]], ids[top], scores[top]
 
 
 def _searched(space: Space, size: int, quantile: float, k: int):
     def run(key: tuple, queries: pa.Table, rows: pa.Table) -> pa.Table:
-        out: list[tuple] = []
+        found = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
         if queries.num_rows and rows.num_rows:
             vectors = _matrix(rows.column("v"), size)
             cell = Cell(rows.column("vec_id").to_numpy(), vectors, space.rows(vectors))
             asked = _matrix(queries.column("v"), size)
-            for own, bound, query, point in zip(queries.column("query_id").to_pylist(), queries.column("bound").to_pylist(), asked, space.queries(asked), strict=True):
-                scores, ids = cell.search(own, query, point, bound, float(query @ query) + space.longest, quantile, k)
-                out.append((np.full(len(ids), own), ids, scores))
-        parts = zip(*out, strict=True) if out else ([np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0)])
-        return pa.table([pa.array(np.concatenate(list(p))) for p in parts], ["query_id", "vec_id", "score"])
+            found = cell.search(queries.column("query_id").to_numpy(), asked, space.queries(asked), queries.column("bound").to_numpy(), space.longest, quantile, k)
+        return pa.table([pa.array(x) for x in found], ["query_id", "vec_id", "score"])
 
     return run
 
@@ -227,10 +249,10 @@ def nearest(vectors: DataFrame, queries: Column, k: int = K, dims: int = DIMS, c
     valid = valid.where(F.size("v") == size)
     alike = Window.partitionBy("v").orderBy("vec_id")
     rows = written(valid.select("vec_id", "v").distinct().withColumn("nth", F.row_number().over(alike)).where(F.col("nth") <= k + 1).drop("nth"), "candidates")
-    n, asked = rows.count(), valid.where("asked").count()
+    n = rows.count()
     space, quantile = fit_space(rows, size, n, dims, cell_rows), chi_square(confidence, dims)
-    # more rows than the cells aim at are dealt into parts, and queries into blocks
-    parts, blocks = -(-n // (2 * cell_rows * space.cells)), max(1, -(-asked // QUERIES_AT_ONCE))
+    # more rows than the cells aim at are dealt into parts
+    parts = -(-n // (2 * cell_rows * space.cells))
 
     def file(of, wanted: str):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,20 +263,24 @@ def nearest(vectors: DataFrame, queries: Column, k: int = K, dims: int = DIMS, c
 
     filed = rows.mapInArrow(file(space.rows, "cell"), "vec_id long, v array<double>, cell int")
     filed = filed.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int"))
-    everywhere = F.sequence(F.lit(0), F.lit(blocks - 1))
-    dealt = filed.withColumn("block", F.explode(everywhere))
-    asking = valid.where("asked").select(F.col("vec_id").alias("query_id"), "v").withColumn("block", F.pmod(F.xxhash64("query_id", F.lit(3)), F.lit(blocks)).cast("int"))
+    asking = valid.where("asked").select(F.col("vec_id").alias("query_id"), "v")
     key = ["cell", "part", "block"]
 
     def search(wanted: DataFrame) -> DataFrame:
-        each = wanted.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-        return each.groupBy(*key).cogroup(dealt.groupBy(*key)).applyInArrow(_searched(space, size, quantile, k), FOUND)
+        # a number for each cell: at most SAMPLE / 8 of them, whatever the table
+        visits = {r["cell"]: r["n"] for r in wanted.groupBy("cell").agg(F.count("*").alias("n")).collect()}
+        last = F.lit([max(0, -(-visits.get(c, 0) // QUERIES_AT_ONCE) - 1) for c in range(space.cells)])[F.col("cell")]
+        seen = F.lit([c in visits for c in range(space.cells)])[F.col("cell")]
+        there = filed.where(seen).withColumn("block", F.explode(F.sequence(F.lit(0), last.cast("int"))))
+        block = F.pmod(F.xxhash64("query_id", F.lit(3)), last + 1).cast("int")
+        each = wanted.withColumn("block", block).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+        return each.groupBy(*key).cogroup(there.groupBy(*key)).applyInArrow(_searched(space, size, quantile, k), FOUND)
 
     def best(found: DataFrame) -> DataFrame:
         order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
         return found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
-    home = asking.mapInArrow(file(space.queries, "cell"), "query_id long, v array<double>, block int, cell int").withColumn("bound", F.lit(float("-inf")))
+    home = asking.mapInArrow(file(space.queries, "cell"), "query_id long, v array<double>, cell int").withColumn("bound", F.lit(float("-inf")))
     at_home = written(search(home), "home")
     first = best(at_home).where(F.col("rank") == k).select("query_id", F.col("score").alias("bound"))
     bounded = asking.join(first, "query_id", "left").fillna(float("-inf"), ["bound"])
@@ -266,10 +292,11 @@ def nearest(vectors: DataFrame, queries: Column, k: int = K, dims: int = DIMS, c
             bound, points = batch.column("bound").to_numpy(), space.queries(asked)
             base = np.einsum("ij,ij->i", asked, asked) + space.longest
             stop = np.where(bound > -np.inf, (np.maximum(0.0, base - 2 * bound) + 1e-9 * base) * quantile, np.inf)
-            for i, point in enumerate(points):
-                gap = np.maximum(0.0, np.maximum(low - point, point - high))
-                cells = np.flatnonzero(np.einsum("ij,ij->i", gap, gap) <= stop[i])
-                yield batch.take(pa.array(np.full(len(cells), i))).append_column("cell", pa.array(cells.astype(np.int32)))
+            for a in range(0, len(points), BOXES_AT_ONCE):
+                some = points[a : a + BOXES_AT_ONCE, None, :]
+                gap = np.square(np.maximum(0.0, np.maximum(low - some, some - high))).sum(axis=2)
+                who, cells = np.nonzero(gap <= stop[a : a + BOXES_AT_ONCE, None])
+                yield batch.take(pa.array(who + a)).append_column("cell", pa.array(cells.astype(np.int32)))
 
-    wanted = bounded.select("query_id", "v", "block", "bound").mapInArrow(visits, "query_id long, v array<double>, block int, bound double, cell int")
+    wanted = bounded.select("query_id", "v", "bound").mapInArrow(visits, "query_id long, v array<double>, bound double, cell int")
     return best(at_home.unionByName(search(wanted))).select("query_id", "rank", "vec_id", "score")
