@@ -38,6 +38,30 @@ def whole_number_columns(spark, sf_dir):
     )
 
 
+@query(
+    "contract_report",
+    "Q2 Q3 Q4 Q5 Q7",
+    """SELECT 'quantity_not_whole' AS "check", CAST(l_linenumber AS VARCHAR) AS key, CAST(count(*) AS VARCHAR) AS detail FROM lineitem WHERE l_quantity <> floor(l_quantity) GROUP BY 2
+UNION ALL SELECT 'large_discount', CAST(l_linenumber AS VARCHAR), CAST(count(*) AS VARCHAR) FROM lineitem WHERE l_discount > 0.05 GROUP BY 2
+UNION ALL SELECT 'unknown_flag', l_returnflag, CAST(count(*) AS VARCHAR) FROM lineitem WHERE l_returnflag NOT IN ('A', 'N') GROUP BY 2
+UNION ALL SELECT 'shipped_twice', l_orderkey || '/' || l_partkey, CAST(count(*) AS VARCHAR) FROM lineitem GROUP BY l_orderkey, l_partkey HAVING count(*) > 1
+UNION ALL SELECT 'several_suppliers', CAST(l_partkey AS VARCHAR), 'differs' FROM lineitem GROUP BY l_partkey HAVING count(DISTINCT l_suppkey) > 1""",
+)
+def contract_report(spark, sf_dir):
+    """Five checks of the line items in one scan."""
+    c = F.col
+    return contracts.contract_report(
+        table(spark, sf_dir, "lineitem"),
+        rows={
+            "quantity_not_whole": (c("l_quantity") != F.floor("l_quantity"), c("l_linenumber")),
+            "large_discount": (c("l_discount") > 0.05, c("l_linenumber")),
+            "unknown_flag": (~c("l_returnflag").isin("A", "N"), c("l_returnflag")),
+        },
+        unique={"shipped_twice": ["l_orderkey", "l_partkey"]},
+        depends={"several_suppliers": (["l_partkey"], ["l_suppkey"])},
+    )
+
+
 @query(
     "unknown_values",
     "Q3",

@@ -40,6 +40,34 @@ def all_problems(*checks: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), checks)
 
 
+def contract_report(
+    df: DataFrame,
+    rows: dict[str, tuple[Column, Column]] | None = None,
+    unique: dict[str, list[str]] | None = None,
+    depends: dict[str, tuple[list[str], list[str]]] | None = None,
+) -> DataFrame:
+    """Any number of checks of one table in one scan and one aggregate, as ``(check, key, detail)``.
+
+    ``rows`` has what is bad in a row and the key it is reported under: a problem for each key, with the number of rows.
+    ``unique`` has columns that together must not repeat, ``depends`` columns and others that they determine: a problem for
+    each key, with the number of rows or of different values.  Good rows of a row check never leave their task; of
+    key checks one slim entry a row does, combined on the map side.
+    """
+    said = lambda names: F.concat_ws("/", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in names])
+    nothing = F.lit(None).cast("bigint")
+
+    def entry(check: str, kind: int, key: Column, value: Column) -> Column:
+        return F.struct(F.lit(check).alias("check"), F.lit(kind).alias("kind"), F.coalesce(key.cast("string"), F.lit("")).alias("key"), value.alias("value"))
+
+    entries = [F.when(F.coalesce(bad, F.lit(True)), entry(name, 0, key, nothing)) for name, (bad, key) in (rows or {}).items()]
+    entries += [entry(name, 1, said(names), nothing) for name, names in (unique or {}).items()]
+    entries += [entry(name, 2, said(names), F.xxhash64(said(others))) for name, (names, others) in (depends or {}).items()]
+    found = df.select(F.explode(F.array(*entries)).alias("e")).where("e is not null").select("e.*")
+    total = found.groupBy("check", "kind", "key").agg(F.count("*").alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi"))
+    bad = total.where("kind = 0 or (kind = 1 and n > 1) or (kind = 2 and lo <> hi)")
+    return bad.select("check", "key", F.when(F.col("kind") == 2, "differs").otherwise(F.col("n").cast("string")).alias("detail"))
+
+
 def column_set(df: DataFrame, required, tolerated=(), exact: bool = True) -> DataFrame:
     """Missing and unexpected columns; only the schema is read."""
     found = [c for c in df.columns if c not in tolerated]

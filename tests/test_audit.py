@@ -200,3 +200,21 @@ def test_version_ledger_and_freshness(spark, rows):
     assert rows(contracts.freshness(ran, now), "file", "state") == [
         ("a", "changed_new_version"), ("b", "current"), ("c", "missing"),
     ]
+
+
+def test_many_checks_in_one_scan(spark):
+    rows = [(1, "a", 1.0, "x"), (1, "a", 1.5, "x"), (2, "b", None, "y"), (3, "b", 2.0, "z"), (None, "c", 3.0, "z")]
+    df = spark.createDataFrame(rows, "id int, kind string, n double, of string")
+    report = contracts.contract_report(
+        df,
+        rows={"not_whole": (F.col("n") % 1 != 0, F.col("id")), "odd_kind": (~F.col("kind").isin("a", "b"), F.col("kind"))},
+        unique={"id_twice": ["id"], "never": ["id", "n"]},
+        depends={"kind_of": (["kind"], ["of"])},
+    )
+    # what cannot be tested is a problem, too: a null is no whole number
+    assert sorted(tuple(r) for r in report.collect()) == [
+        ("id_twice", "1", "2"), ("kind_of", "b", "differs"), ("not_whole", "1", "1"), ("not_whole", "2", "1"), ("odd_kind", "c", "1")
+    ]
+    plan = report._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD") == 1
+    assert contracts.contract_report(df.limit(0), unique={"x": ["id"]}).isEmpty()
