@@ -94,6 +94,19 @@ def sample_without_text(spark, sf_dir):
     return sampling.missing_text(sample, corpus.records(spark, sf_dir))
 
 
+@query(
+    "sample_lost_text",
+    "J6",
+    f"""WITH {STRATA_SQL} SELECT pmid FROM drawn JOIN documents ON CAST(doc_id AS VARCHAR) = pmid WHERE source IN ('src1', 'src2', 'src4') OR n_chars % 7 = 0""",
+)
+def sample_lost_text(spark, sf_dir):
+    """The same check against records of which some are gone and others have lost their titles."""
+    sample = sampling.draw_sample(labels(spark, sf_dir), SEED)
+    sizes = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("pmid"), "n_chars")
+    records = corpus.records(spark, sf_dir).where(~F.col("source_file").isin("src1", "src2", "src4")).join(sizes, "pmid")
+    return sampling.missing_text(sample, records.withColumn("title", F.when(F.col("n_chars") % 7 != 0, F.col("title"))))
+
+
 @query(
     "refreshed_sample",
     "J7",

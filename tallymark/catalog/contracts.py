@@ -280,6 +280,22 @@ def count_identities(spark, sf_dir):
     )
 
 
+@query(
+    "count_identities_drift",
+    "Q15",
+    f"""WITH {COMBOS}, kept AS (SELECT theme, sum(n_papers) AS found FROM combos WHERE modality_set <> 'other' GROUP BY 1),
+want AS (SELECT theme, sum(n_papers) AS expected FROM combos GROUP BY 1)
+SELECT 'combination_total' AS "check", theme AS key, CAST(expected AS BIGINT) || '<>' || CAST(coalesce(found, 0) AS BIGINT) AS detail
+FROM want LEFT JOIN kept USING (theme) WHERE expected <> coalesce(found, 0)""",
+)
+def count_identities_drift(spark, sf_dir):
+    """The combination identity on a table that has lost the rows of one label set."""
+    profile = counts.label_profile(corpus.run(spark, sf_dir).labels)
+    totals = counts.label_totals(profile).where("kind = 'theme' AND key NOT LIKE '(%'")
+    combos = counts.combination_counts(profile).where("modality_set <> 'other'")
+    return contracts.combos_sum_to_theme(combos, totals, counts.minimum_shortfalls(profile))
+
+
 @query(
     "key_sets",
     "U2",
