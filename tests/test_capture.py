@@ -1,7 +1,9 @@
 """Whole and broken captures: what is refused, and how files are cut into records."""
 
 import pytest
+from pyspark.sql import functions as F
 
+from tallymark.functions.text import normalise_space
 from tallymark.sources import markup
 
 ARTICLE = '<PubmedArticle><MedlineCitation><PMID Version="1">{i}</PMID><Article><ArticleTitle>T {i}</ArticleTitle></Article></MedlineCitation>{data}</PubmedArticle>\n'
@@ -71,3 +73,31 @@ def test_a_file_of_books_is_read_by_several_tasks(spark, tmp_path):
         assert (file.n_records, file.n_books) == (10_000, 10_000) and file.ids == [str(i) for i in range(10_000)]
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_wanted_columns_only_and_one_listing(spark, tmp_path):
+    (tmp_path / "a.xml").write_text(HEAD + article(1) + book(2) + TAIL)
+    (tmp_path / "b.xml").write_text(HEAD + article(3).replace("</Article>", "</Artikel>") + TAIL)
+    (tmp_path / "c.xml").write_text("")
+    path = str(tmp_path)
+    pieces, files = markup.scan_files(spark, path, columns=("language",))
+    assert "language" in pieces.columns and not {"abstract", "title"} & set(pieces.columns)
+    assert sorted(files.collect()) == sorted(markup.capture_files(spark, path).collect())
+    found = sorted((r.file, r.check, r.detail) for r in markup.capture_problems(pieces, files).collect())
+    assert found == problems(spark, path) == [("b.xml", "malformed_record", "3"), ("c.xml", "no_root", "0 bytes")]
+    records, _ = markup.read_whole(spark, path, skip=True, columns=())
+    assert sorted((r.pmid, r.record_type) for r in records.collect()) == [("1", markup.ARTICLE), ("2", markup.BOOK)]
+    every = set(markup.parse_records(markup.read_record_xml(spark, path)).columns)
+    assert set(markup.read_capture(spark, path, skip=True).columns) == every - {"malformed"}
+
+
+def test_text_of_fragments(spark):
+    parts = ["a<br>b", "a <i>b</i> c", "x &amp;lt; y", "&#x41;<!-- c -->B", " p  　\t q ", "plain", "", None]
+    got = [r.t for r in spark.createDataFrame([(i, p) for i, p in enumerate(parts)], "i int, p string").orderBy("i").select(markup.flat_text(F.col("p")).alias("t")).collect()]
+    assert got == ["a b", "a b c", "x &lt; y", "AB", "p q", "plain", "", ""]
+
+
+def test_every_white_space_character_is_one_run(spark):
+    letters = spark.createDataFrame([(i, f"a{chr(i)}b") for i in range(1, 0x3100)], "id int, t string")
+    blank = {r.id for r in letters.where(normalise_space("t") == "a b").collect()}
+    assert blank == {i for i in range(1, 0x3100) if chr(i).isspace()}
