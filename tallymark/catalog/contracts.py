@@ -9,7 +9,7 @@ from tallymark.catalog.common import query, table
 from tallymark.catalog.counting import COMBOS, SERIES, customer_years
 from tallymark.operators import contracts, counts, grids, labelling
 from tallymark.operators import registry as devices
-from tallymark.session import scratch_path
+from tallymark.session import scratch_path, written
 from tallymark.sources import lineage, tables
 from tallymark.sources.rules import RuleBook
 from tallymark.vocab import DEVICE_CATEGORIES, STRATA
@@ -270,7 +270,7 @@ def domain_sums(spark, sf_dir):
 
 @query("count_identities", "Q15", _NONE)
 def count_identities(spark, sf_dir):
-    profile = counts.label_profile(corpus.run(spark, sf_dir).labels)
+    profile = written(counts.label_profile(corpus.run(spark, sf_dir).labels), "label-profile")
     totals = counts.label_totals(profile).where("kind = 'theme' AND key NOT LIKE '(%'")
     return contracts.all_problems(
         contracts.combos_sum_to_theme(
@@ -290,7 +290,7 @@ FROM want LEFT JOIN kept USING (theme) WHERE expected <> coalesce(found, 0)""",
 )
 def count_identities_drift(spark, sf_dir):
     """The combination identity on a table that has lost the rows of one label set."""
-    profile = counts.label_profile(corpus.run(spark, sf_dir).labels)
+    profile = written(counts.label_profile(corpus.run(spark, sf_dir).labels), "label-profile")
     totals = counts.label_totals(profile).where("kind = 'theme' AND key NOT LIKE '(%'")
     combos = counts.combination_counts(profile).where("modality_set <> 'other'")
     return contracts.combos_sum_to_theme(combos, totals, counts.minimum_shortfalls(profile))
