@@ -53,6 +53,8 @@ SKETCH = 32
 SKETCH_LOSS = 1e-7
 #: Hashes of a text at once.
 HASHES = 1 << 20
+#: Bits of the bitmap of the texts to fetch: for each of them, and at most (16 MB).
+SIEVE, SIEVE_BITS = 16, 1 << 27
 #: Columns of an incidence matrix at once.
 COLUMNS = 4096
 KEY = ["d1", "d2"]
@@ -273,37 +275,70 @@ def _verify(similarity: float):
     return run
 
 
+def _paths(classes: DataFrame, runs: int, tokens: bool) -> DataFrame:
+    """``d1, d2, run, path, above`` of the first level; with ``tokens`` also the run's tokens of each split."""
+    def path(own, r):
+        further = [F.get("splits", r + k * runs).alias(f"t{k + 1}") for k in range(LEVELS - 1)] if tokens else []
+        return F.transform(own, lambda t: F.struct(r.alias("run"), F.xxhash64(r, t).alias("path"), *further))
+
+    return classes.select(*KEY, F.inline(F.flatten(F.transform("chosen", path))), F.lit(0).cast("long").alias("above"))
+
+
 def _leaves(classes: DataFrame, runs: int, bucket: int) -> DataFrame:
-    """``path, d1, d2, blocks`` of all buckets to compare; ``blocks`` is 1 for those of at most ``bucket`` sets."""
-    arrays = classes.select(*KEY, "splits")
-    first = F.transform("chosen", lambda own, r: F.transform(own, lambda t: F.struct(r.alias("run"), F.xxhash64(r, t).alias("path"))))
-    rows = classes.select(*KEY, F.inline(F.flatten(first)), F.lit(0).cast("long").alias("above"))
+    """``path, d1, d2, blocks`` of all buckets to compare; ``blocks`` is 1 for those of at most ``bucket`` sets.
+
+    A set brings the tokens of its run along with its path, so a split looks up only the few large buckets:
+    the sets and their tokens are not dealt out again by set.
+    """
+    rows, full = _paths(classes, runs, False), _paths(classes, runs, True)
+    same = ["m", "x1", "x2"]
     done = None
     for level in range(1, LEVELS + 1):
         sizes = rows.groupBy("path", "run").agg(
             F.count("*").alias("m"), F.max("above").alias("above"), F.bit_xor("d1").alias("x1"), F.bit_xor("d2").alias("x2")
         ).where("m > 1")
+        sizes = written(sizes, f"sizes{level}")
         # buckets of the same sets are one, which is split by the tokens of every run that it stands for
-        merged = sizes.groupBy("m", "x1", "x2").agg(F.min("path").alias("path"), F.min("above").alias("above"), F.collect_set("run").alias("runs"))
-        kept = written(merged.select("path", "above", "m", "runs"), f"buckets{level}")
+        merged = sizes.groupBy(*same).agg(F.min("path").alias("path"), F.min("above").alias("above"))
+        kept = written(merged, f"buckets{level}")
         split = (F.col("m") > bucket) & ((F.col("above") == 0) | (F.col("m") <= DENSE * F.col("above")))
         if level == LEVELS:
             split = F.lit(False)
-        live = rows.select("path", *KEY).join(kept.withColumn("split", split), "path")
-        leaf = live.where("not split").select("path", *KEY, F.when(F.col("m") <= bucket, 1).otherwise(F.ceil(F.col("m") * 2 / bucket)).cast("int").alias("blocks"))
+        leaf = rows.select("path", *KEY).join(kept.where(~split).select("path", "m"), "path")
+        leaf = leaf.select("path", *KEY, F.when(F.col("m") <= bucket, 1).otherwise(F.ceil(F.col("m") * 2 / bucket)).cast("int").alias("blocks"))
         done = leaf if done is None else done.unionByName(leaf)
         if level == LEVELS or not kept.where(split).head(1):
             return done
-        hot = live.where("split").select("path", "m", *KEY, F.explode("runs").alias("run"))
-        rows = (
-            hot.join(arrays, KEY)
-            .select(*KEY, "run", F.col("m").alias("above"), "path", F.explode(F.expr(f"splits[{(level - 1) * runs} + run]")).alias("t"))
-            .select(*KEY, "run", F.xxhash64("path", "run", "t").alias("path"), "above")
+        into = kept.where(split).select(*same, F.col("path").alias("into"))
+        # a path for each run, as a set may have chosen several tokens of one run
+        hot = sizes.where(F.col("m") > bucket).groupBy(*same, "run").agg(F.min("path").alias("path")).join(into, same)
+        # few rows, written first so that their size is known and the paths stay where they are
+        hot = written(hot.select("path", "run", "into", F.col("m").alias("total")), f"hot{level}")
+        later = [f"t{k + 1}" for k in range(level, LEVELS - 1)]
+        full = (
+            full.join(hot, ["path", "run"])
+            .select(*KEY, "run", "into", F.col("total").alias("above"), *later, F.explode(f"t{level}").alias("t"))
+            .select(*KEY, "run", F.xxhash64("into", "run", "t").alias("path"), "above", *later)
         )
-        rows = written(rows, f"paths{level}")
+        full = rows = written(full, f"paths{level}")
     return done
 
 
+def _sieved(rows: DataFrame, asked: DataFrame) -> DataFrame:
+    """``rows`` without most of those whose ``k1`` is not in ``asked``; the exact join follows.
+
+    A bitmap of the asked keys goes to all tasks, so texts that nobody asks for are not shuffled.  It has ``SIEVE`` bits
+    a key and at most ``SIEVE_BITS``; beyond that it lets more rows pass.
+    """
+    bits = min(SIEVE_BITS, max(1 << 15, SIEVE * asked.count()))
+    at = F.pmod("k1", F.lit(bits)) + 1
+    maps = asked.select(at.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("_part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("_bits"))
+    place = F.bitmap_bit_position(at)
+    byte = F.conv(F.hex(F.substring("_bits", (F.shiftright(place, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    found = rows.withColumn("_part", F.bitmap_bucket_number(at)).join(F.broadcast(maps), "_part")
+    return found.where(F.getbit(byte, place.bitwiseAND(F.lit(7)).cast("int")) == 1).select(rows.columns)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``(node, root)`` of every node of ``edges (u, v)``: the smallest node it hangs together with.
 
@@ -357,8 +392,9 @@ def _solve(docs: DataFrame, described: DataFrame, runs: int, similarity: float,
     )
     shape = "path long, i int, j int, block int, d1 long, d2 long, n int, members long, row struct<k1:long,k2:long>, leaves array<long>"
     wanted = written(parts.repartition(*PART).sortWithinPartitions(*PART).mapInArrow(_candidates(similarity), shape), "wanted")
-    asked = wanted.select("row.k1", "row.k2").distinct()
-    texts = _keyed(docs).join(asked, ["k1", "k2"], "left_semi").select("k1", "k2", "text").dropDuplicates(["k1", "k2"])
+    asked = written(wanted.select("row.k1", "row.k2").distinct(), "asked")
+    # no semi join, which Spark would move below the sieve
+    texts = _sieved(_keyed(docs), asked).join(asked, ["k1", "k2"]).select("k1", "k2", "text").dropDuplicates(["k1", "k2"])
     found = (
         wanted.select("*", "row.k1", "row.k2")
         .join(texts, ["k1", "k2"])

@@ -1,6 +1,9 @@
 import math
 import random
 
+from pyspark.sql import functions as F
+
+from tallymark.llm import jaccard_join
 from tallymark.llm.jaccard_join import LEVELS, RECALL, SPLIT_RATE, components, join, keep_one, runs_for
 
 
@@ -97,3 +100,12 @@ def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(order[i], order[i + 1]) for i in range(59)] + [(100, 101), (7, 7)], "u long, v long")
     found = {r.node: r.root for r in components(edges).collect()}
     assert all(found[x] == 0 for x in order) and found[101] == found[100] == 100
+
+
+def test_sieve_keeps_every_asked_row_and_drops_most_others(spark, monkeypatch):
+    rows = spark.range(20_000).select(F.xxhash64("id").alias("k1"), F.xxhash64("id", F.lit(1)).alias("k2"), "id")
+    asked = rows.where("id % 20 = 0").select("k1", "k2")
+    kept = {r.id for r in jaccard_join._sieved(rows, asked).collect()}
+    assert kept >= set(range(0, 20_000, 20)) and len(kept) < 4_000
+    monkeypatch.setattr(jaccard_join, "SIEVE_BITS", 40)
+    assert {r.id for r in jaccard_join._sieved(rows, asked).collect()} >= set(range(0, 20_000, 20))
