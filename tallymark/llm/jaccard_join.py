@@ -196,8 +196,8 @@ def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
 
 def _counted_here(table: pa.Table) -> np.ndarray:
     """Pairs (upper half) for which this path is the first that the two sets have in common, and that this part compares."""
-    path, i, j = (table.column(c)[0].as_py() for c in PART)
-    leaves = [np.array([x for x in own if x < path], dtype=np.int64) for own in table.column("leaves").to_pylist()]
+    i, j = (table.column(c)[0].as_py() for c in PART[1:])
+    leaves = [np.array(own, dtype=np.int64) for own in table.column("leaves").to_pylist()]
     fresh = np.triu(shared_counts(leaves) == 0, 1)
     if i != j:
         block = table.column("block").to_numpy()
@@ -288,9 +288,12 @@ def _leaves(classes: DataFrame, runs: int, bucket: int) -> DataFrame:
     """``path, d1, d2, blocks`` of all buckets to compare; ``blocks`` is 1 for those of at most ``bucket`` sets.
 
     A set brings the tokens of its run along with its path, so a split looks up only the few large buckets:
-    the sets and their tokens are not dealt out again by set.
+    the sets and their tokens are not dealt out again by set.  Most paths are one set's own: these are counted
+    by the path alone, and bitmaps keep them out of all other shuffles.
     """
     rows, full = _paths(classes, runs, False), _paths(classes, runs, True)
+    shared = written(rows.groupBy("path").agg(F.count("*").alias("m")).where("m > 1").select("path"), "shared")
+    rows = written(_sieved(rows, shared, "path"), "paths0")
     same = ["m", "x1", "x2"]
     done = None
     for level in range(1, LEVELS + 1):
@@ -304,7 +307,8 @@ def _leaves(classes: DataFrame, runs: int, bucket: int) -> DataFrame:
         split = (F.col("m") > bucket) & ((F.col("above") == 0) | (F.col("m") <= DENSE * F.col("above")))
         if level == LEVELS:
             split = F.lit(False)
-        leaf = rows.select("path", *KEY).join(kept.where(~split).select("path", "m"), "path")
+        small = kept.where(~split).select("path", "m")
+        leaf = _sieved(rows.select("path", *KEY), small, "path").join(small, "path")
         leaf = leaf.select("path", *KEY, F.when(F.col("m") <= bucket, 1).otherwise(F.ceil(F.col("m") * 2 / bucket)).cast("int").alias("blocks"))
         done = leaf if done is None else done.unionByName(leaf)
         if level == LEVELS or not kept.where(split).head(1):
@@ -315,8 +319,11 @@ def _leaves(classes: DataFrame, runs: int, bucket: int) -> DataFrame:
         # few rows, written first so that their size is known and the paths stay where they are
         hot = written(hot.select("path", "run", "into", F.col("m").alias("total")), f"hot{level}")
         later = [f"t{k + 1}" for k in range(level, LEVELS - 1)]
+        # near copies may stand side by side in the input, so what is to be split is dealt out evenly
         full = (
-            full.join(hot, ["path", "run"])
+            _sieved(full, hot, "path")
+            .repartition("path", "d1")
+            .join(hot, ["path", "run"])
             .select(*KEY, "run", "into", F.col("total").alias("above"), *later, F.explode(f"t{level}").alias("t"))
             .select(*KEY, "run", F.xxhash64("into", "run", "t").alias("path"), "above", *later)
         )
@@ -324,19 +331,24 @@ def _leaves(classes: DataFrame, runs: int, bucket: int) -> DataFrame:
     return done
 
 
-def _sieved(rows: DataFrame, asked: DataFrame) -> DataFrame:
-    """``rows`` without most of those whose ``k1`` is not in ``asked``; the exact join follows.
+def _sieved(rows: DataFrame, asked: DataFrame, key: str = "k1", others: bool = False) -> DataFrame:
+    """``rows`` without most of those whose ``key``, a hash, is not in ``asked``; the exact join follows.
 
-    A bitmap of the asked keys goes to all tasks, so texts that nobody asks for are not shuffled.  It has ``SIEVE`` bits
-    a key and at most ``SIEVE_BITS``; beyond that it lets more rows pass.
+    A bitmap of the asked keys goes to all tasks, so rows that nobody asks for are not shuffled.  It has ``SIEVE`` bits
+    a key and at most ``SIEVE_BITS``; beyond that it lets more rows pass.  With ``others`` exactly the rows that it stops.
     """
     bits = min(SIEVE_BITS, max(1 << 15, SIEVE * asked.count()))
-    at = F.pmod("k1", F.lit(bits)) + 1
-    maps = asked.select(at.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("_part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("_bits"))
+    at = F.pmod(key, F.lit(bits)) + 1
+    # keys are dealt out by their piece of the bitmap, so that no task makes pieces of its own for all of it
+    maps = asked.select(at.alias("p")).select(F.bitmap_bucket_number("p").alias("_part"), F.bitmap_bit_position("p").alias("p")).repartition("_part")
+    word = F.transform(F.sequence(F.lit(0), F.lit(511)), lambda i: F.conv(F.hex(F.substring("_bits", i * 8 + 1, F.lit(8))), 16, -10).cast("long"))
+    maps = written(maps.groupBy("_part").agg(F.bitmap_construct_agg("p").alias("_bits")).select("_part", word.alias("_words")), "sieve")
     place = F.bitmap_bit_position(at)
-    byte = F.conv(F.hex(F.substring("_bits", (F.shiftright(place, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    found = rows.withColumn("_part", F.bitmap_bucket_number(at)).join(F.broadcast(maps), "_part")
-    return found.where(F.getbit(byte, place.bitwiseAND(F.lit(7)).cast("int")) == 1).select(rows.columns)
+    # eight bytes are a word, the first byte its highest
+    bit = 56 - F.shiftright(place, 3).bitwiseAND(F.lit(7)) * 8 + place.bitwiseAND(F.lit(7))
+    found = rows.withColumn("_part", F.bitmap_bucket_number(at)).join(F.broadcast(maps), "_part", "left" if others else "inner")
+    hit = F.getbit(F.get("_words", F.shiftright(place, 6).cast("int")), bit.cast("int"))
+    return found.where(F.coalesce(hit, F.lit(0)) == (0 if others else 1)).select(rows.columns)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -366,26 +378,37 @@ def _described(docs: DataFrame, runs: int, similarity: float) -> DataFrame:
     return written(_keyed(docs).mapInArrow(_describe(runs, similarity), DESCRIBED), "described")
 
 
-def _solve(docs: DataFrame, described: DataFrame, runs: int, similarity: float, bucket: int) -> DataFrame:
-    """``d1, d2, members, copy_id, links, r1, r2`` of every class: documents in it, its smallest id, links, and the class it hangs together with."""
-    classes = (
-        described.where("n > 0")
+def _classes(described: DataFrame) -> DataFrame:
+    """A row for each set: documents that have it, their smallest id, one of their rows, and what was found of the set.
+
+    Only documents whose set others may have are dealt out with all that; the rest are classes as they stand.
+    """
+    worded = described.where("n > 0")
+    several = written(worded.groupBy(*KEY).agg(F.count("*").alias("members")).where("members > 1").select(*KEY), "several")
+    found = ["n", "sketch", "chosen", "splits"]
+    copies = (
+        _sieved(worded, several, "d1")
         .groupBy(*KEY)
         .agg(
             F.count("*").alias("members"),
             F.min("doc_id").alias("copy_id"),
             F.min(F.struct("k1", "k2")).alias("row"),
-            F.first("n").alias("n"),
-            F.first("sketch").alias("sketch"),
-            F.first("chosen").alias("chosen"),
-            F.first("splits").alias("splits"),
+            *(F.first(c).alias(c) for c in found),
         )
     )
-    classes = written(classes, "classes")
+    alone = _sieved(worded, several, "d1", others=True)
+    alone = alone.select(*KEY, F.lit(1).cast("long").alias("members"), F.col("doc_id").alias("copy_id"), F.struct("k1", "k2").alias("row"), *found)
+    return alone.unionByName(written(copies, "copies"))
+
+
+def _solve(docs: DataFrame, described: DataFrame, runs: int, similarity: float, bucket: int) -> DataFrame:
+    """``d1, d2, members, copy_id, links, r1, r2`` of every class: documents in it, its smallest id, links, and the class it hangs together with."""
+    classes = _classes(described)
     leaves = written(_leaves(classes, runs, bucket), "leaves")
     owned = leaves.groupBy(*KEY).agg(F.collect_set("path").alias("leaves"))
     parts = (
-        leaves.join(classes.select(*KEY, "n", "members", "row", "sketch").join(owned, KEY), KEY)
+        leaves.join(_sieved(classes.select(*KEY, "n", "members", "row", "sketch"), leaves, "d1").join(owned, KEY), KEY)
+        .withColumn("leaves", F.filter("leaves", lambda x: x < F.col("path")))
         .withColumn("block", F.pmod(F.xxhash64("d1", "path"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select("path", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", *KEY, "n", "members", "row", "leaves", "sketch")

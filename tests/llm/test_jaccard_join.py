@@ -109,3 +109,44 @@ def test_sieve_keeps_every_asked_row_and_drops_most_others(spark, monkeypatch):
     assert kept >= set(range(0, 20_000, 20)) and len(kept) < 4_000
     monkeypatch.setattr(jaccard_join, "SIEVE_BITS", 40)
     assert {r.id for r in jaccard_join._sieved(rows, asked).collect()} >= set(range(0, 20_000, 20))
+
+
+def test_lone_sets_are_classes_as_they_stand(docs, monkeypatch):
+    rows = [*corpus(), *((1000 + i, "the same text for each of these") for i in range(30)), (5, "own words of this one text"), (5, "own words of this one text")]
+    for bits in (jaccard_join.SIEVE_BITS, 40):
+        monkeypatch.setattr(jaccard_join, "SIEVE_BITS", bits)
+        described = jaccard_join._described(docs(rows), 3, 0.8)
+        plain = described.where("n > 0").groupBy("d1", "d2").agg(F.count("*"), F.min("doc_id"), F.min(F.struct("k1", "k2")), F.first("n"), F.first("sketch"), F.first("chosen"), F.first("splits"))
+        assert sorted(jaccard_join._classes(described).collect()) == sorted(plain.collect())
+
+
+def test_sieve_tells_asked_rows_from_the_others(spark):
+    rows = spark.range(3_000).select(F.xxhash64("id").alias("path"), "id")
+    for asked in (rows.where("id % 7 = 0"), rows.where("false")):
+        kept, rest = ({r.id for r in jaccard_join._sieved(rows, asked, "path", others).collect()} for others in (False, True))
+        assert kept | rest == set(range(3_000)) and not kept & rest
+        assert kept >= {r.id for r in asked.collect()} and len(kept) < 1_000
+
+
+def shuffled(spark, work):
+    """Bytes that the stages of ``work`` wrote for shuffles."""
+    context = spark.sparkContext
+    group = f"shuffled-{random.random()}"
+    context.setJobGroup(group, "")
+    work()
+    context._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    tracker, store = context.statusTracker(), context._jsc.sc().statusStore()
+    stages = {s for j in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(j).stageIds}
+    return sum(store.lastStageAttempt(s).shuffleWriteBytes() for s in stages if tracker.getStageInfo(s))
+
+
+def test_texts_that_share_nothing_are_hardly_shuffled(spark, docs):
+    r = random.Random(11)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(6))
+    rows = [(i, " ".join(word() for _ in range(80))) for i in range(3_000)]
+    moved = {}
+    for n in (1_000, 3_000):
+        found = []
+        moved[n] = shuffled(spark, lambda n=n, found=found: found.extend(join(docs(rows[:n])).collect()))
+        assert {(x.doc_id, x.class_id, x.n_links) for x in found} == {(i, i, 0) for i in range(n)}
+    assert moved[3_000] < 800 * 3_000 and moved[3_000] < 3.3 * moved[1_000], moved
